@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: XXH64 primes, fixed values of the algorithm.
@@ -39,7 +40,7 @@ class Words:
 
 def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most so many bytes each, or of a single row."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     ends, begin = np.cumsum(sizes), 0
     while begin < len(sizes):
         end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right")))
@@ -49,7 +50,7 @@ def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
 
 def words(texts: pa.Array, lower: bool = True) -> Words:
     """Null counts as empty."""
-    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = texts.buffers()[2]
