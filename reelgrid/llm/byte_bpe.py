@@ -83,8 +83,12 @@ def long_pieces(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> Data
     shared = F.array_min(F.array_intersect("_head", F.lag("_ends").over(own)))
     marks = marks.withColumn("_cut", F.when(F.col("_chunk") == 0, F.lit(0)).otherwise(shared))
     marks = marks.withColumn("_piece", F.max(F.when(F.col("_cut").isNotNull(), F.col("_chunk"))).over(own))
-    cuts = marks.select("_row", "_chunk", "_piece", "_cut", F.lead("_cut").over(own).alias("_next"))
-    parts = rows.join(cuts, ["_row", "_chunk"]).groupBy("_row", "_piece").agg(
+    cuts = marks.select("_row", "_chunk", "_piece", "_cut", F.lead("_cut").over(own).alias("_next"), F.lead("_chunk").over(own).isNull().alias("_last"))
+    whole_chunk = F.col("_cut").isNotNull() & (F.col("_next").isNotNull() | F.col("_last"))
+    cuts = cuts.withColumn("_alone", whole_chunk).drop("_last")
+    met = rows.join(cuts, ["_row", "_chunk"])
+    alone = met.where("_alone").select("_row", "_piece", "doc_id", "_cut", F.col("_core").alias("_cores"), "_tail", "_next")
+    parts = met.where("not _alone").groupBy("_row", "_piece").agg(
         F.min("doc_id").alias("doc_id"),
         F.min("_cut").alias("_cut"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "_core"))), lambda x: x["_core"]), "").alias("_cores"),
@@ -92,6 +96,7 @@ def long_pieces(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> Data
         F.max_by("_next", "_chunk").alias("_next"),
     )
     whole = F.concat("_cores", F.when(F.col("_next").isNotNull(), F.expr("left(_tail, _next)")).otherwise(F.lit("")))
+    parts = alone.unionByName(parts)
     return parts.withColumn("_whole", whole).select("_row", "doc_id", "_piece", F.expr("substring(_whole, _cut + 1)").alias("text"))
 
 
@@ -105,19 +110,24 @@ def _parts(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> tuple[Dat
     return short, long_pieces(docs.where(F.char_length("text") > chunk), pattern, chunk, overlap)
 
 
-def _encoder(vocabulary: str, pattern: str):
+def _encoder(vocabulary: str, pattern: str, narrow: bool = False):
+    """narrow: ids that fit are held in 16 bits on their way to the digests."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_pieces(vocabulary, pattern)
         for b in batches:
             for at, end in slices(b.column(3)):
                 part = b.slice(at, end - at)
-                ids = pa.array(coder.encode(part.column(3).to_pylist()), pa.binary())
+                found = coder.encode(part.column(3).to_pylist())
+                if narrow and len(coder.size) <= 1 << 16:
+                    found = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in found]
+                ids = pa.array(found, pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], ids], ["_row", "doc_id", "_piece", "ids"])
 
     return scan
 
 
-def _digester(vocabulary: str, pattern: str):
+def _digester(vocabulary: str, pattern: str, narrow: bool = False):
     def told(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [(), (), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -133,7 +143,7 @@ def _digester(vocabulary: str, pattern: str):
                     if sums is not None:
                         out.append((doc, *sums.row()))
                     row, doc, sums = r, d, Digest(coder)
-                sums.add(ids)
+                sums.add(np.frombuffer(ids, "<u2").astype("<u4").tobytes() if narrow and len(coder.size) <= 1 << 16 else ids)
             yield told(out)
         if sums is not None:
             yield told([(doc, *sums.row())])
@@ -155,5 +165,5 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, chunk: int = CHUNK,
     short, long = _parts(docs, pattern, chunk, overlap)
     encode, digest = _encoder(vocabulary, pattern), _digester(vocabulary, pattern)
     direct = short.mapInArrow(lambda batches: digest(encode(batches)), DIGESTS)
-    pieced = long.mapInArrow(encode, IDS).repartition("_row").sortWithinPartitions("_row", "_piece")
-    return direct.union(pieced.mapInArrow(digest, DIGESTS))
+    pieced = long.mapInArrow(_encoder(vocabulary, pattern, True), IDS).repartition("_row").sortWithinPartitions("_row", "_piece")
+    return direct.union(pieced.mapInArrow(_digester(vocabulary, pattern, True), DIGESTS))

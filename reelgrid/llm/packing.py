@@ -36,16 +36,17 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, with_ids: bool =
     """doc_id, piece, start, length, ids_crc32 of each piece, and its ids on demand."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = word_pieces(vocabulary), np.array([END], "<u4").tobytes()
+        coder, end = word_pieces(vocabulary), np.array([END], "<u4")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
                 rows: list[tuple] = []
-                for doc, data in zip(ids.slice(a, b - a).to_pylist(), coder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])):
-                    data += end
-                    for k, at in enumerate(range(0, len(data), 4 * size)):
-                        part = data[at : at + 4 * size]
-                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+                tokens, begin = coder.encode(texts.slice(a, b - a))
+                for doc, x, y in zip(ids.slice(a, b - a).to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
+                    own = np.concatenate([tokens[x:y], end])
+                    for k, at in enumerate(range(0, len(own), size)):
+                        part = own[at : at + size].tobytes()
+                        rows.append((doc, k, at, len(part) // 4, zlib.crc32(part), part))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()) if with_ids else (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, packing, revisit, simhash, url_filter, vector_search
+from . import byte_bpe, exact_dedup, language_id, line_dedup, packing, pitman_yor, revisit, simhash, url_filter, vector_search
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.text_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisit.resolved(revisit.captures(table(spark, sf_dir, "pages")))
     return found.withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n"))
@@ -55,7 +59,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_revisit, op3_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_language_id, op7_vector_search, op8_url_filter, op9_exact_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_revisit, op3_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_language_id, op7_vector_search, op8_url_filter, op9_exact_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

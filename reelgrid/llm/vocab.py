@@ -14,6 +14,9 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+
+from .textscan import word_hashes, words
 
 #: Pieces that a generation of a cache holds, and the longest piece that is kept there.
 CACHED, LONGEST = 300_000, 64
@@ -42,8 +45,8 @@ class Pieces:
         out = [list(map(known.get, pieces)) for pieces in texts]
         lacking = [k for k, ids in enumerate(out) if None in ids]
         need = {w for k in lacking for w, i in zip(texts[k], out[k]) if i is None}
-        known.update({w: old[w] for w in need.intersection(old)} if old else {})
-        new = list(need.difference(old))
+        known.update({w: old[w] for w in need if w in old})
+        new = [w for w in need if w not in known]
         for at in range(0, len(new), 4096):
             known.update(zip(new[at : at + 4096], self.encode(new[at : at + 4096])))
         self.passing = [w for w in new if len(w) > LONGEST]
@@ -72,10 +75,22 @@ class WordPieces:
         ids = np.array(e.ids, "<u4").tobytes()
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = [t.encode().split() for t in texts]
-        return list(map(b"".join, self.pieces.of(split)))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each begin and end.
+
+        Words are found and told apart by numpy (by 64-bit hash, within the texts given), so that
+        only distinct words are looked up one by one.
+        """
+        w = words(texts, lower=False)
+        _, first, of = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+        data, begin = w.text.tobytes(), w.start[first]
+        (ids,) = self.pieces.of([[data[a:b] for a, b in zip(begin.tolist(), (begin + w.size[first]).tolist())]])
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        place = (np.cumsum(size) - size)[of]
+        size = size[of]
+        ends = np.cumsum(size)
+        all_ids = np.frombuffer(b"".join(ids), "<u4")[np.arange(ends[-1] if len(ends) else 0) + np.repeat(place - ends + size, size)]
+        return all_ids, np.concatenate([[0], ends])[w.first]
 
 
 class BytePieces:
