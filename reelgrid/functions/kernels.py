@@ -125,8 +125,8 @@ def xyb(rgb: np.ndarray) -> np.ndarray:
 def channel_statistics(a: np.ndarray, b: np.ndarray, k: np.ndarray, blur_with=blur) -> np.ndarray:
     """[norm, statistic]: L1 and L4 of structural error, artifacts and lost detail."""
     m1, m2 = blur_with(a, k), blur_with(b, k)
-    cross, own = blur_with(a * b, k) - m1 * m2, blur_with(a * a, k) - m1 * m1 + blur_with(b * b, k) - m2 * m2
-    error = np.maximum(1 - (1 - np.square((m1 - m2).astype(float))) * (2.0 * cross + C2) / (own + C2), 0)
+    cross, own = blur_with(a * b, k) - m1 * m2, (blur_with(a * a, k) - m1 * m1) + (blur_with(b * b, k) - m2 * m2)
+    error = np.maximum(1 - (1 - np.square((m1 - m2).astype(float))) * (2.0 * cross.astype(float) + C2) / (own.astype(float) + C2), 0)
     edge = (1.0 + np.abs(b - m2)) / (1.0 + np.abs(a - m1)) - 1
     maps = np.stack([error, np.maximum(edge, 0), np.maximum(-edge, 0)]).astype(float)
     return np.stack([maps.mean(axis=(1, 2)), (maps**4).mean(axis=(1, 2)) ** 0.25])
