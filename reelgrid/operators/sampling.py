@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def score_aggregate(scores: DataFrame, keys: list[str]) -> DataFrame:
     """mean, minimum, p10 at the floored index, count."""
-    return scores.groupBy(*keys).agg(F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("minimum"), F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY score)").alias("p10"), F.count("*").alias("n"))
+    return scores.groupBy(*keys).agg(F.round(F.avg("score"), 9).alias("mean"), F.min("score").alias("minimum"), F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY score)").alias("p10"), F.count("*").alias("n"))
 
 
 def strided(frames: DataFrame, stride: int, offset: int, cap: int) -> DataFrame:

@@ -26,15 +26,19 @@ def lagged(frames: DataFrame) -> DataFrame:
     return frames.withColumn("before", before).where("before IS NOT NULL")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def threshold(values: Column, k: float, scale: str, floor: float = 0.01) -> Column:
     """Adaptive threshold of an array: upper tail, or median absolute deviation (upper medians)."""
-    s = F.array_sort(values)
-    median = F.get(s, F.floor(F.size(s) / 2).cast("int"))
+    middle = lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int"))
     if scale == "mad":
-        dev = F.array_sort(F.transform(values, lambda v: F.abs(v - median)))
-        return median + F.greatest(F.get(dev, F.floor(F.size(s) / 2).cast("int")), F.lit(floor)) * k
-    p90 = F.get(s, F.round((F.size(s) - 1) * 0.9).cast("int"))
-    return p90 + F.greatest(p90 - median, F.lit(floor)) * k
+        spread = lambda s, m: middle(F.array_sort(F.transform(s, lambda v: F.abs(v - m))))
+        return let(F.array_sort(values), lambda s: let(middle(s), lambda m: m + F.greatest(spread(s, m), F.lit(floor)) * k))
+    upper = lambda s: F.get(s, F.round((F.size(s) - 1) * 0.9).cast("int"))
+    return let(F.array_sort(values), lambda s: let(upper(s), lambda p: p + F.greatest(p - middle(s), F.lit(floor)) * k))
 
 
 def sequences(deltas: DataFrame) -> DataFrame:
@@ -61,12 +65,12 @@ def causal_cuts(deltas: DataFrame, k: float = 2.0, scale: str = "tail", floor: f
     start = F.struct(F.array().cast("array<double>").alias("w"), F.lit(1 << 30).alias("since"), F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("i"))
 
     def step(s: Column, v: Column) -> Column:
-        warm = F.size(s["w"]) < history
-        t = threshold(s["w"], k, scale, floor)
-        out = ~warm & (v > t)
-        cut = out & (s["since"] >= gap)
-        added = F.concat(s["w"], F.array(F.when(out, t).otherwise(v)))
-        kept = F.when(~warm & (F.size(added) > window), F.slice(added, 2, window)).otherwise(added)
+        limit = F.when(F.size(s["w"]) < history, float("inf")).otherwise(threshold(s["w"], k, scale, floor))
+        return let(limit, lambda t: moved(s, v, t, (v > t) & (s["since"] >= gap)))
+
+    def moved(s: Column, v: Column, t: Column, cut: Column) -> Column:
+        full = F.size(s["w"]) >= window
+        kept = F.concat(F.when(full, F.slice(s["w"], 2, window)).otherwise(s["w"]), F.array(F.least(v, t)))
         return F.struct(F.when(cut, s["w"]).otherwise(kept).alias("w"), F.when(cut, 0).otherwise(s["since"] + 1).alias("since"), F.when(cut, F.concat(s["cuts"], F.array(s["i"]))).otherwise(s["cuts"]).alias("cuts"), (s["i"] + 1).alias("i"))
 
     return sequences(deltas).select("clip", F.explode(F.aggregate("d", start, step, lambda s: s["cuts"])).alias("idx"))

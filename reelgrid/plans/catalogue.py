@@ -94,7 +94,7 @@ def chrome_trace(spark, sf):
 # ---- sampling and pairing
 
 
-@query(f"WITH {V.SCORES} SELECT clip, round(avg(score), 6) AS mean, min(score) AS minimum, quantile_disc(score, 0.1) AS p10, count(*) AS n FROM scores GROUP BY clip")
+@query(f"WITH {V.SCORES} SELECT clip, round(avg(score), 9) AS mean, min(score) AS minimum, quantile_disc(score, 0.1) AS p10, count(*) AS n FROM scores GROUP BY clip")
 def video_aggregate_p10(spark, sf):
     return sampling.score_aggregate(V.scores(spark, sf), ["clip"])
 
@@ -111,7 +111,7 @@ def adaptive_stride(spark, sf):
 
 
 @query(f"""WITH {V.SCORES}, u AS (SELECT clip, idx, score FROM scores WHERE idx % 4 = 0 AND idx < 64 UNION ALL SELECT clip, idx, score FROM scores WHERE idx >= 2 AND (idx - 2) % 4 = 0 AND idx < 66)
-SELECT clip, round(avg(score), 6) AS mean, min(score) AS minimum, quantile_disc(score, 0.1) AS p10, count(*) AS n FROM u GROUP BY clip""")
+SELECT clip, round(avg(score), 9) AS mean, min(score) AS minimum, quantile_disc(score, 0.1) AS p10, count(*) AS n FROM u GROUP BY clip""")
 def near_gate_merge(spark, sf):
     return sampling.score_aggregate(sampling.refined(V.scores(spark, sf), 4, 16), ["clip"])
 
