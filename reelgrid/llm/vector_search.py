@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 WAVE_BYTES = 16 << 20
-TILE = 2048
+#: Rows of a tile on either side, and surviving pairs that are computed again at once.
+TILE, PAIRS = 2048, 1 << 17
 #: Room for rounding in double precision.
 SLACK = 1e-9
 
@@ -92,8 +93,17 @@ class Queries:
             own = [heaps.of.get(i, ()) for i in self.ids[q].tolist()]
             floor = np.maximum(floor, [h[0][0] - SLACK if len(h) == self.k else -np.inf for h in own])
             i, j = np.nonzero((near + off >= floor[:, None]) & (near > -np.inf))
-            for a, s, v in zip(self.ids[at + i].tolist(), cosines(self.x[at + i], x[j]).tolist(), ids[j].tolist()):
-                heaps.offer(a, s, v)
+            for part in range(0, len(i), PAIRS):
+                self._again(at + i[part : part + PAIRS], j[part : part + PAIRS], ids, x, heaps)
+
+    def _again(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray, x: np.ndarray, heaps: Heaps) -> None:
+        """Pairs (query, candidate), in the order of queries, in double precision; the best go to the heaps."""
+        score, vec = cosines(self.x[i], x[j]), ids[j]
+        order = np.lexsort((vec, -score, i))
+        i, score, vec = i[order], score[order], vec[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < self.k  # of a vector with many copies only these can count
+        for a, s, v in zip(self.ids[i[best]].tolist(), score[best].tolist(), vec[best].tolist()):
+            heaps.offer(a, s, v)
 
 
 def usable(v: Column) -> Column:
