@@ -8,6 +8,7 @@ little-endian unsigned 32-bit numbers.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Callable
@@ -25,6 +26,10 @@ CACHED, LONGEST = 300_000, 64
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+#: Marks that are one pre-token as a run, and part a word from what follows.
+MARKS = ".,;:!?|%*&$#()[]{}<>+=/\\\"-"
+
+
 class Pieces:
     """Two generations of pieces with their ids: what is used stays, what is not goes when the young
     generation is full. Memory is bounded by the numbers above and one batch of texts."""
@@ -55,6 +60,92 @@ class Pieces:
         return out
 
 
+class Merges:
+    """The merges of a word vocabulary, applied to many words at once.
+
+    The pair of neighbours with the lowest rank merges first, the leftmost of equals, as in the
+    library; a merged token's own pairs rank later, so one merge per word and step is the same.
+    """
+
+    #: What a file must say for a word of plain letters to be one pre-token of its lower-case bytes.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    LONGEST = 32
+    NONE = 1 << 40
+
+    def __init__(self, spec: dict):
+        vocab, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocab[letter[b] + "</w>"] for b in range(256)], np.int64)
+        keys = np.array([(vocab[x] << 20) | vocab[y] for x, y in merges], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, self.NONE)
+        self.made = np.array([vocab[x + y] for x, y in merges], np.int64)
+
+    @classmethod
+    def of(cls, spec: dict) -> Merges | None:
+        """None where the file differs from what is said above."""
+        model, before, normal = spec["model"], spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
+        steps = before.get("pretokenizers", [])
+        fits = (
+            model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+            and [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": cls.PATTERN} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        )
+        return cls(spec) if fits else None
+
+    @staticmethod
+    def letters(word: str) -> bool:
+        """Letters of the Latin blocks only, which are one pre-token, and each a lower-case letter of its own."""
+        return word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 20) | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], self.NONE)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of lower-case words of 1 to LONGEST bytes."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.array([len(w) for w in words])
+        for low, high in ((0, 6), (6, 10), (10, 16), (16, self.LONGEST)):
+            rows = np.flatnonzero((size > low) & (size <= high))
+            if not len(rows):
+                continue
+            n = size[rows]
+            raw = np.frombuffer(b"".join([words[i].ljust(high, b"\0") for i in rows.tolist()]), np.uint8).reshape(-1, high)
+            sym = self.inner[raw]
+            each = np.arange(len(rows))
+            sym[each, n - 1] = self.final[raw[each, n - 1]]
+            rank = np.full(sym.shape, self.NONE)
+            rank[:, :-1] = np.where(np.arange(high - 1) < (n - 1)[:, None], self._rank(sym[:, :-1], sym[:, 1:]), self.NONE)
+            live = each
+            while len(live):
+                at = rank[live].argmin(axis=1)
+                best = rank[live, at]
+                live, at, best = live[best < self.NONE], at[best < self.NONE], best[best < self.NONE]
+                if not len(live):
+                    break
+                place = np.arange(high)
+                shift = np.minimum(place + (place > at[:, None]), high - 1)
+                s, r = np.take_along_axis(sym[live], shift, 1), np.take_along_axis(rank[live], shift, 1)
+                k = np.arange(len(live))
+                s[k, at] = self.made[best]
+                n[live] -= 1
+                m = n[live]
+                r[:, -1] = self.NONE
+                right = np.minimum(at + 1, high - 1)
+                r[k, at] = np.where(at + 1 < m, self._rank(s[k, at], s[k, right]), self.NONE)
+                left = np.flatnonzero(at > 0)
+                r[left, at[left] - 1] = self._rank(s[left, at[left] - 1], s[left, at[left]])
+                sym[live], rank[live] = s, r
+            flat = sym.astype("<u4")
+            for i, k, m in zip(rows.tolist(), each.tolist(), n.tolist()):
+                out[i] = flat[k, :m].tobytes()
+        return out
+
+
 class WordPieces:
     """A `tokenizers` file whose pre-tokeniser never joins what ASCII white space separates."""
 
@@ -64,7 +155,36 @@ class WordPieces:
 
         self.of = Tokenizer.from_file(path)
         self.of.encode_special_tokens = True
-        self.pieces = Pieces(self._joined)
+        with open(path, encoding="utf-8") as f:
+            self.merges = Merges.of(json.load(f))
+        self.marks: dict[str, bytes] = {}
+        self.pieces = Pieces(self._new)
+
+    def _new(self, new: list[bytes]) -> list[bytes]:
+        """Words of letters, with or without marks behind them, by merges; all others by the library."""
+        out: list[bytes | None] = [None] * len(new)
+        if self.merges:
+            easy, words, tails = [], [], []
+            for i, w in enumerate(new):
+                if len(w) <= Merges.LONGEST:
+                    text = w.decode()
+                    word = text.rstrip(MARKS)
+                    if Merges.letters(word):
+                        lower = word.lower().encode()
+                        if len(lower) <= Merges.LONGEST:
+                            easy.append(i)
+                            words.append(lower)
+                            tails.append(text[len(word) :])
+            for t in set(tails).difference(self.marks):
+                self.marks[t] = b"".join(self._joined([t.encode()])) if t else b""
+            for i, ids, t in zip(easy, self.merges.encode(words), tails):
+                out[i] = ids + self.marks[t]
+            if len(self.marks) > CACHED:
+                self.marks.clear()
+        hard = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(hard, self._joined([new[i] for i in hard]) if hard else []):
+            out[i] = ids
+        return out
 
     def _joined(self, new: list[bytes]) -> list[bytes]:
         """The ids of each piece, by one call for all: tokens are told apart by where they begin."""

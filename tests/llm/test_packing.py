@@ -76,3 +76,22 @@ def test_query(spark, sf, library):
     want = pieces_of(library, rows, 4096)
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
     assert well_packed(got, 4096) == -(-sum(x[3] for x in want) // 4096)
+
+
+def test_pieces_equal_library(library):
+    """Words by merges or by the library, with and without marks, against whole texts encoded at once."""
+    import random
+
+    import pyarrow as pa
+
+    from reelgrid.llm.vocab import word_pieces
+
+    rng = random.Random(2)
+    letters = "aaeiou" + "bcdfghlmnrstth" + "éèüßñçœæ" + "AEST" + "ÀÉÜ" + "ΣςΔ" + "İıǅ" + "'’-" + "09" + "́" + "日語"
+    words = ["".join(rng.choice(letters[: rng.choice((20, 28, 35, len(letters)))]) for _ in range(rng.randint(1, 40))) + rng.choice(["", "", ".", ",", "!!", '."', "***", "'s"]) for _ in range(20_000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ["", " ", "\x85　a"]
+    coder = word_pieces(PATH)
+    assert coder.merges is not None
+    ids, begin = coder.encode(pa.array(texts))
+    for t, a, b in zip(texts, begin[:-1], begin[1:]):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
