@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import exact_dedup, language_id, packing, simhash
+from reelgrid.llm import exact_dedup, language_id, near_copies, packing
 from reelgrid.llm.common import shared_folder, table
 
 
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    return simhash.near_kept(docs)
+    """Of each group of texts whose sets of 5-word shingles are alike by 0.8 or more the document with the smallest id."""
+    return near_copies.near_kept(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
