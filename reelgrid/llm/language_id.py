@@ -4,8 +4,10 @@ Letters are lower-cased and everything else is a space; the byte 2- and 3-grams
 are counted in DIMENSIONS hashed places. Document frequencies count every learning document. The
 centroids of a language come from spherical k-means over a bounded sample of its learning
 documents (SAMPLE, those with the smallest hashes of their ids). A text gets the language of the
-nearest centroid by cosine; it is rejected if its cosine is below the limit of its language, a quarter of
-the least cosine in the sample.
+nearest centroid by cosine; it is rejected if its cosine is below the limit of that centroid for texts
+of its length: a low quantile (QUANTILE) of the cosines of all learning documents of that length whose
+nearest centroid it is and whose language it has. Where these are fewer than ENOUGH, those of the
+language are taken, then those of all languages.
 
 Defined results: a null text or one without a letter is `und` with score 0, rejected; so is every
 text if nothing could be learned. A row with a null id is not learned from and not held out. Extra
@@ -27,6 +29,10 @@ from .textscan import slices
 DIMENSIONS = 8192
 #: Learning documents of a language that its centroids are fitted on, centroids, and rounds of k-means.
 SAMPLE, CENTROIDS, ROUNDS = 1000, 4, 12
+#: A cluster holds at least one of so many of the sample, or is given up.
+SHARE = 50
+#: Share of learning documents below a limit, how many a limit is taken from, steps of cosines, and lengths (characters) at which limits change.
+QUANTILE, ENOUGH, STEPS, LENGTHS = 0.002, 500, 1000, (32, 128)
 
 _SPACED = np.full(256, 32, np.uint8)
 _SPACED[97:123] = np.arange(97, 123)
@@ -62,30 +68,59 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
 
 
 def fitted(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means from a farthest-first start; deterministic."""
+    """Spherical k-means from a farthest-first start; deterministic. Clusters of single outliers are given up."""
     mean = x.mean(axis=0)
     centres = [mean / max(float(np.linalg.norm(mean)), 1e-12)]
     near = x @ centres[0]
     while len(centres) < min(k, len(x)):
-        centres.append(x[int(np.argmin(near))])
+        # An eighth of the sample is further away: the farthest of all are outliers.
+        centres.append(x[int(np.argsort(near, kind="stable")[len(x) // 8])])
         near = np.maximum(near, x @ centres[-1])
     c = np.stack(centres)
-    for _ in range(rounds):
-        own = np.argmax(x @ c.T, axis=1)
-        for i in range(len(c)):
-            if (own == i).any():
-                m = x[own == i].mean(axis=0)
-                c[i] = m / max(float(np.linalg.norm(m)), 1e-12)
-    return c
+    while True:
+        for _ in range(rounds):
+            own = np.argmax(x @ c.T, axis=1)
+            for i in range(len(c)):
+                if (own == i).any():
+                    m = x[own == i].mean(axis=0)
+                    c[i] = m / max(float(np.linalg.norm(m)), 1e-12)
+        held = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+        least = int(np.argmin(held))
+        if len(c) == 1 or held[least] >= max(1, len(x) / SHARE):
+            return c
+        c = np.delete(c, least, axis=0)
+
+
+def length_class(texts: list[str]) -> np.ndarray:
+    return np.searchsorted(LENGTHS, [len(t) for t in texts], side="right")
+
+
+def limits_of(langs: list[str], seen: np.ndarray) -> np.ndarray:
+    """The limit of each centroid and length, from counts of cosines [centroids, lengths, STEPS]."""
+    out = np.zeros(seen.shape[:2])
+    names = np.array(langs)
+    for i, lang in enumerate(langs):
+        for k in range(seen.shape[1]):
+            pools = [seen[i, k], seen[names == lang, k].sum(axis=0), seen[:, k].sum(axis=0)]
+            pool = next((p for p in pools if p.sum() >= ENOUGH), pools[-1])
+            if pool.any():
+                out[i, k] = int(np.searchsorted(np.cumsum(pool), QUANTILE * pool.sum(), side="right")) / STEPS
+    return out
 
 
 @dataclass
 class Model:
     langs: list[str]  # of each centroid
     centroids: np.ndarray
-    limits: np.ndarray
+    limits: np.ndarray  # of each centroid and length
     idf: np.ndarray
 
+    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroid of each text, and the cosine."""
+        near = vectors(texts, self.idf) @ self.centroids.T
+        best = np.argmax(near, axis=1)
+        return best, near[np.arange(len(texts)), best]
+
     def predict(self, texts: pa.Array) -> pa.Array:
         """lang_pred, score and rejected of each text."""
         lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -94,10 +129,11 @@ class Model:
             on = [i for i, t in enumerate(rows) if has_letter(t)] if self.langs else []
             for at in range(0, len(on), 1024):
                 part = on[at : at + 1024]
-                near = vectors([rows[i] for i in part], self.idf) @ self.centroids.T
-                best = np.argmax(near, axis=1)
-                for i, b, s in zip(part, best.tolist(), near[np.arange(len(part)), best].tolist()):
-                    lang[begin + i], score[begin + i], rejected[begin + i] = self.langs[b], min(1.0, max(0.0, s)), s < self.limits[b]
+                own = [rows[i] for i in part]
+                best, near = self.nearest(own)
+                least = self.limits[best, length_class(own)]
+                for i, b, s, limit in zip(part, best.tolist(), near.tolist(), least.tolist()):
+                    lang[begin + i], score[begin + i], rejected[begin + i] = self.langs[b], min(1.0, max(0.0, s)), s < limit
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["lang_pred", "score", "rejected"])
 
 
@@ -133,7 +169,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
             df[r["place"]] = r["n"]
     idf = np.log((1 + sum(sizes.values())) / (1 + df)).astype(np.float32) + 1
     if not sizes:
-        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), idf)
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, len(LENGTHS) + 1)), idf)
 
     # A hash below this share of all hashes leaves about twice the sample, of which the smallest are taken.
     share = docs.sparkSession.createDataFrame([(x, min(1.0, (2 * sample + 50) / n)) for x, n in sizes.items()], "lang string, share double")
@@ -145,17 +181,48 @@ def learn(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
         t = t.sort_by("_k")
         texts = [x for x in t.column("text").to_pylist() if has_letter(x)]
         if not texts:
-            return pa.table({"lang": pa.array([], pa.string()), "centroid": pa.array([], pa.binary()), "least": pa.array([], pa.float64())})
+            return pa.table({"lang": pa.array([], pa.string()), "centroid": pa.array([], pa.binary())})
         x = np.concatenate([vectors(texts[i : i + 64], idf) for i in range(0, len(texts), 64)])
         c = fitted(x, k)
-        near = (x @ c.T).max(axis=1)
         lang = t.column("lang")[0].as_py()
-        return pa.table({"lang": [lang] * len(c), "centroid": pa.array([v.astype("<f4").tobytes() for v in c], pa.binary()), "least": [float(near.min())] * len(c)})
+        return pa.table({"lang": [lang] * len(c), "centroid": pa.array([v.astype("<f4").tobytes() for v in c], pa.binary())})
 
-    rows = drawn.groupBy("lang").applyInArrow(fit, "lang string, centroid binary, least double").collect()
+    rows = drawn.groupBy("lang").applyInArrow(fit, "lang string, centroid binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
     centroids = np.stack([np.frombuffer(bytes(r["centroid"]), "<f4") for r in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
-    return Model([r["lang"] for r in rows], centroids, np.array([r["least"] / 4 for r in rows]), idf)
+    model = Model([r["lang"] for r in rows], centroids, np.zeros((len(rows), len(LENGTHS) + 1)), idf)
+    model.limits = limits_of(model.langs, cosines(known, model))
+    return model
+
+
+def cosines(known: DataFrame, model: Model) -> np.ndarray:
+    """How many learning documents (lang, text) have which cosine with their nearest centroid, if it has their language: [centroids, lengths, STEPS]."""
+    shape = (len(model.langs), len(LENGTHS) + 1, STEPS)
+    out = np.zeros(shape, np.int64)
+    if not model.langs:
+        return out
+    held = known.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total = held.value, np.zeros(shape, np.int64)
+        names = np.array(model.langs)
+        for b in batches:
+            for begin, end in slices(b.column(1), 1 << 20):
+                langs, texts = (b.column(i).slice(begin, end - begin).to_pylist() for i in (0, 1))
+                on = [i for i, t in enumerate(texts) if has_letter(t)]
+                for at in range(0, len(on), 1024):
+                    part = [texts[i] for i in on[at : at + 1024]]
+                    best, near = model.nearest(part)
+                    right = names[best] == np.array([langs[i] for i in on[at : at + 1024]])
+                    step = np.clip((near * STEPS).astype(np.int64), 0, STEPS - 1)
+                    np.add.at(total, (best[right], length_class(part)[right], step[right]), 1)
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total.ravel()[place])], ["place", "n"])
+
+    # At most one row for each centroid, length and step reaches the driver, whatever the input.
+    for r in known.select("lang", "text").mapInArrow(scan, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        out.ravel()[r["place"]] = r["n"]
+    return out
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
