@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, set as the checkpoint folder too.
 
-    Where that is unset (tests), a temporary folder of this machine serves.
+    Where that is unset, a session on one machine (tests) gets a temporary folder of its own; on a
+    cluster nothing else is shared for certain, so that is an error.
     """
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelgrid-checkpoint-"))
     return context.getCheckpointDir().get()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Rows written to the shared folder, in columns: lineage is cut, and they take less room than in a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -43,6 +54,57 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
+def text_bytes(docs: DataFrame) -> int:
+    """About the bytes of docs' files; where Catalyst can't tell, as for rows in no file, half of the texts' bytes."""
+    size = plan_bytes(docs)
+    if size < 1 << 60:
+        return size
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
+
+
+def parts_for(docs: DataFrame, bytes_each: int, least: int = 12) -> int:
     """A number of partitions that grows with the input."""
-    return max(least, min(200_000, -(-plan_bytes(df) // bytes_each)))
+    return max(least, min(200_000, -(-text_bytes(docs) // bytes_each)))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df doesn't have yet."""
+    held = {c.lower() for c in df.columns}
+    while wanted.lower() in held:
+        wanted += "_"
+    return wanted
+
+
+#: Rows up to which keys of rows are broadcast (16 bytes each); beyond it they meet in a shuffled join.
+KEYS = 1 << 21
+
+
+def text_key(text: str = "text") -> Column:
+    """What tells the texts of one doc_id apart: rows are known by doc_id and this, which every task computes alike."""
+    return F.xxhash64(text, F.lit("row"))
+
+
+def others(rows: DataFrame, stays: DataFrame) -> DataFrame:
+    """(doc_id, key) of the rows that stays doesn't name."""
+    some = stays.select(F.col("doc_id").alias("_id"), F.col("key").alias("_other"))
+    return rows.select("doc_id", "key").join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_other")), "left_anti")
+
+
+def rows_without(docs: DataFrame, keys: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, with all their columns, without the rows (doc_id, key) of gone; of rows alike in doc_id and text one stays.
+
+    keys: (doc_id, key) of every row of docs.
+    """
+    own, other, key = (free_name(docs, x) for x in ("_key", "_other", "_id"))
+    marked = docs.withColumn(own, text_key())
+
+    def met(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias(key), F.col("key").alias(other))
+        some = F.broadcast(some) if some.count() <= KEYS else some
+        return rows.join(some, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(other)), how)
+
+    left = met(marked, gone, "left_anti")
+    repeated = stored(keys.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
+    if repeated.isEmpty():
+        return left.drop(own)
+    return met(left, repeated, "left_anti").unionByName(met(left, repeated, "left_semi").dropDuplicates(["doc_id", own])).drop(own)

@@ -1,172 +1,275 @@
-"""Near copies by the Jaccard similarity of word shingles: every pair at or above the least similarity.
-
-Texts become sets of 64-bit hashes of SHINGLE words. Candidates come from prefixes: with all hashes
-in one order (rare ones first, by counts of hashed places), two sets of similarity s share one of
-the first n - ceil(s n) + 1 hashes of each, so no pair is lost, however many bits their SimHash
-fingerprints differ in. Each candidate's similarity is then computed from the whole sets.
-
-A dense group would make as many candidates as it has pairs. So the sets of a shared hash are first
-compared with the smallest of them only; the pairs that remain are those whose sides are still in
-different components. Components are found by label propagation.
+"""Near copies by SimHash links and, for what fingerprints can't see, by prefixes of shingle sets.
+
+Texts become sets of 64-bit hashes of SHINGLE words, and rows are told apart by their sets. Two
+sets are near if their Jaccard similarity is at least PERCENT / 100; near sets are linked, and of
+each component one row stays. Links are found in three steps, each link computed from whole sets:
+
+1. Fingerprints of the sets' shingles meet in the binary trie self-join of simhash; its links are
+   candidates. At similarity 0.8 fingerprints differ in up to 14 of 64 bits and more, where a trie
+   no longer prunes, so this step finds the closest copies only.
+2. With all hashes in one order (rare ones first, by counts of hashed places) two near sets share
+   one of the first n - ceil(s n) + 1 hashes of each. The sets that share such a token form a group.
+   Each set is compared with one other of its groups, that with which it shares most tokens; this is
+   done again, from another set of each group, while dense groups have many sets in different components.
+3. All pairs of a group's sets that are still in different components are candidates, if they share
+   as many tokens as near sets of their sizes must. So no link between components is lost.
 
 Defined results: a null text counts as empty; texts with equal sets are linked, those without words
-among them; a text of fewer words has one shingle of all its words; rows may repeat; a null doc_id
-is never a component's name unless all its rows have none; extra columns are kept; an empty table
-gives an empty result.
+among them; a text of fewer words has one shingle of all its words; of each component the row with
+the smallest doc_id stays (null comes last, then a hash of the text decides), and of rows alike in
+doc_id and text one; extra columns are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_folder
-from .simhash import components, shingle_spans
+from .common import KEYS, others, parts_for, rows_without, stored, text_key
+from .simhash import components, first_row, shingle_spans, trie_forest, voted, won
 from .textscan import mix, slices, words, xxh64
 
 U64 = np.uint64
-SHINGLE, PERCENT = 5, 80
+SHINGLE, PERCENT, BITS = 5, 80, 3
 #: Places in which hashes are counted, and how many of them a row holds.
 PLACES, BLOCK = 1 << 20, 1 << 15
-#: Up to so many names of candidates go to every executor; beyond that, the sets are dealt by name.
-NAMES = 1 << 21
-
+#: Tokens that are dealt out at once, bytes of input for a bucket of tokens, and rows of a token that a bucket takes.
+TOKENS, BUCKET_BYTES, HOT = 1 << 20, 8 << 20, 1 << 20
+#: Sets that are compared with one other in a task's group.
+MEMBERS = 2048
+#: Pairs left for the last step: at least so many, or this many for each shared token; rounds of step 2 at most.
+PAIRS, PAIRS_EACH, ROUNDS = 1 << 22, 8, 6
 
-def stored(df: DataFrame) -> DataFrame:
-    """Rows written to the shared folder, in columns: a checkpoint takes several times the room."""
-    path = f"{shared_folder(df.sparkSession)}/near-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
 
-
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each slice of texts the hashes of all sets, each ascending, and how many each text has."""
+def sets_of(texts: pa.Array, k: int, votes: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """For each slice of texts the hashes of all sets, each ascending, how many each text has, and the fingerprints if asked for."""
     for begin, end in slices(texts):
         w = words(texts.slice(begin, end - begin))
         start, size, doc = shingle_spans(w, k)
         h = xxh64(w.text, start, size)
+        fps = None
+        if votes:
+            ones = np.zeros((w.n, 64), np.int64)
+            voted(h, doc, ones)
+            fps = won(ones, np.bincount(doc, minlength=w.n))
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        yield h[first], np.bincount(doc[first], minlength=w.n)
+        yield h[first], np.bincount(doc[first], minlength=w.n), fps
+
 
+def names_of(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The names of sets: equal sets have equal names."""
+    ends = np.cumsum(n)
+    total = np.concatenate([[U64(0)], np.cumsum(mix(h, 11), dtype=U64)])
+    return mix(total[ends] - total[ends - n], 12).view(np.int64)
 
-def set_rows(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, the set's name (id) and its hashes, of each row."""
+
+def named_rows(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, key (of the row), id (the set's name), n (its size) and fp of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for h, n in shingle_sets(b.column(1), k):
-                ends = np.cumsum(n)
-                total = np.concatenate([[U64(0)], np.cumsum(mix(h, 11), dtype=U64)])
-                name = mix(total[ends] - total[ends - n], 12)
-                sets = pa.array([h[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(name.view(np.int64)), sets], ["doc_id", "id", "hashes"])
+            for h, n, fps in sets_of(b.column(2), k, votes=True):
+                own = [b.column(i).slice(at, len(n)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names_of(h, n)), pa.array(n.astype(np.int64)), pa.array(fps.view(np.int64))], ["doc_id", "key", "id", "n", "fp"])
                 at += len(n)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, id long, hashes binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(scan, f"doc_id {kind}, key long, id long, n long, fp long")
 
 
 def _place(h: np.ndarray) -> np.ndarray:
     return (mix(h, 13) % U64(PLACES)).astype(np.int64)
 
 
-def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    blobs = column.to_pylist()
-    return np.frombuffer(b"".join(blobs), "<u8"), np.array([len(x) // 8 for x in blobs], np.int64)
-
-
-def place_counts(sets: DataFrame) -> np.ndarray:
+def place_counts(docs: DataFrame, k: int) -> np.ndarray:
     """How many hashes fall on each place: PLACES numbers reach the driver, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(PLACES, np.int64)
         for b in batches:
-            total += np.bincount(_place(_sets(b.column(0))[0]), minlength=PLACES)
+            for h, _, _ in sets_of(b.column(0), k):
+                total += np.bincount(_place(h), minlength=PLACES)
         if total.any():
             blocks = [x.tobytes() for x in np.split(total.astype("<i8"), PLACES // BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "counts"])
 
-    def summed(t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, "<i8") for x in t.column("counts").to_pylist()], axis=0)
-        return pa.table({"block": t.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    def summed(block: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BLOCK, np.int64)
+        for b in parts:
+            for x in b.column(1):
+                total += np.frombuffer(x.as_buffer(), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([block[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
     out = np.zeros(PLACES, np.int64)
-    for r in sets.select("hashes").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(summed, "block int, counts binary").collect():
+    for r in docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(summed, "block int, counts binary").collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["counts"]), "<i8")
     return out
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """token, id, n (size of the set) of the hashes by which similar sets meet."""
-    counts = sets.sparkSession.sparkContext.broadcast(place_counts(sets))
+def _hot(counts: np.ndarray) -> int:
+    """Rows beyond which a token is dealt to several buckets: where hashes fall on one place as on others, none is."""
+    return max(HOT, 16 * int(counts.mean()))
+
+
+def shared_tokens(docs: DataFrame, counts: Broadcast, k: int, percent: int, hot: int) -> DataFrame:
+    """token, id, head of the tokens that more than one set has; head is one of the token's sets.
+
+    The tokens of many texts go to a bucket as one row. A token that may have more than hot rows is
+    dealt to several buckets; it is kept in each, and has a head in each.
+    """
+    buckets = parts_for(docs, BUCKET_BYTES)
+
+    def salts(token: np.ndarray) -> np.ndarray:
+        return np.maximum(1, -(-counts.value[_place(token)] // hot)).astype(U64)
+
+    def dealt(token: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        bucket = (mix(token, mix(name, 14) % salts(token)) % U64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        own, first = np.unique(bucket[order], return_index=True)
+        ends = [*first[1:].tolist(), len(order)]
+        blobs = [pa.array([v[order[a:b]].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary()) for v in (token, name)]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *blobs], ["bucket", "tokens", "ids"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                h, n = _sets(b.column(1))
+        held, size = [], 0
+        for b in batches:
+            for h, n, _ in sets_of(b.column(0), k):
                 own = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((h, counts.value[_place(h)], own))
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 on = rank < (n - -(-percent * n // 100) + 1)[own]
-                own = own[on]
-                yield pa.RecordBatch.from_arrays([pa.array(h[order][on].view(np.int64)), pa.array(b.column(0).to_numpy()[own]), pa.array(n[own].astype(np.int32))], ["token", "id", "n"])
-
-    return sets.select("id", "hashes").mapInArrow(scan, "token long, id long, n int")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (fp, to) of set names those that are similar, computed from the whole sets."""
-    asked = pairs.select(F.col("fp").alias("id")).union(pairs.select(F.col("to").alias("id"))).distinct()
-    if asked.count() <= NAMES:
-        asked = F.broadcast(asked)
-    held = stored(sets.select("id", "hashes").join(asked, "id", "left_semi").dropDuplicates(["id"]))
-    sides = pairs.join(held.select(F.col("id").alias("fp"), F.col("hashes").alias("x")), "fp").join(held.select(F.col("id").alias("to"), F.col("hashes").alias("y")), "to")
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                (x, nx), (y, ny) = _sets(b.column(2)), _sets(b.column(3))
-                h = np.concatenate([x, y])
-                own = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
-                order = np.lexsort((h, own))
-                h, own = h[order], own[order]
-                both = np.bincount(own[1:][(h[1:] == h[:-1]) & (own[1:] == own[:-1])], minlength=len(nx))
-                on = np.flatnonzero(100 * both >= percent * (nx + ny - both))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(on)), b.column(1).take(pa.array(on))], ["fp", "to"])
-
-    return sides.select("fp", "to", "x", "y").mapInArrow(similar, "fp long, to long")
-
-
-def near_kept(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component of similar texts the smallest doc_id."""
-    sets = stored(set_rows(docs, k))
-    tokens = prefixes(sets, percent)
-    near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    heads = tokens.groupBy("token").agg(F.min(F.struct("n", "id")).alias("head"), F.max("id").alias("_a"), F.min("id").alias("_b")).where("_a <> _b").drop("_a", "_b")
-    shared = stored(tokens.join(heads, "token"))
-    stars = shared.where((F.col("id") != F.col("head.id")) & near(F.col("n"), F.col("head.n")))
-    first = checkpointed(verified(stored(stars.select(F.col("head.id").alias("fp"), F.col("id").alias("to")).distinct()), sets, percent))
-    labels = components(first)
-
-    placed = shared.join(labels.withColumnRenamed("fp", "id"), "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root")).distinct()
-    mixed = placed.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("token")
-    left = stored(placed.join(mixed, "token", "left_semi"))
-    other = left.select("token", F.col("id").alias("to"), F.col("n").alias("m"), F.col("root").alias("over"))
-    rest = left.join(other, "token").where((F.col("root") < F.col("over")) & near(F.col("n"), F.col("m"))).select(F.col("id").alias("fp"), "to").distinct()
-    labels = components(first.union(verified(stored(rest), sets, percent)))
-
-    named = sets.select("doc_id", "id").join(labels.withColumnRenamed("fp", "id"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
-    named = stored(named)
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    gone = named.join(smallest, "root").where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+                held.append((h[order][on], names_of(h, n).view(U64)[own[on]]))
+                size += int(on.sum())
+                if size >= TOKENS:
+                    yield dealt(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if size:
+            yield dealt(*map(np.concatenate, zip(*held)))
+
+    def meet(t: pa.Table) -> pa.Table:
+        token, name = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u8") for c in ("tokens", "ids"))
+        order = np.lexsort((mix(name, 21), token))
+        token, name = token[order], name[order]
+        other = np.ones(len(token), bool)
+        other[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
+        token, name = token[other], name[other]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        head, size = np.repeat(name[first], size), np.repeat(size, size)
+        on = (size > 1) | (salts(token) > 1)
+        return pa.table([pa.array(v[on].view(np.int64)) for v in (token, name, head)], ["token", "id", "head"])
+
+    return docs.select("text").mapInArrow(scan, "bucket int, tokens binary, ids binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "token long, id long, head long")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (fp, to) of set names those that are near, computed from the whole sets.
+
+    The sets of many are compared with that of one (to), which every MEMBERS of them get.
+    """
+    pairs = stored(pairs.where("fp <> to"))
+    parts = pairs.groupBy("to").count().select("to", F.ceil(F.col("count") / MEMBERS).alias("parts"))
+    dealt = pairs.join(parts, "to").select("fp", "to", F.pmod(F.xxhash64("fp"), "parts").alias("part"))
+    asked = dealt.select(F.col("fp").alias("id"), "to", "part", F.lit(True).alias("member")).unionAll(dealt.select(F.col("to").alias("id"), "to", "part", F.lit(False).alias("member")).distinct())
+    asked = stored(asked.join(reps, "id").select("to", "part", "member", "id", F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    asked = F.broadcast(asked) if asked.count() <= KEYS else asked
+    texts = docs.select("doc_id", "text", text_key().alias("key"))
+    sides = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for h, n, _ in sets_of(b.column(4), k):
+                ends = np.cumsum(n).tolist()
+                blobs = pa.array([h[e - m : e].tobytes() for e, m in zip(ends, n.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(n)) for i in range(4)), blobs], ["to", "part", "member", "id", "hashes"])
+                at += len(n)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by (to, part), the one set before the many."""
+        held, one = None, np.zeros(0, "<u8")
+        for b in batches:
+            to, part, member, name = (np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(4))
+            near: list[np.ndarray] = []
+            starts = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (part[1:] != part[:-1]) | ~member[1:]])) if len(to) else np.zeros(0, np.int64)
+            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(to)]):
+                blobs = [v.as_buffer() for v in b.column(4).slice(x, y - x)]
+                if not member[x]:
+                    held, one, blobs, x = (to[x], part[x]), np.frombuffer(blobs[0], "<u8"), blobs[1:], x + 1
+                assert held is not None
+                if x < y:
+                    n = np.array([len(v) // 8 for v in blobs], np.int64)
+                    h = np.concatenate([np.frombuffer(v, "<u8") for v in blobs])
+                    hit = np.zeros(len(h), bool)
+                    if len(one):
+                        hit = one[np.minimum(np.searchsorted(one, h), len(one) - 1)] == h
+                    both = np.bincount(np.repeat(np.arange(len(n)), n), hit, len(n))
+                    near.append(x + np.flatnonzero((100 * both >= percent * (n + len(one) - both)) & (to[x:y] == held[0])))
+            on = np.concatenate(near) if near else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(to[on])], ["fp", "to"])
+
+    found = sides.select("to", "part", "member", "id", "text").mapInArrow(sets, "to long, part long, member boolean, id long, hashes binary")
+    return stored(found.repartition("to", "part").sortWithinPartitions("to", "part", "member").mapInArrow(compare, "fp long, to long"))
+
+
+def fullest(rows: DataFrame) -> DataFrame:
+    """(id, head) with repeats -> pairs (fp, to): each id with the head that it has most often."""
+    counted = rows.where("id <> head").groupBy("id", "head").count()
+    return counted.groupBy("id").agg(F.max_by("head", F.struct("count", "head")).alias("to")).select(F.col("id").alias("fp"), "to")
+
+
+def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
+    """(fp, root) of the sets that are near others; rows: named_rows(docs)."""
+    spark = docs.sparkSession
+    reps = stored(rows.groupBy("id").agg(F.min(F.struct("doc_id", "key", "n", "fp")).alias("r")).select("id", "r.*"))
+    heads = stored(reps.groupBy("fp").agg(F.min("id").alias("head")))
+    equal = reps.join(heads, "fp").select(F.col("id").alias("fp"), F.col("head").alias("to"))
+    links = trie_forest(heads.select("fp"), bits)
+    close = links.join(heads, "fp").select("to", F.col("head").alias("a")).join(heads.select(F.col("fp").alias("to"), F.col("head").alias("b")), "to").select(F.col("a").alias("fp"), F.col("b").alias("to"))
+
+    counts = place_counts(docs, k)
+    shared = stored(shared_tokens(docs, spark.sparkContext.broadcast(counts), k, percent, _hot(counts)))
+    edges = verified(equal.unionAll(close).unionAll(fullest(shared.select("id", "head"))).distinct(), reps, docs, k, percent)
+    left = shared.select("token", "id")
+    for turn in range(ROUNDS):
+        labels = components(edges)
+        placed = left.select("token", "id").join(labels.withColumnRenamed("fp", "id"), "id", "left").select("token", "id", F.coalesce("root", "id").alias("root"))
+        by_root = placed.groupBy("token", "root").count()
+        mixed = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("count").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q")).where("roots > 1")
+        mixed = stored(mixed.select("token", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")))
+        left = stored(placed.join(mixed.select("token"), "token", "left_semi"))
+        pairs, n = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0], left.count()
+        if n == 0:
+            return labels
+        if pairs <= max(PAIRS, PAIRS_EACH * n) or turn == ROUNDS - 1:
+            break
+        start = left.groupBy("token").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("h"))
+        tried = left.join(start, "token").where(F.col("root") != F.col("h.root")).select("id", F.col("h.id").alias("head"))
+        edges = stored(edges.unionAll(verified(fullest(tried), reps, docs, k, percent)))
+
+    other = left.select("token", F.col("id").alias("to"), F.col("root").alias("over"))
+    met = left.join(other, "token").where(F.col("root") < F.col("over")).groupBy("id", "to").count()
+    sizes = reps.select("id", "n")
+    met = met.join(sizes, "id").join(sizes.select(F.col("id").alias("to"), F.col("n").alias("m")), "to")
+    beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1  # noqa: E731  (hashes that aren't tokens)
+    least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)) - F.greatest(beyond("n"), beyond("m"))
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("count") >= least)
+    return components(edges.unionAll(verified(met.where(fits).select(F.col("id").alias("fp"), "to"), reps, docs, k, percent)))
+
+
+def near_kept(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each component of near texts."""
+    rows = stored(named_rows(docs, k))
+    labels = labelled(docs, rows, k, percent, bits)
+    placed = stored(rows.select("doc_id", "key", "id").join(labels.withColumnRenamed("fp", "id"), "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("root")))
+    best = placed.groupBy("root").agg(F.min(first_row()).alias("best")).select("best.doc_id", "best.key")
+    return rows_without(docs, placed, others(placed, best))

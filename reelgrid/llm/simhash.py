@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, others, rows_without, stored, text_key
 from .textscan import Words, slices, words, xxh64
 
 U64 = np.uint64
@@ -45,31 +45,43 @@ def shingle_spans(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return w.start[begin], w.start[last] + w.size[last] - w.start[begin], doc
 
 
+def voted(h: np.ndarray, doc: np.ndarray, ones: np.ndarray) -> None:
+    """Add to ones[text, bit] the hashes h, whose texts ascend in doc."""
+    for at in range(0, len(doc), SHINGLES_AT_ONCE):
+        part = slice(at, at + SHINGLES_AT_ONCE)
+        bits = np.unpackbits(h[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own, where = np.unique(doc[part], return_index=True)
+        ones[own] += np.add.reduceat(bits, where, axis=0, dtype=np.int32)
+
+
+def won(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The fingerprints: a bit is 1 if set in over half of the hashes."""
+    return np.packbits((2 * ones > total[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def fingerprints(texts: pa.Array, k: int = 3, seed: int = 42) -> np.ndarray:
     """One uint64 per text."""
     out = np.zeros(len(texts), U64)
     for begin, end in slices(texts):
         w = words(texts.slice(begin, end - begin))
         start, size, doc = shingle_spans(w, k)
-        ones, total = np.zeros((w.n, 64), np.int64), np.bincount(doc, minlength=w.n)
+        ones = np.zeros((w.n, 64), np.int64)
         for at in range(0, len(doc), SHINGLES_AT_ONCE):
             part = slice(at, at + SHINGLES_AT_ONCE)
-            bits = np.unpackbits(xxh64(w.text, start[part], size[part], seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            own, where = np.unique(doc[part], return_index=True)
-            ones[own] += np.add.reduceat(bits, where, axis=0, dtype=np.int32)
-        won = (2 * ones > total[:, None]).astype(np.uint8)
-        out[begin:end] = np.packbits(won, axis=1, bitorder="little").view("<u8")[:, 0]
+            voted(xxh64(w.text, start[part], size[part], seed), doc[part], ones)
+        out[begin:end] = won(ones, np.bincount(doc, minlength=w.n))
     return out
 
 
 def fingerprint_rows(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and the fingerprint as a (signed) long, for each row."""
+    """doc_id, key (of the row) and the fingerprint as a (signed) long, for each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1), k, seed).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints(b.column(2), k, seed).view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(scan, f"doc_id {kind}, key long, fp long")
 
 
 class Forest:
@@ -282,20 +294,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
-    rows = checkpointed(fingerprint_rows(docs, k, seed))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+def named_rows(docs: DataFrame, k: int, seed: int, budget: int) -> DataFrame:
+    """doc_id, key, fp, root (a fingerprint of the component), component_id of every row."""
+    rows = stored(fingerprint_rows(docs, k, seed))
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     labels = components(trie_forest(nodes.select("fp"), budget))
     inside = labels.join(nodes, "fp")
     named = inside.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = inside.join(named, "root").select("fp", "component_id")
-    told = checkpointed(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
-    return rows.join(told, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = inside.join(named, "root").select("fp", "root", "component_id")
+    told = stored(nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")))
+    return rows.join(told, "fp")
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    return named_rows(docs, k, seed, budget).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_row() -> Column:
+    """The order in which rows of a component stay: the smallest doc_id, null last, then a hash of the text."""
+    return F.struct(F.col("doc_id").isNull(), "doc_id", "key")
 
 
 def near_kept(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 3) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the smallest doc_id."""
-    found = near_duplicates(docs, k, seed, budget)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of docs that stay, with all their columns: of each component the row that is first_row()."""
+    rows = stored(named_rows(docs, k, seed, budget).select("doc_id", "key", "root"))
+    best = rows.groupBy("root").agg(F.min(first_row()).alias("best")).select("best.doc_id", "best.key")
+    return rows_without(docs, rows, others(rows, best))

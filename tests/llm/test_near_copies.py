@@ -2,7 +2,10 @@
 
 import re
 
+import numpy as np
+
 import corpus_pipeline
+from reelgrid.llm import near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -58,3 +61,39 @@ def test_near_stage_equals_brute_force(spark, sf):
 
 def test_near_stage_of_nothing(spark):
     assert kept(spark, []) == []
+
+
+def test_near_stage_in_rounds_and_hot_buckets(spark, monkeypatch):
+    """Rounds go on as if every group were dense, and every token is dealt to several buckets: the same rows stay."""
+    monkeypatch.setattr(near_copies, "PAIRS", 0)
+    monkeypatch.setattr(near_copies, "PAIRS_EACH", 0)
+    monkeypatch.setattr(near_copies, "MEMBERS", 2)
+    monkeypatch.setattr(near_copies, "_hot", lambda counts: 2)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(12):
+            words = list(base)
+            for p in rng.choice(120, rng.integers(0, 5), replace=False):
+                words[p] = f"n{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, " ".join(f"g0w{j}" for j in range(30)) + " " + " ".join(f"o{i}x{j}" for j in range(60))) for i in range(8)]
+    assert kept(spark, rows) == brute_kept(rows)
+
+
+def test_rows_stay_by_row(spark):
+    """Ids may repeat and be null; a text that nothing is like stays, whatever its id; user columns are kept."""
+    t, u = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, t, "a"), (5, t, "b"), (5, "a text of its own which nothing else is like", "c"), (7, u, "d"), (7, u, "e"), (None, t, "f"), (None, "alone", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    for keep in (near_copies.near_kept, simhash.near_kept):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        got = sorted((r["doc_id"] or 0, r["_key"]) for r in got.collect())
+        assert got in ([(0, "g"), (1, "a"), (5, "c"), (7, "d")], [(0, "g"), (1, "a"), (5, "c"), (7, "e")])
+
+
+def test_ids_may_be_texts(spark):
+    docs = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), ("c", "other")], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in near_copies.near_kept(docs).collect()) == ["a", "c"]
