@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, exact dedup, SimHash near-dedup, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents, and work on all rows that the stage before it kept.
+of documents, and work on all rows that the stage before it kept. Null, empty and very long texts,
+null and repeated ids, repeated rows and further columns are defined by the operators' own modules: a
+null or empty text is rejected by the first stage, of equal or near texts one row stays.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose sets of 5-word shingles are alike by 0.8 or more the document with the smallest id."""
+    """Of each group of texts whose sets of 5-word shingles are alike by 0.8 or more the document with the smallest id.
+
+    The closest copies meet in the SimHash trie self-join, all others by prefixes of their sets.
+    """
     return near_copies.near_kept(docs)
 
 
