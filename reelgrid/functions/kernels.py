@@ -23,13 +23,14 @@ WEIGHTS = [
     176.39317598450694, 0.0, 0.0, 24.43300999870476, 0.28520802612117757, 0.0004485436923833408,
     0.0, 0.0, 0.0, 34.77906344483772, 44.835625328877896, 0.0,
     0.0, 0.0, 0.0, 0.0, 0.0, 0.0,
-    0.0, 0.0, 0.0008680556573291698, 0.0, 0.0, 0.0,
-    0.0, 0.0, 0.0005313191874358747, 0.0, 0.00016533814161379112, 0.0,
-    0.0, 0.0, 0.0, 0.0, 0.0004179171803251336, 0.0017290828234722833,
-    0.0, 0.0020827005846636437, 0.0, 0.0, 8.826982764996862, 23.19243343998926,
-    0.0, 95.1080498811086, 0.9863978034400682, 0.9834382792465353, 0.0012286405048278493, 171.2667255897307,
-    0.9807858872435379, 0.0, 0.0, 0.0, 0.0005130064588990679, 0.0, 0.00010854057858411537,
+    0.0, 0.0008680556573291698, 0.0, 0.0, 0.0, 0.0,
+    0.0, 0.0005313191874358747, 0.0, 0.00016533814161379112, 0.0, 0.0,
+    0.0, 0.0, 0.0, 0.0004179171803251336, 0.0017290828234722833, 0.0,
+    0.0020827005846636437, 0.0, 0.0, 8.826982764996862, 23.19243343998926, 0.0,
+    95.1080498811086, 0.9863978034400682, 0.9834382792465353, 0.0012286405048278493, 171.2667255897307, 0.9807858872435379,
+    0.0, 0.0, 0.0, 0.0005130064588990679, 0.0, 0.00010854057858411537,
 ]
+assert len(WEIGHTS) == 108
 
 
 def kernel(sigma: float, radius: int) -> np.ndarray:

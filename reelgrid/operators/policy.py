@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 NATIVE_VIDEO = ["V_MPEG4/ISO/AVC", "V_MPEGH/ISO/HEVC", "V_AV1", "V_MPEG2", "V_MPEG1"]
 NATIVE_AUDIO = ["A_OPUS", "A_FLAC", "A_ALAC", "A_AC3", "A_EAC3", "A_MPEG/L1", "A_MPEG/L2", "A_MPEG/L3", "A_PCM/INT/LIT", "A_PCM/INT/BIG", "A_PCM/FLOAT/IEEE"]
 DECODABLE_AUDIO = ["A_OPUS", "A_AC3", "A_EAC3", "A_MPEG/L1", "A_MPEG/L2", "A_MPEG/L3"]
+# Four-character codes and names of codecs, extensions of containers and of camera formats.
 UNIFIED = {"avc1": "V_MPEG4/ISO/AVC", "avc3": "V_MPEG4/ISO/AVC", "hvc1": "V_MPEGH/ISO/HEVC", "hev1": "V_MPEGH/ISO/HEVC", "av01": "V_AV1", "vp09": "V_VP9", "mp4a": "A_AAC", "aac": "A_AAC", "alac": "A_ALAC", "opus": "A_OPUS", "Opus": "A_OPUS", "fLaC": "A_FLAC", "flac": "A_FLAC"}
 #: Nominal frames in a packet of each audio codec.
 PACKET_FRAMES = {"A_FLAC": 4096, "A_OPUS": 960, "A_AC3": 1536, "A_EAC3": 1536, "A_MPEG/L3": 1152, "A_MPEG/L2": 1152, "A_MPEG/L1": 384}
 NATIVE_EXTENSIONS = ["mp4", "mov", "m4v", "qt"]
-RAW_EXTENSIONS = ["dng", "cr2", "cr3", "nef", "arw", "raf", "orf", "rw2", "pef", "srw", "raw", "3fr"]
+RAW_EXTENSIONS = ["cr2", "cr3", "nef", "arw", "raf", "orf", "rw2", "dng", "pef", "3fr", "iiq", "gpr"]
+STILL_TYPES = {"public.png": "png", "public.jpeg": "jpeg", "public.tiff": "tiff", "public.heic": "heic", "public.heif": "heic", "public.avif": "avif", "com.microsoft.bmp": "bmp", "com.compuserve.gif": "gif"}
+STILL_EXTENSIONS = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "tif": "tiff", "tiff": "tiff", "heic": "heic", "heif": "heic", "avif": "avif", "bmp": "bmp", "gif": "gif"}
 
 
 def codec_gate(codec: Column) -> Column:
@@ -123,12 +126,54 @@ def pdf_size(w: Column, h: Column, rotation: Column, dpi: int) -> tuple[Column,
     return F.when(turned, side(h)).otherwise(side(w)), F.when(turned, side(w)).otherwise(side(h))
 
 
-def still_format(path: Column) -> Column:
-    """By lower-cased extension, then the camera formats, else unknown."""
+def _named(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def still_format(path: Column, declared: Column | None = None) -> Column:
+    """By the declared type, if it is a known one, else by lower-cased extension, camera formats among them, else unknown.
+
+    A declared type that conforms to `public.camera-raw-image` is raw.
+    """
     e = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    known = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "tif": "tiff", "tiff": "tiff", "heic": "heic", "heif": "heic", "gif": "gif", "bmp": "bmp", "webp": "webp", "avif": "avif", "pdf": "pdf"}
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, e), F.when(e.isin(RAW_EXTENSIONS), "raw").otherwise("unknown"))
+    by_name = F.coalesce(_named(STILL_EXTENSIONS, e), F.when(e.isin(RAW_EXTENSIONS), "raw").otherwise("unknown"))
+    if declared is None:
+        return by_name
+    return F.coalesce(_named(STILL_TYPES, declared), F.when(declared == "public.camera-raw-image", "raw"), by_name)
+
+
+def still_route(path: Column, declared: Column | None = None) -> Column:
+    """What decodes a still: pdf pages, the raw decoder (which may defer), or the image decoder."""
+    raw = still_format(path, declared) == "raw"
+    return F.when(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)) == "pdf", "pdf").when(raw, "raw").otherwise("image")
+
+
+def still_metadata(w: Column, h: Column, depth: Column, alpha: Column, premultiplied: Column, orientation: Column, dpi: Column, tiff_dpi: Column) -> Column:
+    """Properties of a still with their defaults: no size is 0, depth 8, orientation 1; DPI is the explicit one, else that of the TIFF block."""
+    mode = F.when(~F.coalesce(alpha, F.lit(False)), "none").when(F.coalesce(premultiplied, F.lit(False)), "premultiplied").otherwise("straight")
+    return F.struct(
+        F.coalesce(w, F.lit(0)).alias("width"), F.coalesce(h, F.lit(0)).alias("height"), F.coalesce(depth, F.lit(8)).alias("depth"),
+        mode.alias("alpha"), F.coalesce(orientation, F.lit(1)).alias("orientation"), F.coalesce(dpi, tiff_dpi).alias("dpi"),
+    )
+
+
+def native_probe(extension: Column, w: Column, h: Column, rate: Column) -> Column:
+    """Container, rounded size and rate of a file that the system reads: `.mov` is mov, all else mp4; no rate is 30."""
+    return F.struct(
+        F.when(F.lower(extension) == "mov", "mov").otherwise("mp4").alias("container"),
+        F.round(w).cast("long").alias("width"), F.round(h).cast("long").alias("height"), F.when(rate > 0, rate).otherwise(30.0).alias("fps"),
+    )
+
+
+def noisy(probe: Column, gate: float = 90.0) -> Column:
+    """The camera gate: a probe score under the gate; without a probe nothing is noisy."""
+    return F.coalesce(probe < gate, F.lit(False))
+
+
+def raw_options(knobs: dict[str, Column]) -> Column:
+    """The settings that are made: a knob that is null is not touched, which differs from 0."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in knobs.items()])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
 
 def probe_fps(default_duration_ns: Column) -> Column:
