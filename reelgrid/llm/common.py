@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import isqrt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that tells its rows apart and stays the same however often they are read.
+
+    Rows read straight from files are known by (hash of the file's path, place in the file); others
+    are written to the shared folder with a number.
+    """
+    plan, simple = docs._jdf.queryExecution().analyzed(), True
+    while plan.children().size() == 1:
+        simple &= plan.nodeName() in ("Project", "Filter", "SubqueryAlias")
+        plan = plan.children().head()
+    if simple and plan.children().isEmpty() and plan.nodeName().startswith("LogicalRelation"):
+        try:
+            return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+        except AnalysisException:  # no file source, or one without row numbers
+            pass
+    return stored(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))))
+
+
+def parts_of_hot(docs: DataFrame, least: int = 16) -> int:
+    """Parts in which one group's rows are summed up: about the root of the rows, so that neither a part nor the row of its sums is large."""
+    return max(least, min(1 << 20, isqrt(max(1, text_bytes(docs) // 2048))))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
