@@ -1,13 +1,16 @@
 """URL filtering by fixed rules and by association rules that FP-growth mines from labels.
 
-Each labelled url is a set of tokens (labels of its host, words of its path, parameter names), with one more token if its label is bad. Spark's FP-growth finds the frequent sets; of the
-rules that end in that token those with enough confidence and support, and without a more general
-rule as confident, stay. They match through an inverted index: a rule is filed under its rarest
-token, urls look up their tokens, and the rest of the rule is checked where the token matched.
+Each labelled url is a set of tokens (labels of its host, words of its path, parameter names). Tokens
+that occur in exactly the same labelled urls are one item, so a template of many tokens that always
+come together is not mined set by set. Spark's FP-growth finds the frequent sets of items, with one
+more item for a bad label; from a set's counts with and without that item come the rules. Those stay
+that have enough support, a confidence of at least LIFT times the share of bad urls, and no more
+general rule as confident. They match through an inverted index: a rule is filed under its rarest
+item, urls look up their items, and the rest of the rule is checked where the item matched.
 A fixed rule (host and path prefix) that fits decides before any mined rule; the longest wins.
 
 Defined results: a null url or one without `://` has an empty host and path and no tokens, and is
-allowed; page ids may repeat or be null; a null label is no label; without labels or without rules
+allowed; page ids may repeat or be null; a null label is no label; without bad labels or without rules
 everything that no fixed rule blocks is allowed; extra columns are ignored; an empty table gives an
 empty result.
 """
@@ -18,10 +21,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import ascii_lower, checkpointed, stored
 
-#: Least support of a mined rule, as a share and a number of labelled urls, and least confidence.
-SUPPORT, LEAST, CONFIDENCE = 0.0005, 10, 0.6
+#: Least support of a mined rule, as a share and a number of labelled urls, and how many times more often its urls are bad than all are.
+SUPPORT, LEAST, LIFT = 0.0005, 10, 1.5
 BAD = "=bad"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Rules below this number are broadcast with their index; beyond it the look-up is a shuffled join.
@@ -56,29 +59,56 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
-    """(url, bad) -> rules: antecedent, confidence, support; none that a subset of it makes needless."""
-    items = labelled.where("url is not null and bad is not null").select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
-    n = items.count()
-    if n == 0:
-        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double, rule_id long")
+def items_of(labelled: DataFrame) -> DataFrame:
+    """(token, item): tokens of exactly the same urls have one item, the smallest of them. labelled: _row, tokens."""
+    seen = labelled.select("_row", F.explode("tokens").alias("token"))
+    # Which urls a token has: their number and two independent sums of their hashes.
+    h = lambda seed: F.sum(F.xxhash64("_row", F.lit(seed)).cast("decimal(38,0)")).alias(f"h{seed}")
+    held = seen.groupBy("token").agg(F.count("*").alias("n"), h(1), h(2))
+    first = held.groupBy("n", "h1", "h2").agg(F.min("token").alias("item"))
+    return held.join(first, ["n", "h1", "h2"]).select("token", "item")
+
+
+def with_items(urls: DataFrame, items: DataFrame) -> DataFrame:
+    """_row and the set of items of each url (_row, tokens) that has any."""
+    few = items.count() <= BROADCAST_RULES
+    seen = urls.select("_row", F.explode("tokens").alias("token"))
+    return seen.join(F.broadcast(items) if few else items, "token").groupBy("_row").agg(F.collect_set("item").alias("items"))
+
+
+def filed(rules: DataFrame, often: DataFrame) -> DataFrame:
+    """rules with `item`, the one of the antecedent that is rarest by often (item, count)."""
+    wide = rules.select("rule_id", F.explode("antecedent").alias("item")).join(often, "item", "left")
+    rarest = wide.groupBy("rule_id").agg(F.min_by("item", F.struct(F.coalesce("count", F.lit(0)), "item")).alias("item"))
+    return rarest.join(rules, "rule_id")
+
+
+def mined(labelled: DataFrame, support: float = SUPPORT, lift: float = LIFT, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(url, bad) -> rules (rule_id, antecedent of items, confidence, support) and items (token, item).
+
+    No rule stays that another, with a part of its antecedent, is as confident as.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.where("url is not null and bad is not null").select("bad", tokens(F.col("url")).alias("tokens")).where(F.size("tokens") > 0)
+    rows = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
+    n, share = rows.agg(F.count("*"), F.avg(F.col("bad").cast("double"))).first()
+    if not share:
+        return spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double"), spark.createDataFrame([], "token string, item string")
+    items = checkpointed(items_of(rows))
+    sets = with_items(rows, items).join(rows.select("_row", "bad"), "_row")
+    baskets = checkpointed(sets.select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")))
     support = max(support, min(1.0, least / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    frequent = checkpointed(FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets)
+    plain = frequent.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("all"))
+    bad = frequent.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("antecedent"), "freq")
+    confidence = (F.col("freq") / F.col("all")).alias("confidence")
+    rules = plain.join(bad, "antecedent").where(F.col("freq") >= lift * share * F.col("all")).select("antecedent", confidence, (F.col("freq") / n).alias("support"))
     rules = checkpointed(rules.withColumn("rule_id", F.monotonically_increasing_id()))
-    # A more general rule shares some token with the special one, so pairs meet on tokens and no others.
-    wide = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
-    general = rules.select(F.col("antecedent").alias("less"), F.col("confidence").alias("other"), F.element_at("antecedent", 1).alias("token"))
-    needless = wide.join(general, "token").where((F.size("less") < F.size("antecedent")) & (F.size(F.array_except("less", "antecedent")) == 0) & (F.col("other") >= F.col("confidence")))
-    return checkpointed(rules.join(needless.select("rule_id").distinct(), "rule_id", "left_anti"))
-
-
-def index(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """token, antecedent, confidence, rule_id: each rule under the token that the fewest urls have."""
-    wide = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
-    often = urls.select(F.explode(tokens(F.col("url"))).alias("token")).join(F.broadcast(wide.select("token").distinct()) if rules.count() <= BROADCAST_RULES else wide.select("token").distinct(), "token", "left_semi").groupBy("token").count()
-    filed = wide.join(often, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    return filed.join(rules, "rule_id")
+    # A more general rule shares its rarest item with the special one, so pairs meet on items and no others.
+    wide = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("item"))
+    general = filed(rules, wide.groupBy("item").count()).select("item", F.col("antecedent").alias("less"), F.col("confidence").alias("other"))
+    needless = wide.join(general, "item").where((F.size("less") < F.size("antecedent")) & (F.size(F.array_except("less", "antecedent")) == 0) & (F.col("other") >= F.col("confidence")))
+    return checkpointed(rules.join(needless.select("rule_id").distinct(), "rule_id", "left_anti")), items
 
 
 def fixed_rules(spark, block: list[str], allow: list[str]) -> DataFrame:
@@ -87,21 +117,22 @@ def fixed_rules(spark, block: list[str], allow: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, domain string, prefix string, says string")
 
 
-def judged(pages: DataFrame, labelled: DataFrame, block: list[str], allow: list[str], support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
+def judged(pages: DataFrame, labelled: DataFrame, block: list[str], allow: list[str], support: float = SUPPORT, lift: float = LIFT, least: int = LEAST) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence (of the mined rule that blocks) of every row."""
     spark = pages.sparkSession
-    urls = checkpointed(pages.select("page_id", "url").withColumn("_row", F.monotonically_increasing_id()))
-    rows = urls.select("_row", "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = stored(pages.select("page_id", "url").withColumn("_row", F.monotonically_increasing_id()))
+    rows = urls.select("_row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
     fixed = fixed_rules(spark, block, allow)
     fits = rows.select("_row", "path", F.explode(suffixes(F.col("host"))).alias("domain")).join(F.broadcast(fixed) if len(block) + len(allow) <= BROADCAST_RULES else fixed, "domain").where(F.col("path").startswith(F.col("prefix")))
     fits = fits.groupBy("_row").agg(F.max_by(F.struct("rule", "says"), F.struct(F.length("rule"), "rule")).alias("_fixed"))
 
-    rules = mined(labelled, support, confidence, least)
-    filed = checkpointed(index(rules, urls)).select("token", "antecedent", "confidence")
-    small = filed.count() <= BROADCAST_RULES
-    seen = urls.select("_row", tokens(F.col("url")).alias("_own")).select("_row", "_own", F.explode("_own").alias("token"))
-    hits = seen.join(F.broadcast(filed) if small else filed, "token").where(F.size(F.array_except("antecedent", "_own")) == 0)
+    rules, items = mined(labelled, support, lift, least)
+    used = checkpointed(items.join(rules.select(F.explode("antecedent").alias("item")).distinct(), "item", "left_semi"))
+    own = stored(with_items(urls.select("_row", tokens(F.col("url")).alias("tokens")), used))
+    seen = own.select("_row", "items", F.explode("items").alias("item"))
+    index = checkpointed(filed(rules, seen.groupBy("item").count()).select("item", "antecedent", "confidence"))
+    hits = seen.join(F.broadcast(index) if index.count() <= BROADCAST_RULES else index, "item").where(F.size(F.array_except("antecedent", "items")) == 0)
     hits = hits.groupBy("_row").agg(F.max("confidence").alias("confidence"))
 
     found = rows.join(fits, "_row", "left").join(hits, "_row", "left")
