@@ -4,8 +4,8 @@ Only documents longer than a sequence are cut. What is packed are narrow rows (i
 are dealt out at random into groups of bounded size, each group is packed best-fit (longest first,
 each item into the fullest bin that still takes it), and bins with almost no room left are final.
 The other bins become items of the next round, in which fewer groups meet; rounds go on until one
-group has packed the rest, or until a round no longer lowers the number of open bins, so no task
-ever holds more than a group.
+group has packed the rest, or until a round no longer lowers the number of open bins. There are never
+fewer groups than items need, so a task holds about GROUP items at most, as evenly as hashes fall.
 
 Defined results: a null text counts as empty and makes one piece, the end token; repeated rows are
 packed each; a null doc_id stays null; extra columns are ignored; an empty table gives an empty
@@ -48,9 +48,9 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, with_ids: bool =
                         part = own[at : at + size].tobytes()
                         rows.append((doc, k, at, len(part) // 4, zlib.crc32(part), part))
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()) if with_ids else (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (ids.type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()) if with_ids else (ids.type, pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
@@ -105,7 +105,7 @@ def pack(items: DataFrame, size: int = SIZE, group: int = GROUP, room: int = ROO
         n = open_bins.count()
         if n == 0 or (before is not None and n > 0.98 * before):
             break
-        level, before, groups = level + 1, n, max(1, min(-(-groups // 4), -(-n // group)))
+        level, before, groups = level + 1, n, max(-(-groups // 4), -(-n // group))
         bins = checkpointed(_packed(open_bins, groups, size, level))
         moved = bins.select(F.col("item").alias("bin"), F.col("bin").alias("over"))
         out = out.join(moved, "bin", "left").select("item", F.coalesce("over", "bin").alias("bin"))
