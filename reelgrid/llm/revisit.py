@@ -7,7 +7,9 @@ of the revisit, but for the headers that describe the body or the connection, an
 stored one, given by its record; bodies are never moved.
 
 The as-of is done in two levels, so that a URL with a third of all records isn't one task: within
-slices of time, and over one summary row per URL and slice.
+slices of the order of (time, record id), and over one summary row per URL and slice. Slices are
+quantiles of all records, so a burst at one time is cut too; their number is about the root of the
+records' (SLICES at most). Records that can have no origin take no part in either.
 
 Defined results: records with a null url, time or id are never an origin; a revisit among them, or
 one without an earlier response, is `no_origin`; without validators on the revisit there is nothing
@@ -17,16 +19,18 @@ arbitrarily among themselves but are each resolved; an empty table gives an empt
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 #: Headers of a 304 response that never replace stored ones (fixed values, from the HTTP caching standard).
 NOT_MERGED = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade"]
 TRACKING = "^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
-#: Slices of the whole range of times.
-SLICES = 512
+#: Slices of the order of all records, at most.
+SLICES = 100_000
 
 
 def canonical(url: Column) -> Column:
@@ -49,29 +53,33 @@ def merged(stored: Column, fresh: Column) -> Column:
     return F.map_concat(kept, allowed)
 
 
-def resolved(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolved(records: DataFrame, slices: int | None = None) -> DataFrame:
     """record_id, canonical_url, outcome, origin_id, headers of each revisit.
 
     records: record_id, url, time (long), status, etag, last_modified, headers (map of strings).
     """
     empty = F.create_map().cast("map<string,string>")
     r = records.where(F.col("status").isin(200, 304)).select("record_id", canonical(F.col("url")).alias("_url"), "time", "status", "etag", "last_modified", F.coalesce("headers", empty).alias("headers"))
-    bounds = r.agg(F.min("time").alias("_low"), F.max("time").alias("_high"))
-    width = F.greatest(F.lit(1.0), (bounds.select(F.col("_high").cast("double") - F.col("_low").cast("double")).scalar()) / slices)
-    r = r.withColumn("_slice", F.floor((F.col("time").cast("double") - bounds.select(F.col("_low").cast("double")).scalar()) / width))
-    usable = (F.col("status") == 200) & F.col("_url").isNotNull() & F.col("time").isNotNull() & F.col("record_id").isNotNull()
-    full = F.when(usable, F.struct("time", "record_id", "etag", "last_modified", F.map_entries("headers").alias("headers")))
+    placed = F.col("_url").isNotNull() & F.col("time").isNotNull()
+    usable = (F.col("status") == 200) & placed & F.col("record_id").isNotNull()
+    full_type = "struct<time:long,record_id:{},etag:string,last_modified:string,headers:array<struct<key:string,value:string>>>".format(records.schema["record_id"].dataType.simpleString())
+    lost = r.where((F.col("status") == 304) & ~placed).select("record_id", "_url", "etag", "last_modified", "headers", F.lit(None).cast(full_type).alias("_from"))
+
+    r = r.where(placed & ((F.col("status") == 304) | F.col("record_id").isNotNull()))
+    slices = slices or max(16, min(SLICES, isqrt(r.count()) // 2))
+    # Records of one key lie in one slice, so slices keep the order.
+    r = stored(r.repartitionByRange(slices, "time", "record_id").withColumn("_slice", F.spark_partition_id()))
+    full = F.when(usable, F.struct("time", "record_id", "etag", "last_modified", F.map_entries("headers").alias("headers")).cast(full_type))
 
     near = Window.partitionBy("_url", "_slice").orderBy("time", "record_id", F.col("status").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_near", F.last(full, ignorenulls=True).over(near))
     ends = r.where(usable).groupBy("_url", "_slice").agg(F.max_by(full, F.struct("time", "record_id")).alias("_end"))
     # The last response of all earlier slices: one row per URL and slice that holds any record.
     marks = r.where("status = 304").select("_url", "_slice").distinct().join(ends, ["_url", "_slice"], "full")
     before = Window.partitionBy("_url").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     far = marks.withColumn("_far", F.last("_end", ignorenulls=True).over(before)).select("_url", "_slice", "_far")
 
-    asked = r.where("status = 304").join(far, ["_url", "_slice"], "left")
-    asked = asked.withColumn("_from", F.when(F.col("_url").isNotNull() & F.col("time").isNotNull(), F.coalesce("_near", "_far")))
+    asked = r.withColumn("_near", F.last(full, ignorenulls=True).over(near)).where("status = 304").join(far, ["_url", "_slice"], "left")
+    asked = asked.select("record_id", "_url", "etag", "last_modified", "headers", F.coalesce("_near", "_far").alias("_from")).unionByName(lost)
     agrees = F.when(F.col("etag").isNotNull(), F.coalesce(weak(F.col("etag")) == weak(F.col("_from.etag")), F.lit(False))).when(F.col("last_modified").isNotNull(), F.coalesce(F.col("last_modified") == F.col("_from.last_modified"), F.lit(False))).otherwise(True)
     outcome = F.when(F.col("_from").isNull(), "no_origin").when(agrees, "resolved").otherwise("validator_mismatch")
     asked = asked.withColumn("outcome", outcome)
