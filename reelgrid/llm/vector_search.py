@@ -6,13 +6,15 @@ candidates is one matrix product of codes (in float32, where sums of such produc
 whose upper bound reaches the query's k-th lower bound survive, are computed again in double
 precision from the original vectors, and go to a heap per query; heaps of partitions are merged.
 
-Candidates are read where they lie. Queries are broadcast in waves of at most WAVE_BYTES, so their
-number may grow with the table.
+Candidates are read where they lie. Queries are broadcast in waves of about WAVE_BYTES, one after the
+other: a wave's queries reach the driver, its results are written to the shared folder, and its
+broadcast is destroyed before the next wave begins. Their number may so grow with the table.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and rows with
 a null id, take no part; vectors of another dimension are not compared; ties go to the smaller
-vec_id; a row that carries the query's id is its own; of query rows with one id the smallest vector
-counts; an empty table gives an empty result; extra columns are ignored.
+vec_id; of rows with one id each is a query of its own, and a candidate for the others; vectors are
+scaled by powers of two, so very large and very small components neither overflow nor vanish; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import numbered, stored
 
 WAVE_BYTES = 16 << 20
 #: Rows of a tile on either side, and surviving pairs that are computed again at once.
@@ -53,7 +55,13 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, to lie between 1/2 and 1; no digit of a component that counts is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = scaled(a), scaled(b)
     return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
 
 
@@ -75,19 +83,19 @@ class Heaps:
 
 
 class Queries:
-    """Queries of one dimension, ready for tiles."""
+    """Queries of one dimension, ready for tiles; ids are their numbers in the wave, keys tell their rows."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, x, k
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.keys, self.x, self.k = ids, keys, x, k
         self.code, self.scale, self.error = coded(x)
 
-    def tile(self, ids: np.ndarray, x: np.ndarray, heaps: Heaps) -> None:
+    def tile(self, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, heaps: Heaps) -> None:
         code, scale, error = coded(x)
         for at in range(0, len(self.ids), TILE):
             q = slice(at, at + TILE)
             near = product(self.code[q], code) * self.scale[q, None] * scale
             off = self.error[q, None] * (1 + error) + error * (1 + self.error[q, None]) + self.error[q, None] * error + SLACK
-            near[self.ids[q, None] == ids] = -np.inf
+            near[(self.keys[q, None, 0] == keys[:, 0]) & (self.keys[q, None, 1] == keys[:, 1])] = -np.inf
             lower = near - off
             floor = np.partition(lower, -self.k, axis=1)[:, -self.k] if len(ids) > self.k else np.full(len(near), -np.inf)
             own = [heaps.of.get(i, ()) for i in self.ids[q].tolist()]
@@ -126,32 +134,40 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of each row whose vec_id is divisible by every."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull())
-    rows = rows.where(usable(F.col("v"))).select("vec_id", "v", F.size("v").alias("d"))
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = checkpointed(asked.select("vec_id", "v", F.size("v").alias("d")))
-    total = asked.agg(F.coalesce(F.sum(F.col("d") * 8 + 8), F.lit(0))).first()[0]
+    spark = vectors.sparkSession
+    rows = numbered(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "_row").where(F.col("vec_id").isNotNull())
+    rows = rows.where(usable(F.col("v"))).select("vec_id", "v", F.size("v").alias("d"), "_row.file", "_row.at")
+    asked = stored(rows.where(F.col("vec_id") % every == 0))
+    total = asked.agg(F.coalesce(F.sum(F.col("d") * 8 + 24), F.lit(0))).first()[0]
     waves = max(1, -(-total // wave_bytes))
 
     def searched(wave: int) -> DataFrame:
-        sets: dict[int, tuple[list, list]] = {}
-        for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave).collect() if total else []:
-            sets.setdefault(r["d"], ([], []))[0].append(r["vec_id"])
-            sets[r["d"]][1].append(np.array(r["v"]))
-        held = vectors.sparkSession.sparkContext.broadcast({d: (np.array(i), np.stack(v)) for d, (i, v) in sets.items()})
+        sets: dict[int, list] = {}
+        names = []
+        for r in asked.where(F.pmod(F.xxhash64("file", "at"), F.lit(waves)) == wave).toLocalIterator() if total else []:
+            own = sets.setdefault(r["d"], ([], [], []))
+            for to, value in zip(own, (len(names), (r["file"], r["at"]), np.array(r["v"]))):
+                to.append(value)
+            names.append(r["vec_id"])
+        held = spark.sparkContext.broadcast({d: (np.array(i), np.array(key), np.stack(v)) for d, (i, key, v) in sets.items()})
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            queries = {d: Queries(i, x, k) for d, (i, x) in held.value.items()}
+            queries = {d: Queries(*of, k) for d, of in held.value.items()}
             heaps = Heaps(k)
             for b in batches:
                 for d, q in queries.items():
                     own = b.filter(pc.equal(b.column(2), d))
                     for at in range(0, len(own), TILE):
                         part = own.slice(at, TILE)
-                        q.tile(part.column(0).to_numpy(), matrix(part.column(1), d), heaps)
+                        keys = np.stack([part.column(c).to_numpy() for c in (3, 4)], axis=1)
+                        q.tile(part.column(0).to_numpy(), keys, matrix(part.column(1), d), heaps)
             yield _batch(heaps.rows())
 
-        return rows.mapInArrow(scan, OUT)
+        named = spark.createDataFrame([*enumerate(names)], "query long, query_id long")
+        found = rows.mapInArrow(scan, OUT).withColumnRenamed("query_id", "query").repartition("query").mapInArrow(merge, OUT)
+        out = stored(found.withColumnRenamed("query_id", "query").join(F.broadcast(named), "query").select("query_id", "rank", "vec_id", "score"))
+        held.destroy()
+        return out
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps = Heaps(k)
@@ -160,8 +176,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, wave_bytes: int = W
                 heaps.offer(q, s, v)
         yield _batch(heaps.rows())
 
-    found = [searched(w).repartition("query_id").mapInArrow(merge, OUT) for w in range(waves)]
-    out = found[0] if waves == 1 else checkpointed(found[0])
-    for x in found[1:]:
-        out = out.union(checkpointed(x))
+    out = searched(0)
+    for w in range(1, waves):
+        out = out.union(searched(w))
     return out
