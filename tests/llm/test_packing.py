@@ -61,6 +61,27 @@ def test_rounds_merge_what_groups_leave(spark):
     assert len(fill) <= 1.01 * sum(lengths) / 1000 + 1
 
 
+@pytest.mark.parametrize("least,most", [(2100, 2600), (1400, 1600), (500, 3000)])
+def test_tasks_hold_about_a_group(spark, monkeypatch, least, most):
+    """No round deals out fewer groups than its items need."""
+    seen, packed = [], packing._packed
+
+    def watch(items, groups, size, level):
+        seen.append(items.count() / groups)
+        return packed(items, groups, size, level)
+
+    monkeypatch.setattr(packing, "_packed", watch)
+    rng = np.random.default_rng(1)
+    items = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(least, most, 4000))], "item long, length long")
+    assert packing.pack(items, 4096, group=500).count() == 4000
+    assert len(seen) > 1 and max(seen) <= 500
+
+
+def test_ids_of_another_type(spark):
+    rows = spark.createDataFrame([("a", "one two", ""), (None, "three", "")], "doc_id string, text string, item string")
+    assert {r["doc_id"] for r in packing.packed_documents(rows, PATH).collect()} == {"a", None}
+
+
 def test_items_over_half_end(spark):
     items = spark.createDataFrame([(i, 600) for i in range(500)], "item long, length long")
     assert packing.pack(items, 1000, group=50).select("bin").distinct().count() == 500
