@@ -38,7 +38,22 @@ def stored(df: DataFrame) -> DataFrame:
     """Rows written to the shared folder, in columns: lineage is cut, and they take less room than in a checkpoint."""
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.stored_in = path
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this package wrote."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the rows of frames from stored() that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "stored_in", None):
+            deleted(df.sparkSession, path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ each component one row stays. Links are found in three steps, each link computed
    no longer prunes, so this step finds the closest copies only.
 2. With all hashes in one order (rare ones first, by counts of hashed places) two near sets share
    one of the first n - ceil(s n) + 1 hashes of each. The sets that share such a token form a group.
-   Each set is compared with one other of its groups, that with which it shares most tokens; this is
-   done again, from another set of each group, while dense groups have many sets in different components.
+   Each set is compared with one other of its groups, that with which it shares most tokens, if their
+   sizes allow it; this is done again, from another set of each group, while dense groups have many sets
+   in different components.
 3. All pairs of a group's sets that are still in different components are candidates, if they share
    as many tokens as near sets of their sizes must. So no link between components is lost.
 
@@ -26,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, others, parts_for, rows_without, stored, text_key
+from .common import KEYS, discard, others, parts_for, rows_without, stored, text_key
 from .simhash import components, first_row, shingle_spans, trie_forest, voted, won
 from .textscan import mix, slices, words, xxh64
 
@@ -42,6 +44,8 @@ PLACES, BLOCK = 1 << 20, 1 << 15
 TOKENS, BUCKET_BYTES, HOT = 1 << 20, 8 << 20, 1 << 20
 #: Sets that are compared with one other in a task's group.
 MEMBERS = 2048
+#: Texts whose sets a task computes at once.
+AT_ONCE = 256
 #: Pairs left for the last step: at least so many, or this many for each shared token; rounds of step 2 at most.
 PAIRS, PAIRS_EACH, ROUNDS = 1 << 22, 8, 6
 
@@ -171,54 +175,65 @@ def shared_tokens(docs: DataFrame, counts: Broadcast, k: int, percent: int, hot:
     return docs.select("text").mapInArrow(scan, "bucket int, tokens binary, ids binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "token long, id long, head long")
 
 
+def fitting(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (fp, to, ...) whose sizes n and m let them be near; n and m are added."""
+    sizes = reps.select("id", "n")
+    both = pairs.where("fp <> to").join(sizes.withColumnRenamed("id", "fp"), "fp").join(sizes.select(F.col("id").alias("to"), F.col("n").alias("m")), "to")
+    return both.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (fp, to) of set names those that are near, computed from the whole sets.
 
-    The sets of many are compared with that of one (to), which every MEMBERS of them get.
+    The sets of many are compared with that of one (to), which every MEMBERS of them get. What is moved
+    are compressed texts, which are smaller than their sets.
     """
-    pairs = stored(pairs.where("fp <> to"))
+    pairs = stored(fitting(pairs, reps, percent).select("fp", "to"))
     parts = pairs.groupBy("to").count().select("to", F.ceil(F.col("count") / MEMBERS).alias("parts"))
     dealt = pairs.join(parts, "to").select("fp", "to", F.pmod(F.xxhash64("fp"), "parts").alias("part"))
     asked = dealt.select(F.col("fp").alias("id"), "to", "part", F.lit(True).alias("member")).unionAll(dealt.select(F.col("to").alias("id"), "to", "part", F.lit(False).alias("member")).distinct())
-    asked = stored(asked.join(reps, "id").select("to", "part", "member", "id", F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    asked = kept = stored(asked.join(reps, "id").select("to", "part", "member", "id", F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
     asked = F.broadcast(asked) if asked.count() <= KEYS else asked
     texts = docs.select("doc_id", "text", text_key().alias("key"))
     sides = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
         for b in batches:
-            at = 0
-            for h, n, _ in sets_of(b.column(4), k):
-                ends = np.cumsum(n).tolist()
-                blobs = pa.array([h[e - m : e].tobytes() for e, m in zip(ends, n.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(n)) for i in range(4)), blobs], ["to", "part", "member", "id", "hashes"])
-                at += len(n)
+            blobs = pa.array([press.compress((t or "").encode()) for t in b.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), blobs], ["to", "part", "member", "id", "packed"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by (to, part), the one set before the many."""
-        held, one = None, np.zeros(0, "<u8")
-        for b in batches:
-            to, part, member, name = (np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(4))
-            near: list[np.ndarray] = []
-            starts = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (part[1:] != part[:-1]) | ~member[1:]])) if len(to) else np.zeros(0, np.int64)
-            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(to)]):
-                blobs = [v.as_buffer() for v in b.column(4).slice(x, y - x)]
-                if not member[x]:
-                    held, one, blobs, x = (to[x], part[x]), np.frombuffer(blobs[0], "<u8"), blobs[1:], x + 1
-                assert held is not None
-                if x < y:
-                    n = np.array([len(v) // 8 for v in blobs], np.int64)
-                    h = np.concatenate([np.frombuffer(v, "<u8") for v in blobs])
-                    hit = np.zeros(len(h), bool)
-                    if len(one):
-                        hit = one[np.minimum(np.searchsorted(one, h), len(one) - 1)] == h
-                    both = np.bincount(np.repeat(np.arange(len(n)), n), hit, len(n))
-                    near.append(x + np.flatnonzero((100 * both >= percent * (n + len(one) - both)) & (to[x:y] == held[0])))
-            on = np.concatenate(near) if near else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(to[on])], ["fp", "to"])
-
-    found = sides.select("to", "part", "member", "id", "text").mapInArrow(sets, "to long, part long, member boolean, id long, hashes binary")
-    return stored(found.repartition("to", "part").sortWithinPartitions("to", "part", "member").mapInArrow(compare, "fp long, to long"))
+        held, one, press = None, np.zeros(0, "<u8"), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):
+                b = batch.slice(at, AT_ONCE)
+                to, part, member, name = (np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(4))
+                texts = pa.array([press.decompress(x.as_buffer()) for x in b.column(4)], pa.binary()).cast(pa.string())
+                sets = [(h, n) for h, n, _ in sets_of(texts, k)]
+                h, n = (np.concatenate(x) for x in zip(*sets))
+                ends = np.cumsum(n)
+                near: list[np.ndarray] = []
+                starts = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (part[1:] != part[:-1]) | ~member[1:]]))
+                for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(to)]):
+                    if not member[x]:
+                        held, one, x = (to[x], part[x]), h[ends[x] - n[x] : ends[x]].copy(), x + 1
+                    assert held is not None
+                    if x < y:
+                        own, many = n[x:y], h[ends[x] - n[x] : ends[y - 1]]
+                        hit = np.zeros(len(many), bool)
+                        if len(one):
+                            hit = one[np.minimum(np.searchsorted(one, many), len(one) - 1)] == many
+                        both = np.bincount(np.repeat(np.arange(y - x), own), hit, y - x)
+                        near.append(x + np.flatnonzero((100 * both >= percent * (own + len(one) - both)) & (to[x:y] == held[0])))
+                on = np.concatenate(near) if near else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(to[on])], ["fp", "to"])
+
+    found = sides.select("to", "part", "member", "id", "text").mapInArrow(packed, "to long, part long, member boolean, id long, packed binary")
+    out = stored(found.repartition("to", "part").sortWithinPartitions("to", "part", "member").mapInArrow(compare, "fp long, to long"))
+    discard(pairs, kept)
+    return out
 
 
 def fullest(rows: DataFrame) -> DataFrame:
@@ -239,14 +254,17 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
     counts = place_counts(docs, k)
     shared = stored(shared_tokens(docs, spark.sparkContext.broadcast(counts), k, percent, _hot(counts)))
     edges = verified(equal.unionAll(close).unionAll(fullest(shared.select("id", "head"))).distinct(), reps, docs, k, percent)
-    left = shared.select("token", "id")
+    left = stored(shared.select("token", "id"))
+    discard(shared)
     for turn in range(ROUNDS):
         labels = components(edges)
+        before = left
         placed = left.select("token", "id").join(labels.withColumnRenamed("fp", "id"), "id", "left").select("token", "id", F.coalesce("root", "id").alias("root"))
         by_root = placed.groupBy("token", "root").count()
         mixed = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("count").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q")).where("roots > 1")
         mixed = stored(mixed.select("token", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")))
         left = stored(placed.join(mixed.select("token"), "token", "left_semi"))
+        discard(before)
         pairs, n = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0], left.count()
         if n == 0:
             return labels
@@ -254,16 +272,16 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
             break
         start = left.groupBy("token").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("h"))
         tried = left.join(start, "token").where(F.col("root") != F.col("h.root")).select("id", F.col("h.id").alias("head"))
-        edges = stored(edges.unionAll(verified(fullest(tried), reps, docs, k, percent)))
+        more = verified(fullest(tried), reps, docs, k, percent)
+        edges, old = stored(edges.unionAll(more)), edges
+        discard(more, old)
 
     other = left.select("token", F.col("id").alias("to"), F.col("root").alias("over"))
     met = left.join(other, "token").where(F.col("root") < F.col("over")).groupBy("id", "to").count()
-    sizes = reps.select("id", "n")
-    met = met.join(sizes, "id").join(sizes.select(F.col("id").alias("to"), F.col("n").alias("m")), "to")
+    met = fitting(met.withColumnRenamed("id", "fp"), reps, percent)
     beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1  # noqa: E731  (hashes that aren't tokens)
     least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)) - F.greatest(beyond("n"), beyond("m"))
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("count") >= least)
-    return components(edges.unionAll(verified(met.where(fits).select(F.col("id").alias("fp"), "to"), reps, docs, k, percent)))
+    return components(edges.unionAll(verified(met.where(F.col("count") >= least).select("fp", "to"), reps, docs, k, percent)))
 
 
 def near_kept(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
