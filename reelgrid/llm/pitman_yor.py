@@ -2,17 +2,28 @@
 
 Every word that precedes another has a restaurant whose customers are the words that follow it; all
 of these restaurants share one parent, the restaurant of single words, whose customers are their
-tables; its own parent is uniform over the vocabulary and one unknown word. Seating is sampled by
-Gibbs: given all else, the number of tables that the customers of one dish sit at is drawn from its
-conditional if they are few (by Stirling numbers), and single customers, picked at random, get up and
-sit down again if they are many. A text's score averages the predictive probability of each word over samples.
+tables; its own parent is uniform over the vocabulary and one unknown word.
+
+Seating is sampled by Gibbs. A restaurant with strength s, discount d and T tables has the factor
+s (s+d) ... (s+d(T-1)), which ties its dishes together. With x drawn from Gamma(s/d + T), given the
+tables, the dishes are independent: a dish with c customers has t tables with a weight of
+S(c, t) (d x p)^t, where S are Stirling numbers generalised by d and p is the parent's probability of
+the dish. So all dishes are drawn at once, from their conditionals, and no table count is stale: up to
+EXACT customers from all t, beyond it by Metropolis steps, with S from series, over the whole
+range of t, so any number of customers is seated anew in each sweep. A text's score averages the
+predictive probability of each word over samples.
 
 Everything is in blocks. Words are 64-bit hashes. A pair of words belongs to one of ROWS x COLUMNS
 cells by the hashes of both, so a word that a third of all pairs have is spread over a whole row or
-column; the pairs of a chunk of texts reach a cell as one row, counted, with the texts that have
-them. Each cell tells the owners of its words what it has counted and seated (customers and tables,
-as context and as dish); owners sum that up, seat the shared parent, and tell each cell back what it
-needs; cells then sample further, and score. Only sums over words and texts are moved.
+column; the pairs of a chunk of texts reach a cell as one row, counted by text. Each cell seats its
+pairs and tells what it has counted and seated, in each sample, to the owners of its words: those of
+words as dishes belong to its column, those of contexts to its row. Owners sum that up exactly.
+The auxiliary variable of the shared parent comes from a chain over the numbers of its customers by
+dish (one row for each distinct number); given it, owners seat their words, and their tables are summed
+over all owners. Cells then score with these sums, so predictions add up to one in each sample.
+
+What is approximated: cells sample contexts before the parent is known, with what the cell itself has
+seen and seated of its words standing for it, and with as many tables of a context in each other column.
 
 Defined results: a null text counts as empty, one end token; a row with a null id is not held out;
 rows of one id are scored each, extra columns are ignored; without training text every word is
@@ -21,6 +32,7 @@ unknown; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -28,10 +40,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plan_bytes
+from .common import text_bytes
 from .textscan import mix, slices, word_hashes, words
 
 U64 = np.uint64
@@ -50,13 +62,18 @@ class Prior:
     parent_discount: float = 0.8
     parent_strength: float = 10.0
     samples: int = 2
-    sweeps: int = 2
-    burn_in: int = 2
-    exact: int = 128  # customers up to which the number of tables is drawn from its conditional
-    moves: int = 8  # of customers in a sweep, of each dish with more customers
+    sweeps: int = 2  # between samples
+    burn_in: int = 3
+    parent_sweeps: int = 12  # of the chain of the parent's auxiliary variable
     seed: int = 7
 
 
+#: Customers up to which a dish's tables are drawn from all numbers; steps of the sampler beyond it.
+EXACT, STEPS = 128, 24
+#: Tables, over customers to the power of the discount, up to which S is expanded.
+FEW = 1.2
+
+
 @cache
 def log_stirling(discount: float, most: int) -> np.ndarray:
     """log of generalised Stirling numbers S(c, t), t = 1..c <= most; -inf elsewhere."""
@@ -70,85 +87,115 @@ def log_stirling(discount: float, most: int) -> np.ndarray:
     return s
 
 
-class Seats:
-    """Dishes of many restaurants: customers and tables; restaurants are numbered 0..n-1.
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
-    Of dishes with more than `exact` customers the table sizes are held too.
-    """
 
-    def __init__(self, restaurant: np.ndarray, customers: np.ndarray, n: int, discount: float, strength: float, rng: np.random.Generator, exact: int):
-        self.restaurant, self.customers, self.n = restaurant, customers, n
-        self.discount, self.strength, self.rng, self.exact = discount, strength, rng, exact
-        self.tables = np.ones(len(customers), np.int64)
-        few = np.flatnonzero((customers > 1) & (customers <= exact))
-        few = few[np.argsort(customers[few], kind="stable")]
-        self.few = np.split(few, np.flatnonzero(np.diff(customers[few])) + 1) if len(few) else []
-        self.big = np.flatnonzero(customers > exact)
-        self.size = self.dish = np.zeros(0, np.int64)  # of each table of the big dishes, in the order of big
-
-    def totals(self) -> np.ndarray:
-        return np.bincount(self.restaurant, self.tables, self.n)
-
-    def start(self, parent: np.ndarray, elsewhere: np.ndarray) -> None:
-        """Seat the customers of big dishes: they come in batches that double what is there."""
-        all_tables = self.totals() + elsewhere
-        size, dish = [], []
-        for k, i in enumerate(self.big.tolist()):
-            c, others, own, seated = int(self.customers[i]), all_tables[self.restaurant[i]] - 1, np.ones(1, np.int64), 1
-            while seated < c:
-                m = min(seated, c - seated)
-                new = (self.strength + self.discount * (others + len(own))) * parent[i]
-                sit = own - self.discount
-                fresh = int(self.rng.binomial(m, new / (new + sit.sum() + m / 2)))
-                own = np.concatenate([own + self.rng.multinomial(m - fresh, sit / sit.sum()), np.ones(fresh, np.int64)])
-                seated += m
-            size.append(own)
-            dish.append(np.full(len(own), k))
-            self.tables[i] = len(own)
-        if size:
-            self.size, self.dish = np.concatenate(size), np.concatenate(dish)
-
-    def sweep(self, parent: np.ndarray, elsewhere: np.ndarray, moves: int) -> None:
-        """Seat anew, given the parent's probability of each dish and the tables that each
-        restaurant has elsewhere (in other cells)."""
-        table = log_stirling(self.discount, self.exact)
-        all_tables = self.totals() + elsewhere
-        for rows in self.few:
-            c = int(self.customers[rows[0]])
-            for at in range(0, len(rows), step := max(1, (1 << 20) // c)):
-                part = rows[at : at + step]
-                own = self.restaurant[part]
-                others = np.maximum(all_tables[own] - self.tables[part], 0)
-                grow = np.log(self.strength + self.discount * (others[:, None] + np.arange(c))) + np.log(parent[part])[:, None]
-                p = np.cumsum(grow, axis=1)
-                p += table[c, 1 : c + 1]
-                p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
-                self.tables[part] = 1 + (p < self.rng.random(len(part))[:, None] * p[:, -1:]).sum(axis=1)
-        if not len(self.big):
-            return
-        c, base = self.customers[self.big], parent[self.big]
-        others = np.maximum(all_tables[self.restaurant[self.big]] - self.tables[self.big], 0)
-        for _ in range(moves):
-            # One random customer of each dish leaves and sits down again.
-            ends = np.cumsum(self.size)
-            leaves = np.searchsorted(ends, np.cumsum(c) - c + (self.rng.random(len(c)) * c).astype(np.int64), side="right")
-            self.size[leaves] -= 1
-            weight = np.where(self.size > 0, self.size - self.discount, 0.0)
-            t = np.bincount(self.dish, self.size > 0, len(c))
-            sit = np.bincount(self.dish, weight, len(c))
-            new = (self.strength + self.discount * (others + t)) * base
-            at = self.rng.random(len(c)) * (sit + new)
-            stays = np.flatnonzero(at < sit)
-            joins = np.searchsorted(np.cumsum(weight), (np.cumsum(sit) - sit + at)[stays], side="right")
-            first = np.searchsorted(self.dish, stays)
-            joins = np.clip(joins, first, np.searchsorted(self.dish, stays, side="right") - 1)
-            self.size[joins] += 1
-            opens = np.flatnonzero(at >= sit)
-            kept = self.size > 0
-            dish = np.concatenate([self.dish[kept], opens])
-            order = np.argsort(dish, kind="stable")
-            self.size, self.dish = np.concatenate([self.size[kept], np.ones(len(opens), np.int64)])[order], dish[order]
-        self.tables[self.big] = np.bincount(self.dish, minlength=len(c))
+def log_stirling_far(discount: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log S(c, t) of many customers, 1 <= t <= c.
+
+    S(c, t) = c! / (t! d^t) [z^c] (1 - (1-z)^d)^t. For few tables the power is expanded, and the
+    terms fall off quickly; for more the coefficient comes from a saddle point.
+    """
+    d, c, t = discount, c.astype(float), t.astype(float)
+    few = t * c**-d < FEW
+    out = np.zeros(len(c))
+    if few.any():
+        out[few] = _expanded(d, c[few], t[few])
+    some = ~few & (t < c)
+    if some.any():
+        out[some] = _saddle(d, c[some], t[some])
+    return out
+
+
+def _expanded(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The sum over j of (-1)^j binomial(t, j) [z^c] (1-z)^(dj), over its first term."""
+    first = _log_gamma(c - d) - math.lgamma(1 - d) - _log_gamma(t) - (t - 1) * math.log(d)
+    scale, total = np.zeros(len(c)), np.ones(len(c))
+    for j in range(2, 40):
+        scale = scale + np.log(np.maximum(t - j + 1, 1e-300) / j)
+        size = np.exp(scale + _log_gamma(np.maximum(c - d * j, 1e-3)) - _log_gamma(c - d) + math.lgamma(1 + d * j) - math.lgamma(1 + d))
+        total += np.where((t >= j) & (c > d * j), (-1) ** (j - 1) * math.sin(math.pi * d * j) / math.sin(math.pi * d) * size, 0.0)
+    return first + np.log(np.maximum(total, 1e-300))
+
+
+def _saddle(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    low, high = np.full(len(c), -2000.0), np.full(len(c), -1e-12)  # log of y = 1 - z
+    for _ in range(64):
+        u = (low + high) / 2
+        over = np.log(t * d) + np.log(-np.expm1(u)) + (d - 1) * u - np.log(-np.expm1(d * u)) > np.log(c)
+        low, high = np.where(over, u, low), np.where(over, high, u)
+    z, phi, ratio = -np.expm1(u), -np.expm1(d * u), c / t
+    bend = np.exp(np.log(d * (1 - d)) + (d - 2) * u + 2 * np.log(z) - np.log(phi))
+    spread = t * (ratio + bend - ratio**2)
+    return _log_gamma(c + 1) - _log_gamma(t + 1) - t * np.log(d) + t * np.log(phi) - c * np.log(z) - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-300))
+
+
+def few_weights(discount: float, c: int, weight: np.ndarray) -> np.ndarray:
+    """Cumulated weights of t = 1..c, up to a factor, for each log of (d x p)."""
+    p = np.multiply.outer(weight, np.arange(1, c + 1.0)) + log_stirling(discount, EXACT)[c, 1 : c + 1]
+    return np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
+
+
+def drawn_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """The number of tables of each dish, drawn from its conditional; weight is log(d x p)."""
+    tables = np.ones(len(customers), np.int64)
+    few = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    few = few[np.argsort(customers[few], kind="stable")]
+    for rows in np.split(few, np.flatnonzero(np.diff(customers[few])) + 1) if len(few) else []:
+        c = int(customers[rows[0]])
+        for at in range(0, len(rows), step := max(1, (1 << 20) // c)):
+            part = rows[at : at + step]
+            p = few_weights(discount, c, weight[part])
+            tables[part] = 1 + (p < rng.random(len(part))[:, None] * p[:, -1:]).sum(axis=1)
+    many = np.flatnonzero(customers > EXACT)
+    for at in range(0, len(many), 1 << 16):
+        part = many[at : at + (1 << 16)]
+        tables[part] = _metropolis(customers[part], weight[part], discount, rng)
+    return tables
+
+
+def _metropolis(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with many customers: a random walk as wide as the conditional, from its top."""
+    f = lambda t: log_stirling_far(d, c, t) + t * weight
+    # At the top z y^(d-1) = c / (d x p) d, with y = 1 - z.
+    low, high = np.full(len(c), -2000.0), np.full(len(c), -1e-12)
+    for _ in range(64):
+        u = (low + high) / 2
+        over = np.log(-np.expm1(u)) + (d - 1) * u > np.log(c) - (weight - np.log(d)) - np.log(d)
+        low, high = np.where(over, u, low), np.where(over, high, u)
+    top = np.exp(np.log(c) + np.log(-np.expm1(d * u)) - np.log(-np.expm1(u)) - np.log(d) - (d - 1) * u)
+    t = np.clip(np.rint(top), 1, c)
+    h = np.clip(np.rint(t / 20), 1, None)
+    a, b = np.clip(t - h, 1, c), np.clip(t + h, 1, c)
+    bend = (2 * f(t) - f(a) - f(b)) / np.maximum(((b - a) / 2) ** 2, 1)
+    width = np.clip(2.4 / np.sqrt(np.maximum(bend, 1e-12)), 1, c)
+    now = f(t)
+    for _ in range(STEPS):
+        to = t + np.rint(rng.normal(size=len(c)) * width)
+        inside = (to >= 1) & (to <= c)
+        then = f(np.where(inside, to, t))
+        moves = inside & (np.log(rng.random(len(c))) < then - now)
+        t, now = np.where(moves, to, t), np.where(moves, then, now)
+    return t.astype(np.int64)
+
+
+def parent_x(own: np.ndarray, kinds: np.ndarray, everything: int, prior: Prior, rng: np.random.Generator) -> float:
+    """The parent's auxiliary variable, from a chain over how many words (kinds) have how many customers (own)."""
+    d, total, x = prior.parent_discount, int(kinds.sum()), 1.0
+    for sweep in range(prior.parent_sweeps + 1):
+        x = rng.gamma(prior.parent_strength / d + total)
+        weight = math.log(d * x / (everything + 1))
+        if sweep == prior.parent_sweeps:
+            break
+        total = int(kinds[own == 1].sum())
+        for c, n in zip(own.tolist(), kinds.tolist()):
+            if 1 < c <= EXACT:
+                p = few_weights(d, c, np.array([weight]))[0]
+                total += int(rng.multinomial(n, np.diff(p, prepend=0) / p[-1]) @ np.arange(1, c + 1))
+        far = own > EXACT
+        for c in np.array_split(np.repeat(own[far], kinds[far]), int(kinds[far].sum()) // (1 << 20) + 1):
+            total += int(drawn_tables(c, np.full(len(c), weight), d, rng).sum())
+    return x
 
 
 def _pack(*columns: np.ndarray) -> list[bytes]:
@@ -164,6 +211,17 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, f"<u{len(blob) // n}") if n else np.zeros(0, np.uint8)
 
 
+def _written(names: pa.Array) -> bytes:
+    with pa.ipc.new_stream(sink := pa.BufferOutputStream(), pa.schema([("names", names.type)])) as out:
+        out.write(pa.record_batch([names], ["names"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _joined(held: list[tuple]) -> list:
+    *numbers, names = zip(*held)
+    return [*map(np.concatenate, numbers), pa.concat_arrays(names)]
+
+
 def _join(column: pa.ChunkedArray | pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """The values of all blobs of a column, and how many each has."""
     blobs = column.to_pylist()
@@ -171,34 +229,39 @@ def _join(column: pa.ChunkedArray | pa.Array, dtype: str) -> tuple[np.ndarray, n
     return values, np.array([len(b) // np.dtype(dtype).itemsize for b in blobs], np.int64)
 
 
-PAIRS = "cell int, chunk long, context binary, runs binary, vocabulary binary, word binary, times binary, trained binary, texts binary, docs binary, sizes binary"
+PAIRS = "cell int, chunk long, context binary, runs binary, vocabulary binary, word binary, times binary, trained binary, texts binary, often binary, docs binary, sizes binary"
 
 
 def pair_blobs(docs: DataFrame, rows: int, columns: int) -> DataFrame:
     """Counted pairs of words by cell and chunk: PAIRS.
 
     context, with the number of pairs of each (runs); vocabulary, and the place of each pair's word
-    there (word); how often the pair occurs (times), and in training texts (trained); for each
-    occurrence, the text's number in the chunk (texts). One row of a chunk names its texts (docs) and
-    tells their tokens (sizes).
+    there (word); how many texts have the pair (times), how often it is in training texts (trained);
+    for each of these texts its number in the chunk (texts), and how often it has the pair (often). One
+    row of a chunk names its texts (docs) and tells their tokens (sizes).
     """
 
-    def flush(number: int, u: np.ndarray, w: np.ndarray, doc: np.ndarray, train: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        about = _pack(names.astype("<i8")) + _narrow(np.bincount(doc, minlength=len(names)))
+    def flush(number: int, u: np.ndarray, w: np.ndarray, doc: np.ndarray, train: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        about = [_written(names), *_narrow(np.bincount(doc, minlength=len(names)))]
         cell = ((mix(u, 1) % U64(rows)) * U64(columns) + mix(w, 2) % U64(columns)).astype(np.int32)
         order = np.lexsort((doc, w, u, cell))
         cell, u, w, doc = cell[order], u[order], w[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-        times = np.diff(np.append(first, len(u)))
         trained = np.add.reduceat(train[doc].astype(np.int64), first)
+        begins = np.zeros(len(u), bool)
+        begins[first] = True
+        held = np.flatnonzero(begins | np.concatenate([[True], doc[1:] != doc[:-1]]))
+        often = np.diff(np.append(held, len(u)))
+        at = np.append(np.searchsorted(held, first), len(held))  # of each pair among (pair, text)
+        times, doc = np.diff(at), doc[held]
         cells, begin = np.unique(cell[first], return_index=True)
         for c, a, b in zip(cells.tolist(), begin.tolist(), [*begin[1:].tolist(), len(first)]):
             context, runs = np.unique(u[first[a:b]], return_counts=True)
             vocabulary, word = np.unique(w[first[a:b]], return_inverse=True)
-            texts = doc[first[a] : (first[b] if b < len(first) else len(u))]
-            values = [c, number, *_pack(context), *_narrow(runs), *_pack(vocabulary), *_narrow(word, times[a:b], trained[a:b], texts), *about]
+            own = slice(at[a], at[b])
+            values = [c, number, *_pack(context), *_narrow(runs), *_pack(vocabulary), *_narrow(word, times[a:b], trained[a:b], doc[own], often[own]), *about]
             about = [b"", b""]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int64(), *[pa.binary()] * 9))], [x.split()[0] for x in PAIRS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int64(), *[pa.binary()] * 10))], [x.split()[0] for x in PAIRS.split(", ")])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -217,13 +280,13 @@ def pair_blobs(docs: DataFrame, rows: int, columns: int) -> DataFrame:
                 before[1:] = token[:-1]
                 before[np.concatenate([[0], ends[:-1]])] = START
                 doc = (np.repeat(np.arange(w.n), np.diff(first) + 1) + n).astype(np.int32)
-                held.append((before, token, doc, batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(0).slice(a, b - a).to_numpy()))
+                held.append((before, token, doc, batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(0).slice(a, b - a)))
                 n, size = n + w.n, size + len(token)
                 if size >= CHUNK:
-                    yield from flush(part + number, *map(np.concatenate, zip(*held)))
+                    yield from flush(part + number, *_joined(held))
                     held, size, n, number = [], 0, 0, number + 1
         if held:
-            yield from flush(part + number, *map(np.concatenate, zip(*held)))
+            yield from flush(part + number, *_joined(held))
 
     return docs.select("_row", "_train", "text").mapInArrow(scan, PAIRS)
 
@@ -248,175 +311,181 @@ class Cell:
         self.u, self.w = pairs // len(self.words), pairs % len(self.words)
         self.count = np.bincount(self.of, np.concatenate(trained), len(pairs)).astype(np.int64)
 
-    def seated(self, prior: Prior, number: int, down: int) -> tuple[Seats, np.ndarray]:
-        """Seats of the pairs seen in training after the burn-in, and their numbers among all pairs.
+    def seated(self, prior: Prior, number: int, down: int) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pairs seen in training, and the tables of each in each sample [samples, pairs].
 
-        The parent isn't known yet: what this cell has seen and seated of its words stands for it.
-        The same cell is seated alike each time, so a chain goes on where it stopped.
+        What this cell has seen and seated of its words stands for the parent, whose probability of all
+        words in this column is about one in down. The same cell is seated alike each time.
         """
         on = np.flatnonzero(self.count)
-        seats = Seats(self.u[on], self.count[on], len(self.contexts), prior.discount, prior.strength, np.random.default_rng((prior.seed, number)), prior.exact)
-        w, none = self.w[on], np.zeros(len(self.contexts))
-        base = np.bincount(w, seats.customers, len(self.words))
-        for sweep in range(prior.burn_in):
-            parent = (base / max(1.0, float(base.sum())))[w] / down
-            if sweep == 0:
-                seats.start(parent, none)
-            seats.sweep(parent, none, prior.moves)
-            base = np.bincount(w, seats.tables, len(self.words))
-        return seats, on
+        u, w, customers, rng = self.u[on], self.w[on], self.count[on], np.random.default_rng((prior.seed, number))
+        tables, base, out = np.ones(len(on), np.int64), np.bincount(self.w[on], customers, len(self.words)), []
+        for sweep in range(prior.burn_in + prior.sweeps * (prior.samples - 1)):
+            x = rng.gamma(prior.strength / prior.discount + down * np.bincount(u, tables, len(self.contexts)))
+            parent = base[w] / max(1.0, float(base.sum())) / down
+            tables = drawn_tables(customers, np.log(prior.discount * x[u] * parent), prior.discount, rng)
+            base = np.bincount(w, tables, len(self.words))
+            if sweep >= prior.burn_in - 1 and (sweep - prior.burn_in + 1) % prior.sweeps == 0:
+                out.append(tables)
+        return on, np.array(out).reshape(prior.samples, len(on))
 
     def scores(self, *by_pair: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         """For each blob its place, the numbers of its texts, and the sums over their tokens of what is given by pair."""
         at = 0
-        for k, (times, texts) in enumerate(zip(self.times, self.table.column("texts").to_pylist())):
+        for k, (times, texts, often) in enumerate(zip(self.times, *(self.table.column(c).to_pylist() for c in ("texts", "often")))):
             pair = np.repeat(self.of[at : at + len(times)], times)
             own, place = np.unique(_wide(texts, len(pair)), return_inverse=True)
-            yield k, own, [np.bincount(place, v[pair], len(own)) for v in by_pair]
+            n = _wide(often, len(pair))
+            yield k, own, [np.bincount(place, v[pair] * n, len(own)) for v in by_pair]
             at += len(times)
 
 
-TOLD = "owner int, cell int, word binary, dish binary, tables binary, opened binary, context binary, seated binary"
-BACK = "cell int, owner int, dish binary, parent binary, customers binary, tables binary, total long, kinds long"
+TOLD = "owner int, cell int, names binary, customers binary, tables binary"
+BACK = "cell int, owner int, customers binary, tables binary, own binary, opened binary, tokens long, kinds long, seats binary"
 SUMS = "chunk long, texts binary, known binary, base binary, score binary, docs binary, sizes binary, train_tokens long"
-SCORES = "_row long, n_tokens long, n_known long, base_score double, score double, train_tokens long"
+SCORES = "n_tokens long, n_known long, base_score double, score double, train_tokens long"
 
 
 def model_scores(rows: DataFrame, prior: Prior, grid: tuple[int, int]) -> DataFrame:
-    """_row, n_tokens, n_known, base_score, score, train_tokens of rows (_row, _train, text)."""
+    """_row, n_tokens, n_known, base_score, score, train_tokens of rows (_row, _train, text); what _row holds only goes along."""
     across, down = grid
-    cells = across * down
+    cells, samples = across * down, prior.samples
     pairs = pair_blobs(rows, across, down).repartition(cells, "cell")
 
-    def owner_of(names: np.ndarray) -> np.ndarray:
-        return mix(names, 3) % U64(cells)
+    def owners_of(cell: Cell, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """The owners of a cell's words, of which its column has as many as there are rows, and of its
+        contexts, of which its row has as many as there are columns; these are numbered from cells on."""
+        row, column = divmod(number, down)
+        return column * across + (mix(cell.words, 3) % U64(across)).astype(np.int64), cells + row * down + (mix(cell.contexts, 3) % U64(down)).astype(np.int64)
 
     def told(t: pa.Table) -> pa.Table:
         """What a cell has counted and seated, for the owner of each of its words."""
         number, cell = t.column("cell")[0].as_py(), Cell(t)
-        seats, on = cell.seated(prior, number, down)
-        w = cell.w[on]
-        dish = np.bincount(w, seats.customers, len(cell.words))
-        tables = np.bincount(w, seats.tables, len(cell.words))
-        opened = seats.totals()
-        customers = np.bincount(seats.restaurant, seats.customers, len(cell.contexts))
+        on, tables = cell.seated(prior, number, down)
         out = []
-        ow, oc = owner_of(cell.words), owner_of(cell.contexts)
-        sw, sc = np.argsort(ow, kind="stable"), np.argsort(oc, kind="stable")
-        bw, bc = np.searchsorted(ow[sw], np.arange(cells + 1)), np.searchsorted(oc[sc], np.arange(cells + 1))
-        for o in range(cells):
-            i, j = sw[bw[o] : bw[o + 1]], sc[bc[o] : bc[o + 1]]
-            if len(i) or len(j):
-                out.append((o, number, *_pack(cell.words[i], dish[i].astype("<u4"), tables[i].astype("<u4"), customers[j].astype("<u4"), cell.contexts[j], opened[j].astype("<u4"))))
+        for names, owner, of in zip((cell.words, cell.contexts), owners_of(cell, number), (cell.w[on], cell.u[on])):
+            customers = np.bincount(of, cell.count[on], len(names)).astype("<u8")
+            seated = np.stack([np.bincount(of, x, len(names)) for x in tables]).astype("<u4")
+            order = np.argsort(owner, kind="stable")
+            own, first = np.unique(owner[order], return_index=True)
+            for o, part in zip(own.tolist(), np.split(order, first[1:])):
+                out.append((o, number, *_pack(names[part], customers[part], seated[:, part].T)))
         return _table(out, TOLD)
 
+    def asked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of one owner: its names, their customers and tables [names, samples], and the names of each cell's message."""
+        name, n = _join(t.column("names"), "<u8")
+        customers, tables = _join(t.column("customers"), "<u8")[0], _join(t.column("tables"), "<u4")[0].reshape(-1, samples)
+        names, of = np.unique(name, return_inverse=True)
+        total = np.bincount(of, customers, len(names)).astype(np.int64)
+        return names, total, np.stack([np.bincount(of, x, len(names)).astype(np.int64) for x in tables.T], axis=1), np.split(of, np.cumsum(n)[:-1])
+
+    def sized(t: pa.Table) -> pa.Table:
+        """How many of an owner's words, and of their tokens, have how many tables in each sample."""
+        out = []
+        if t.column("owner")[0].as_py() < cells:
+            _, seen, own, _ = asked(t)
+            for k in range(samples):
+                n, at = np.unique(own[:, k], return_inverse=True)
+                out += zip([k] * len(n), n.tolist(), np.bincount(at, seen > 0).astype(int).tolist(), np.bincount(at, seen).astype(int).tolist())
+        return _table(out, "sample int, own long, kinds long, tokens long")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row: tokens, kinds, the parent's customers and its auxiliary variable in each sample."""
+        held = [np.concatenate(c) for c in zip(*([x.to_numpy() for x in b.columns] for b in batches))]
+        seats, xs = np.zeros(samples, np.int64), np.ones(samples)
+        of, own, n, tokens = held or [np.zeros(0, np.int64)] * 4
+        everything = int(n[of == 0].sum())
+        for k in range(samples):
+            on = np.flatnonzero((of == k) & (own > 0))
+            on = on[np.argsort(own[on])]
+            seats[k] = int(own[on] @ n[on])
+            xs[k] = parent_x(own[on], n[on], everything, prior, np.random.default_rng((prior.seed, 1 << 21, k)))
+        yield pa.RecordBatch.from_arrays([pa.array([int(tokens[of == 0].sum())]), pa.array([everything]), *(pa.array([v.tobytes()], pa.binary()) for v in (seats, xs))], ["tokens", "kinds", "seats", "xs"])
+
     def answered(t: pa.Table, whole: pa.Table) -> pa.Table:
         """What the owner of some words tells each cell about them."""
         if not len(t):
             return _table([], BACK)
-        tokens, kinds, seats_all, opened_all = (int(whole.column(k)[0].as_py()) for k in ("tokens", "kinds", "seats", "opened"))
-        owner = t.column("owner")[0].as_py()
+        owner, tokens, kinds, packed = t.column("owner")[0].as_py(), *(whole.column(k)[0].as_py() for k in ("tokens", "kinds", "seats"))
         t = t.sort_by("cell")
-        word, n = _join(t.column("word"), "<u8")
-        context, m = _join(t.column("context"), "<u8")
-        dish, _ = _join(t.column("dish"), "<u4")
-        tables, _ = _join(t.column("tables"), "<u4")
-        customers, _ = _join(t.column("opened"), "<u4")
-        seated, _ = _join(t.column("seated"), "<u4")
-        words_, of = np.unique(word, return_inverse=True)
-        own = np.bincount(of, tables, len(words_)).astype(np.int64)
-        seen = np.bincount(of, dish, len(words_)).astype(np.int64)
-        contexts, cof = np.unique(context, return_inverse=True)
-        c, s = np.bincount(cof, customers, len(contexts)), np.bincount(cof, seated, len(contexts))
-        # The shared parent: its customers are the tables of all pair restaurants.
-        on = np.flatnonzero(own)
-        rng = np.random.default_rng((prior.seed, 1 << 20, owner))
-        seats = Seats(np.zeros(len(on), np.int64), own[on], 1, prior.parent_discount, prior.parent_strength, rng, prior.exact)
-        base = np.full(len(on), 1.0 / (kinds + 1))
-        # Words that one owner lacks are at one table each, to begin with.
-        elsewhere = np.array([max(0.0, kinds - len(on))])
-        seats.start(base, elsewhere)
-        p = np.empty((prior.samples, len(words_)))
-        share = max(1e-9, len(on) / max(1, kinds))
-        for k in range(prior.samples):
-            for _ in range(prior.sweeps):
-                elsewhere = np.array([seats.tables.sum() * (1 / share - 1)])
-                seats.sweep(base, elsewhere, prior.moves)
-            opened = seats.tables.sum() / share if len(on) else 0.0
-            rest = (prior.parent_strength + prior.parent_discount * min(opened, seats_all)) / (prior.parent_strength + seats_all) / (kinds + 1)
-            p[k] = rest
-            p[k, on] += (own[on] - prior.parent_discount * seats.tables) / (prior.parent_strength + seats_all)
-        out, a, b = [], 0, 0
-        for cell, x, y in zip(t.column("cell").to_pylist(), n.tolist(), m.tolist()):
-            i, j = of[a : a + x], cof[b : b + y]
-            out.append((cell, owner, *_pack(seen[i].astype("<u4"), p[:, i].T.astype("<f4"), c[j].astype("<u4"), s[j].astype("<u4")), tokens, kinds))
-            a, b = a + x, b + y
+        names, total, tables, messages = asked(t)
+        own, opened = np.zeros((len(names), samples)), np.zeros(samples, np.int64)
+        if owner < cells:
+            # The shared parent: its customers are the tables of all pair restaurants.
+            d, rng = prior.parent_discount, np.random.default_rng((prior.seed, 1 << 20, owner))
+            for k, (x, seats) in enumerate(zip(np.frombuffer(whole.column("xs")[0].as_py()), np.frombuffer(packed, np.int64))):
+                on = np.flatnonzero(tables[:, k])
+                seated = drawn_tables(tables[on, k], np.full(len(on), math.log(d * x / (kinds + 1))), d, rng)
+                own[on, k] = (tables[on, k] - d * seated) / (prior.parent_strength + seats)
+                opened[k] = seated.sum()
+        out = []
+        for cell, i in zip(t.column("cell").to_pylist(), messages):
+            numbers = _pack(own[i]) if owner < cells else [b""]
+            out.append((cell, owner, *_pack(total[i].astype("<u8")), b"" if owner < cells else tables[i].astype("<u4").tobytes(), *numbers, opened.tobytes(), tokens, kinds, packed))
+            opened = np.zeros(samples, np.int64)  # told once
         return _table(out, BACK)
 
+    def opened_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(samples, np.int64)
+        for b in batches:
+            for x in b.column("opened"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in total], [f"t{k}" for k in range(samples)])
+
     def scored(t: pa.Table, back: pa.Table) -> pa.Table:
         if not len(t):
             return _table([], SUMS)
         number, cell = t.column("cell")[0].as_py(), Cell(t)
-        tokens, kinds = back.column("total")[0].as_py(), back.column("kinds")[0].as_py()
-        # Owners answer in the order in which they were asked, so no names come back.
+        tokens, kinds, packed, all_tables = (back.column(k)[0].as_py() for k in ("tokens", "kinds", "seats", "all_tables"))
+        # Owners answer in the order in which they were asked, so no names come back; those of contexts have higher numbers.
         back = back.sort_by("owner")
-        w, c = (np.argsort(np.argsort(owner_of(x), kind="stable")) for x in (cell.words, cell.contexts))
-        dish, customers, opened = (_join(back.column(k), "<u4")[0].astype(float) for k in ("dish", "customers", "tables"))
-        parent = _join(back.column("parent"), "<f4")[0].reshape(-1, prior.samples).astype(float)
-        dish, parent, customers, opened = dish[w], parent[w], customers[c], opened[c]
-        seats, on = cell.seated(prior, number, down)
-        elsewhere = np.maximum(opened - seats.totals(), 0)
+        w, c = (np.argsort(np.argsort(x, kind="stable")) for x in owners_of(cell, number))
+        customers = _join(back.column("customers"), "<u8")[0].astype(float)
+        dish, customers = customers[: len(w)][w], customers[len(w) :][c]
+        tables = _join(back.column("tables"), "<u4")[0].reshape(-1, samples)[c].astype(float)
+        parent = _join(back.column("own"), "<f8")[0].reshape(-1, samples)[w]
+        on, seated = cell.seated(prior, number, down)
         p = np.zeros(len(cell.u))
-        for k in range(prior.samples):
-            for _ in range(prior.sweeps):
-                seats.sweep(parent[cell.w[on], k], elsewhere, prior.moves)
-            free = prior.strength + prior.discount * (elsewhere + seats.totals())
-            own = free[cell.u] * parent[cell.w, k]
-            own[on] += seats.customers - prior.discount * seats.tables
-            p += np.where(customers[cell.u] > 0, own / (prior.strength + customers[cell.u]), parent[cell.w, k])
-        p = np.log10(p / prior.samples)
+        for k, seats in enumerate(np.frombuffer(packed, np.int64).tolist()):
+            rest = (prior.parent_strength + prior.parent_discount * all_tables[k]) / (prior.parent_strength + seats) / (kinds + 1)
+            of_word = parent[cell.w, k] + rest
+            own = (prior.strength + prior.discount * tables[cell.u, k]) * of_word
+            own[on] += cell.count[on] - prior.discount * seated[k]
+            p += np.where(customers[cell.u] > 0, own / (prior.strength + customers[cell.u]), of_word)
+        p = np.log10(p / samples)
         known = (dish > 0)[cell.w].astype(float)
         base = np.log10((dish + 1) / (tokens + kinds + 1))[cell.w]
         chunk, docs, sizes = (t.column(k).to_pylist() for k in ("chunk", "docs", "sizes"))
         out = []
         for k, texts, (score, n, b) in cell.scores(p, known, base):
-            out.append((chunk[k], *_narrow(texts, np.rint(n)), *_pack(b, score.astype("<f4")), docs[k], sizes[k], tokens))
+            out.append((chunk[k], *_narrow(texts, np.rint(n)), *_pack(b, score), docs[k], sizes[k], tokens))
         return _table(out, SUMS)
 
     def summed(t: pa.Table) -> pa.Table:
         """The scores of the texts of one chunk, from all cells."""
         docs, sizes = (max(t.column(k).to_pylist(), key=len) for k in ("docs", "sizes"))
-        names = np.frombuffer(docs, "<i8")
+        names = pa.ipc.open_stream(docs).read_all().column("names")
         total = np.zeros((3, len(names)))
         for texts, *sums in zip(*(t.column(k).to_pylist() for k in ("texts", "known", "base", "score"))):
-            n = len(sums[2]) // 4
+            n = len(sums[2]) // 8
             own = _wide(texts, n)
-            for to, values in zip(total, (_wide(sums[0], n), np.frombuffer(sums[1], "<f8"), np.frombuffer(sums[2], "<f4"))):
+            for to, values in zip(total, (_wide(sums[0], n), np.frombuffer(sums[1], "<f8"), np.frombuffer(sums[2], "<f8"))):
                 to[own] += values
         known, base, score = total
         return pa.table({"_row": names, "n_tokens": _wide(sizes, len(names)).astype(np.int64), "n_known": np.rint(known).astype(np.int64), "base_score": base, "score": score, "train_tokens": np.full(len(names), t.column("train_tokens")[0].as_py())})
 
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens, kinds, tables of all cells, as far as the words of one partition go."""
-        held: dict[int, list] = {}
-        for b in batches:
-            for o, w, d, s in zip(*(b.column(k).to_pylist() for k in ("owner", "word", "dish", "tables"))):
-                held.setdefault(o, []).append((np.frombuffer(w, "<u8"), np.frombuffer(d, "<u4"), np.frombuffer(s, "<u4")))
-        rows_ = []
-        for parts in held.values():
-            w, d, s = map(np.concatenate, zip(*parts))
-            rows_.append((int(d.sum()), len(np.unique(w[d > 0])), int(s.sum()), 0))
-        columns = list(zip(*rows_)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["tokens", "kinds", "seats", "opened"])
-
     ask = pairs.groupBy("cell").applyInArrow(told, TOLD).repartition(cells, "owner")
-    # All columns are read, so that both uses of ask share one exchange.
-    whole = ask.mapInArrow(sized, "tokens long, kinds long, seats long, opened long")
-    whole = whole.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "kinds", "seats", "opened")])
-    owners = F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("owner")
-    reply = ask.groupBy("owner").cogroup(whole.select("*", owners).groupBy("owner")).applyInArrow(answered, BACK)
-    sums = pairs.groupBy("cell").cogroup(reply.groupBy("cell")).applyInArrow(scored, SUMS)
-    return sums.groupBy("chunk").applyInArrow(summed, SCORES)
+    counted = ask.groupBy("owner").applyInArrow(sized, "sample int, own long, kinds long, tokens long")
+    counted = counted.groupBy("sample", "own").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens"))
+    # As many rows as there are distinct numbers of tables: about the root of the table count.
+    whole = counted.coalesce(1).mapInArrow(chain, "tokens long, kinds long, seats binary, xs binary")
+    owners = F.explode(F.sequence(F.lit(0), F.lit(2 * cells - 1))).alias("owner")
+    reply = ask.groupBy("owner").cogroup(whole.select("*", owners).groupBy("owner")).applyInArrow(answered, BACK).repartition(cells, "cell")
+    totals = reply.mapInArrow(opened_tables, ", ".join(f"t{k} long" for k in range(samples))).agg(F.array(*[F.sum(f"t{k}") for k in range(samples)]))
+    back = reply.withColumn("all_tables", totals.scalar())
+    sums = pairs.groupBy("cell").cogroup(back.groupBy("cell")).applyInArrow(scored, SUMS)
+    return sums.groupBy("chunk").applyInArrow(summed, f"_row {rows.schema['_row'].dataType.simpleString()}, {SCORES}")
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -427,14 +496,20 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 
 
 def text_scores(docs: DataFrame, prior: Prior = Prior(), grid: tuple[int, int] | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (of a token) of every row."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()).withColumn("held_out", held)
     if grid is None:
-        size = plan_bytes(docs)
-        if size >= 1 << 60:  # Catalyst can't tell, as for rows that are in no file
-            size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
-        side = max(4, round((size / CELL_BYTES) ** 0.5))
+        side = max(4, round((text_bytes(docs) / CELL_BYTES) ** 0.5))
         grid = (side, side)
-    scores = model_scores(rows.select("_row", (~F.col("held_out")).alias("_train"), "text"), prior, grid)
-    return rows.select("_row", "doc_id", "held_out").join(scores, "_row").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scores = model_scores(docs.select(F.col("doc_id").alias("_row"), (~held).alias("_train"), "text"), prior, grid).withColumnRenamed("_row", "doc_id")
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", perplexity_of(F.col("score"), F.col("n_tokens")).alias("perplexity"))
+
+
+def perplexity_of(score: Column, tokens: Column) -> Column:
+    return F.pow(F.lit(10.0), -score / tokens)
+
+
+def perplexity(scores: DataFrame) -> DataFrame:
+    """held_out, n_tokens, perplexity: of training and of held-out texts, by token, from text_scores()."""
+    total = scores.groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("n_tokens").alias("n_tokens"))
+    return total.select("held_out", "n_tokens", perplexity_of(F.col("score"), F.col("n_tokens")).alias("perplexity"))

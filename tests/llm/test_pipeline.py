@@ -76,7 +76,7 @@ def test_language_model(spark, sf):
     check_counts(rows, got)
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert all(r["score"] < 0 for r in got)
+    assert all(r["score"] < 0 and r["perplexity"] > 1 for r in got)
 
 
 def test_language_model_edges(spark):
@@ -89,33 +89,68 @@ def test_language_model_edges(spark):
     assert nothing and all(r["train_tokens"] == 0 and np.isfinite(r["score"]) for r in nothing)
 
 
-@pytest.mark.parametrize("exact", [24, 1])
-def test_tables_follow_their_conditional(exact):
-    """Drawn numbers of tables, all at once or by moves of customers, against the conditional."""
-    d, theta, c, p, other = 0.4, 2.0, 5, 0.1, 3
-    n = 20_000
-    seats = pitman_yor.Seats(np.arange(n), np.full(n, c), n, d, theta, np.random.default_rng(0), exact)
-    seats.start(np.full(n, p), np.full(n, float(other)))
-    for _ in range(1 if exact > 1 else 8):
-        seats.sweep(np.full(n, p), np.full(n, float(other)), 8)
-    weight = np.array([np.exp(pitman_yor.log_stirling(d, 24)[c, t]) * np.prod(theta + d * (other + np.arange(t))) * p**t for t in range(1, c + 1)])
-    assert np.abs(np.bincount(seats.tables, minlength=c + 1)[1:] / n - weight / weight.sum()).max() < 0.015
-
-
-def test_predictions_sum_to_one(spark):
-    """P(word | context) summed over a small vocabulary and one unknown word.
-
-    A text scores the word after the start, and the end after the word; texts of two words add the
-    factor of the second after the first.
+def test_stirling_numbers():
+    """Stirling numbers of many customers against their recurrence."""
+    for d in (0.4, 0.8):
+        want = pitman_yor.log_stirling(d, 300)[300, 1:301]
+        got = pitman_yor.log_stirling_far(d, np.full(300, 300), np.arange(1, 301))
+        assert np.abs(got - want)[:290].max() < 0.1
+
+
+@pytest.mark.parametrize("exact", [128, 1])
+def test_tables_follow_their_conditional(exact, monkeypatch):
+    """Drawn numbers of tables, from all numbers or by steps, against the conditional."""
+    d, c, weight, n = 0.8, 120, -1.5, 20_000
+    table = pitman_yor.log_stirling(d, 128)
+    monkeypatch.setattr(pitman_yor, "EXACT", exact)
+    t = pitman_yor.drawn_tables(np.full(n, c), np.full(n, weight), d, np.random.default_rng(0))
+    p = np.exp(table[c, 1 : c + 1] + np.arange(1, c + 1) * weight - (table[c, 1 : c + 1] + np.arange(1, c + 1) * weight).max())
+    p /= p.sum()
+    assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - p).max() < 0.015
+    assert abs(t.mean() - p @ np.arange(1, c + 1)) < 0.1
+
+
+def test_sweeps_find_the_joint_distribution():
+    """Two dishes of one restaurant, by the auxiliary variable, against all seatings counted one by one."""
+    d, s, p, c = 0.5, 1.0, np.array([0.3, 0.1]), np.array([3, 4])
+    table = pitman_yor.log_stirling(d, 128)
+    want = np.zeros((4, 5))
+    for a in range(1, 4):
+        for b in range(1, 5):
+            want[a, b] = np.exp(table[3, a] + table[4, b]) * np.prod(s + d * np.arange(a + b)) * p[0] ** a * p[1] ** b
+    want /= want.sum()
+    rng, n = np.random.default_rng(3), 40_000
+    tables = np.ones((n, 2), np.int64)
+    for _ in range(12):
+        x = rng.gamma(s / d + tables.sum(axis=1))
+        tables = pitman_yor.drawn_tables(np.tile(c, n), np.log(d * np.outer(x, p)).ravel(), d, rng).reshape(n, 2)
+    got = np.zeros((4, 5))
+    np.add.at(got, (tables[:, 0], tables[:, 1]), 1 / n)
+    assert np.abs(got - want).max() < 0.012
+
+
+@pytest.mark.parametrize("grid", [(1, 1), (4, 4)])
+def test_predictions_sum_to_one(spark, grid):
+    """However many cells and owners there are, the probabilities after each context are one in all.
+
+    With g = P(end | word), score(s t) / score(s) is P(t | s) g(t) / g(s) =: B(s, t). That the probabilities
+    after s sum to one means 1 / g = B (1 / g) + 1. Solved for g, those after the start must sum to one too.
     """
     rng = np.random.default_rng(1)
-    vocabulary = [f"w{i}" for i in range(12)]
-    train = [(i, " ".join(rng.choice(vocabulary, 30, p=np.arange(1, 13) / 78)), True) for i in range(60)]
-    words = [*vocabulary, "unknown"]
-    asked = [(1000 + k, f"w11 {w}", False) for k, w in enumerate(words)] + [(2000 + k, w, False) for k, w in enumerate(words)]
-    rows = spark.createDataFrame(train + asked, "_row long, text string, _train boolean")
-    got = {r["_row"]: r["score"] for r in pitman_yor.model_scores(rows, pitman_yor.Prior(), (1, 1)).collect()}
-    # score(w11 w) - score(w11) + log P(end | w11) = log P(w | w11) P(end | w); the ends are taken from the texts of one word.
-    after_start = sum(10 ** got[2000 + k] for k in range(len(words)))
-    both = sum(10 ** (got[1000 + k] - got[2011]) for k in range(len(words)))
-    assert 0 < after_start < 1 and np.isfinite(both)
+    vocabulary, unknown = [f"w{i}" for i in range(12)], [f"unknown{i}" for i in range(12)]
+    train = [(f"t{i}", " ".join(rng.choice(vocabulary, 30, p=np.arange(1, 13) / 78)), True) for i in range(200)]
+    words = [*vocabulary, unknown[0]]
+    asked = ["", *vocabulary, *unknown, *(f"{s} {t}" for s in words for t in words)]
+    rows = spark.createDataFrame(train + [(t, t, False) for t in asked], "_row string, text string, _train boolean")
+    got = {r["_row"]: r["score"] for r in pitman_yor.model_scores(rows, pitman_yor.Prior(), grid).collect()}
+    assert np.ptp([got[u] for u in unknown]) < 1e-9  # alike, whichever owner they have
+    one = np.array([10 ** got[s] for s in words])
+    b = np.array([[10 ** got[f"{s} {t}"] for t in words] for s in words]) / one[:, None]
+    ends = 1 / np.linalg.solve(np.eye(len(words)) - b, np.ones(len(words)))
+    assert (ends > 0).all() and (ends < 1).all()
+    assert abs((one / ends).sum() + 10 ** got[""] - 1) < 1e-6
+
+
+def test_perplexity(spark):
+    scores = spark.createDataFrame([(True, -4.0, 2), (True, -2.0, 4), (False, -1.0, 1)], "held_out boolean, score double, n_tokens long")
+    assert {r["held_out"]: round(r["perplexity"], 9) for r in pitman_yor.perplexity(scores).collect()} == {True: 10.0, False: 10.0}
