@@ -64,14 +64,14 @@ class Prior:
     samples: int = 2
     sweeps: int = 2  # between samples
     burn_in: int = 3
-    parent_sweeps: int = 12  # of the chain of the parent's auxiliary variable
+    parent_sweeps: int = 8  # of the chain of the parent's auxiliary variable
     seed: int = 7
 
 
 #: Customers up to which a dish's tables are drawn from all numbers; steps of the sampler beyond it.
 EXACT, STEPS = 128, 24
-#: Tables, over customers to the power of the discount, up to which S is expanded.
-FEW = 1.2
+#: Tables, over customers to the power of the discount, up to which S is expanded, and terms of it.
+FEW, TERMS = 1.2, 34
 
 
 @cache
@@ -87,47 +87,81 @@ def log_stirling(discount: float, most: int) -> np.ndarray:
     return s
 
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, from ten on; smaller arguments are raised by ten."""
+    small = x < 10
+    y = np.where(small, x + 10, x)
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    if small.any():
+        raised = np.ones_like(y)
+        for i in range(10):
+            raised = raised * np.where(small, x + i, 1.0)
+        out = out - np.log(raised)
+    return out
 
 
-def log_stirling_far(discount: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """log S(c, t) of many customers, 1 <= t <= c.
+class ManyCustomers:
+    """log S(c, t) of dishes with many customers c, for 1 <= t <= c, up to a term for each dish.
 
-    S(c, t) = c! / (t! d^t) [z^c] (1 - (1-z)^d)^t. For few tables the power is expanded, and the
+    S(c, t) = c! / (t! d^t) [z^c] (1 - (1-z)^d)^t. For few tables the power is expanded, and its
     terms fall off quickly; for more the coefficient comes from a saddle point.
     """
-    d, c, t = discount, c.astype(float), t.astype(float)
-    few = t * c**-d < FEW
-    out = np.zeros(len(c))
-    if few.any():
-        out[few] = _expanded(d, c[few], t[few])
-    some = ~few & (t < c)
-    if some.any():
-        out[some] = _saddle(d, c[some], t[some])
-    return out
-
-
-def _expanded(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The sum over j of (-1)^j binomial(t, j) [z^c] (1-z)^(dj), over its first term."""
-    first = _log_gamma(c - d) - math.lgamma(1 - d) - _log_gamma(t) - (t - 1) * math.log(d)
-    scale, total = np.zeros(len(c)), np.ones(len(c))
-    for j in range(2, 40):
-        scale = scale + np.log(np.maximum(t - j + 1, 1e-300) / j)
-        size = np.exp(scale + _log_gamma(np.maximum(c - d * j, 1e-3)) - _log_gamma(c - d) + math.lgamma(1 + d * j) - math.lgamma(1 + d))
-        total += np.where((t >= j) & (c > d * j), (-1) ** (j - 1) * math.sin(math.pi * d * j) / math.sin(math.pi * d) * size, 0.0)
-    return first + np.log(np.maximum(total, 1e-300))
-
 
-def _saddle(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-    low, high = np.full(len(c), -2000.0), np.full(len(c), -1e-12)  # log of y = 1 - z
-    for _ in range(64):
-        u = (low + high) / 2
-        over = np.log(t * d) + np.log(-np.expm1(u)) + (d - 1) * u - np.log(-np.expm1(d * u)) > np.log(c)
-        low, high = np.where(over, u, low), np.where(over, high, u)
-    z, phi, ratio = -np.expm1(u), -np.expm1(d * u), c / t
-    bend = np.exp(np.log(d * (1 - d)) + (d - 2) * u + 2 * np.log(z) - np.log(phi))
-    spread = t * (ratio + bend - ratio**2)
-    return _log_gamma(c + 1) - _log_gamma(t + 1) - t * np.log(d) + t * np.log(phi) - c * np.log(z) - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-300))
+    def __init__(self, d: float, c: np.ndarray):
+        self.d, self.c = d, c.astype(float)
+        self.few = FEW * self.c**d
+        # Of each term of the expansion, over the first one's, what doesn't depend on t, and its sign.
+        j = np.arange(2, TERMS)[:, None]
+        self.size = _log_gamma(np.maximum(self.c - d * j, 1e-3)) - _log_gamma(self.c - d) + _log_gamma(1 + d * j) - math.lgamma(1 + d)
+        self.sign = (-1.0) ** (j - 1) * np.sin(math.pi * d * j) / math.sin(math.pi * d) * (self.c > d * j)
+        self.first = _log_gamma(self.c - d) - math.lgamma(1 - d)
+        self.all = _log_gamma(self.c + 1)
+
+    def __call__(self, t: np.ndarray) -> np.ndarray:
+        out, t = np.zeros(len(t)), t.astype(float)
+        few = np.flatnonzero(t <= self.few)
+        if len(few):
+            out[few] = self._expanded(few, t[few])
+        some = np.flatnonzero((t > self.few) & (t < self.c))
+        if len(some):
+            out[some] = self._saddle(self.c[some], self.all[some], t[some])
+        return out
+
+    def _expanded(self, at: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The sum over j of (-1)^j binomial(t, j) [z^c] (1-z)^(dj), over its first term."""
+        scale, total = np.zeros(len(t)), np.ones(len(t))
+        for k in range(TERMS - 2):
+            scale = scale + np.log(np.maximum(t - k - 1, 1e-300) / (k + 2))
+            total += np.where(t >= k + 2, self.sign[k, at] * np.exp(scale + self.size[k, at]), 0.0)
+        return self.first[at] - _log_gamma(t) - (t - 1) * math.log(self.d) + np.log(np.maximum(total, 1e-300))
+
+    def _saddle(self, c: np.ndarray, all_: np.ndarray, t: np.ndarray) -> np.ndarray:
+        d = self.d
+        low, high = -(np.log(c / (t * d)) + 1) / (1 - d), np.full(len(c), -1e-12)  # log of y = 1 - z
+        for _ in range(36):
+            u = (low + high) / 2
+            over = np.log(t * d / c) + np.log(-np.expm1(u)) + (d - 1) * u > np.log(-np.expm1(d * u))
+            low, high = np.where(over, u, low), np.where(over, high, u)
+        z, phi, ratio = -np.expm1(u), -np.expm1(d * u), c / t
+        bend = np.exp(np.log(d * (1 - d)) + (d - 2) * u + 2 * np.log(z) - np.log(phi))
+        spread = t * (ratio + bend - ratio**2)
+        return all_ - _log_gamma(t + 1) - t * np.log(d) + t * np.log(phi) - c * np.log(z) - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-300))
+
+    def top(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most probable t with weights S(c, t) exp(t weight), and the standard deviation around it."""
+        d, c = self.d, self.c
+        # At the top z y^(d-1) = c / exp(weight), with y = 1 - z.
+        high = np.full(len(c), -1e-12)
+        low = -(np.maximum(np.log(c) - weight, 0) + 2) / (1 - d)
+        for _ in range(36):
+            u = (low + high) / 2
+            over = np.log(-np.expm1(u)) + (d - 1) * u > np.log(c) - weight
+            low, high = np.where(over, u, low), np.where(over, high, u)
+        t = np.clip(np.rint(np.exp(np.log(c) + np.log(-np.expm1(d * u)) - np.log(-np.expm1(u)) - np.log(d) - (d - 1) * u)), 1, c)
+        h = np.clip(np.rint(t / 20), 1, None)
+        a, b = np.clip(t - h, 1, c), np.clip(t + h, 1, c)
+        bend = (2 * self(t) - self(a) - self(b) + (2 * t - a - b) * weight) / np.maximum(((b - a) / 2) ** 2, 1)
+        return t, np.clip(1 / np.sqrt(np.maximum(bend, 1e-12)), 0.4, c)
 
 
 def few_weights(discount: float, c: int, weight: np.ndarray) -> np.ndarray:
@@ -156,24 +190,14 @@ def drawn_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng
 
 def _metropolis(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes with many customers: a random walk as wide as the conditional, from its top."""
-    f = lambda t: log_stirling_far(d, c, t) + t * weight
-    # At the top z y^(d-1) = c / (d x p) d, with y = 1 - z.
-    low, high = np.full(len(c), -2000.0), np.full(len(c), -1e-12)
-    for _ in range(64):
-        u = (low + high) / 2
-        over = np.log(-np.expm1(u)) + (d - 1) * u > np.log(c) - (weight - np.log(d)) - np.log(d)
-        low, high = np.where(over, u, low), np.where(over, high, u)
-    top = np.exp(np.log(c) + np.log(-np.expm1(d * u)) - np.log(-np.expm1(u)) - np.log(d) - (d - 1) * u)
-    t = np.clip(np.rint(top), 1, c)
-    h = np.clip(np.rint(t / 20), 1, None)
-    a, b = np.clip(t - h, 1, c), np.clip(t + h, 1, c)
-    bend = (2 * f(t) - f(a) - f(b)) / np.maximum(((b - a) / 2) ** 2, 1)
-    width = np.clip(2.4 / np.sqrt(np.maximum(bend, 1e-12)), 1, c)
-    now = f(t)
+    f = ManyCustomers(d, c)
+    t, width = f.top(weight)
+    now = f(t) + t * weight
     for _ in range(STEPS):
-        to = t + np.rint(rng.normal(size=len(c)) * width)
+        to = t + np.rint(rng.normal(size=len(c)) * 2.4 * width)
         inside = (to >= 1) & (to <= c)
-        then = f(np.where(inside, to, t))
+        to = np.where(inside, to, t)
+        then = f(to) + to * weight
         moves = inside & (np.log(rng.random(len(c))) < then - now)
         t, now = np.where(moves, to, t), np.where(moves, then, now)
     return t.astype(np.int64)
@@ -182,6 +206,8 @@ def _metropolis(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Gene
 def parent_x(own: np.ndarray, kinds: np.ndarray, everything: int, prior: Prior, rng: np.random.Generator) -> float:
     """The parent's auxiliary variable, from a chain over how many words (kinds) have how many customers (own)."""
     d, total, x = prior.parent_discount, int(kinds.sum()), 1.0
+    many = kinds[own > EXACT]
+    far = ManyCustomers(d, own[own > EXACT]) if len(many) else None  # their sum is normal, for all purposes
     for sweep in range(prior.parent_sweeps + 1):
         x = rng.gamma(prior.parent_strength / d + total)
         weight = math.log(d * x / (everything + 1))
@@ -192,9 +218,9 @@ def parent_x(own: np.ndarray, kinds: np.ndarray, everything: int, prior: Prior,
             if 1 < c <= EXACT:
                 p = few_weights(d, c, np.array([weight]))[0]
                 total += int(rng.multinomial(n, np.diff(p, prepend=0) / p[-1]) @ np.arange(1, c + 1))
-        far = own > EXACT
-        for c in np.array_split(np.repeat(own[far], kinds[far]), int(kinds[far].sum()) // (1 << 20) + 1):
-            total += int(drawn_tables(c, np.full(len(c), weight), d, rng).sum())
+        if far is not None:
+            top, width = far.top(np.full(len(many), weight))
+            total += max(int(many.sum()), int(round(top @ many + rng.normal() * math.sqrt(width**2 @ many))))
     return x
 
 

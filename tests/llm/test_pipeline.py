@@ -93,7 +93,7 @@ def test_stirling_numbers():
     """Stirling numbers of many customers against their recurrence."""
     for d in (0.4, 0.8):
         want = pitman_yor.log_stirling(d, 300)[300, 1:301]
-        got = pitman_yor.log_stirling_far(d, np.full(300, 300), np.arange(1, 301))
+        got = pitman_yor.ManyCustomers(d, np.full(300, 300))(np.arange(1, 301))
         assert np.abs(got - want)[:290].max() < 0.1
 
 
