@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .textscan import slices
 
 DIMENSIONS = 8192
+#: Texts counted at once: dense counts take 64 KB each.
+AT_ONCE = 256
 #: Learning documents of a language that its centroids are fitted on, centroids, and rounds of k-means.
 SAMPLE, CENTROIDS, ROUNDS = 1000, 4, 12
 #: A cluster holds at least one of so many of the sample, or is given up.
@@ -127,8 +129,8 @@ class Model:
         for begin, end in slices(texts, 1 << 20):
             rows = texts.slice(begin, end - begin).to_pylist()
             on = [i for i, t in enumerate(rows) if has_letter(t)] if self.langs else []
-            for at in range(0, len(on), 1024):
-                part = on[at : at + 1024]
+            for at in range(0, len(on), AT_ONCE):
+                part = on[at : at + AT_ONCE]
                 own = [rows[i] for i in part]
                 best, near = self.nearest(own)
                 least = self.limits[best, length_class(own)]
@@ -155,8 +157,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
                 langs[x["values"]] = langs.get(x["values"], 0) + x["counts"]
             for begin, end in slices(b.column(1), 1 << 20):
                 rows = b.column(1).slice(begin, end - begin).to_pylist()
-                for at in range(0, len(rows), 1024):
-                    df += np.count_nonzero(counts(rows[at : at + 1024]), axis=0)
+                for at in range(0, len(rows), AT_ONCE):
+                    df += np.count_nonzero(counts(rows[at : at + AT_ONCE]), axis=0)
         place = pa.array([*range(DIMENSIONS), *[-1] * len(langs)], pa.int32())
         yield pa.RecordBatch.from_arrays([place, pa.array([*[None] * DIMENSIONS, *langs], pa.string()), pa.array([*df.tolist(), *langs.values()], pa.int64())], ["place", "lang", "n"])
 
@@ -210,10 +212,10 @@ def cosines(known: DataFrame, model: Model) -> np.ndarray:
             for begin, end in slices(b.column(1), 1 << 20):
                 langs, texts = (b.column(i).slice(begin, end - begin).to_pylist() for i in (0, 1))
                 on = [i for i, t in enumerate(texts) if has_letter(t)]
-                for at in range(0, len(on), 1024):
-                    part = [texts[i] for i in on[at : at + 1024]]
+                for at in range(0, len(on), AT_ONCE):
+                    part = [texts[i] for i in on[at : at + AT_ONCE]]
                     best, near = model.nearest(part)
-                    right = names[best] == np.array([langs[i] for i in on[at : at + 1024]])
+                    right = names[best] == np.array([langs[i] for i in on[at : at + AT_ONCE]])
                     step = np.clip((near * STEPS).astype(np.int64), 0, STEPS - 1)
                     np.add.at(total, (best[right], length_class(part)[right], step[right]), 1)
         place = np.flatnonzero(total)
