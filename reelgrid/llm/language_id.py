@@ -28,7 +28,7 @@ from .textscan import slices
 
 DIMENSIONS = 8192
 #: Texts counted at once: dense counts take 64 KB each.
-AT_ONCE = 256
+AT_ONCE = 128
 #: Learning documents of a language that its centroids are fitted on, centroids, and rounds of k-means.
 SAMPLE, CENTROIDS, ROUNDS = 1000, 4, 12
 #: A cluster holds at least one of so many of the sample, or is given up.

@@ -41,11 +41,11 @@ SHINGLE, PERCENT, BITS = 5, 80, 3
 #: Places in which hashes are counted, and how many of them a row holds.
 PLACES, BLOCK = 1 << 20, 1 << 15
 #: Tokens that are dealt out at once, bytes of input for a bucket of tokens, and rows of a token that a bucket takes.
-TOKENS, BUCKET_BYTES, HOT = 1 << 20, 8 << 20, 1 << 20
+TOKENS, BUCKET_BYTES, HOT = 1 << 18, 8 << 20, 1 << 20
 #: Sets that are compared with one other in a task's group.
 MEMBERS = 2048
 #: Texts whose sets a task computes at once.
-AT_ONCE = 256
+AT_ONCE = 64
 #: Pairs left for the last step: at least so many, or this many for each shared token; rounds of step 2 at most.
 PAIRS, PAIRS_EACH, ROUNDS = 1 << 22, 8, 6
 

@@ -28,8 +28,8 @@ from .common import checkpointed, others, rows_without, stored, text_key
 from .textscan import Words, slices, words, xxh64
 
 U64 = np.uint64
-SHINGLES_AT_ONCE = 1 << 18
-PAIRS_AT_ONCE = 1 << 19
+SHINGLES_AT_ONCE = 1 << 16
+PAIRS_AT_ONCE = 1 << 17
 #: At most about this many cells make up the top of the trie, whatever the input.
 CELLS = 8192
 
