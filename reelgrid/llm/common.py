@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from math import isqrt
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +88,35 @@ def parts_of_hot(docs: DataFrame, least: int = 16) -> int:
     return max(least, min(1 << 20, isqrt(max(1, text_bytes(docs) // 2048))))
 
 
+#: Bytes of an Arrow batch of operators that move whole texts.
+TEXT_BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts take TEXT_BATCH bytes on either side of a worker's pipe, unless the session names a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(TEXT_BATCH))
+
+
+def released() -> None:
+    """Give memory that this worker has freed back to the system; workers live on while other tasks run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def releasing(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """scan, for mapInArrow, with released() after the last batch."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from scan(batches)
+        released()
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name, released, releasing, small_batches
 from .textscan import slices
 
 DIMENSIONS = 8192
@@ -148,6 +149,7 @@ def fold(divisor: int = 4):
 
 def learn(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """From text and non-null lang of those whose crc32(doc_id) mod 4 isn't 2."""
+    small_batches(docs.sparkSession)
     known = docs.where((fold() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
         yield pa.RecordBatch.from_arrays([place, pa.array([*[None] * DIMENSIONS, *langs], pa.string()), pa.array([*df.tolist(), *langs.values()], pa.int64())], ["place", "lang", "n"])
 
     # DIMENSIONS + languages rows reach the driver, whatever the input.
-    sums = known.select("lang", "text").mapInArrow(frequencies, "place int, lang string, n long").groupBy("place", "lang").agg(F.sum("n").alias("n")).collect()
+    sums = known.select("lang", "text").mapInArrow(releasing(frequencies), "place int, lang string, n long").groupBy("place", "lang").agg(F.sum("n").alias("n")).collect()
     sizes = {r["lang"]: r["n"] for r in sums if r["place"] < 0}
     df = np.zeros(DIMENSIONS)
     for r in sums:
@@ -187,6 +189,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
         x = np.concatenate([vectors(texts[i : i + 64], idf) for i in range(0, len(texts), 64)])
         c = fitted(x, k)
         lang = t.column("lang")[0].as_py()
+        del x
+        released()
         return pa.table({"lang": [lang] * len(c), "centroid": pa.array([v.astype("<f4").tobytes() for v in c], pa.binary())})
 
     rows = drawn.groupBy("lang").applyInArrow(fit, "lang string, centroid binary").collect()
@@ -222,20 +226,22 @@ def cosines(known: DataFrame, model: Model) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total.ravel()[place])], ["place", "n"])
 
     # At most one row for each centroid, length and step reaches the driver, whatever the input.
-    for r in known.select("lang", "text").mapInArrow(scan, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+    for r in known.select("lang", "text").mapInArrow(releasing(scan), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         out.ravel()[r["place"]] = r["n"]
     return out
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column _lid: lang_pred, score, rejected. Nothing but the text is looked at."""
+def predicted(docs: DataFrame, model: Model, name: str = "_lid") -> DataFrame:
+    """docs with a column of that name: lang_pred, score, rejected. Nothing but the text is looked at."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(PREDICTED)
     def predict(texts: pa.Array) -> pa.Array:
-        return held.value.predict(texts)
+        out = held.value.predict(texts)
+        released()
+        return out
 
-    return docs.withColumn("_lid", predict("text"))
+    return docs.withColumn(name, predict("text"))
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -246,6 +252,7 @@ def languages(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
-    return predicted(docs, learn(docs)).where(~F.col("_lid.rejected")).drop("_lid")
+    name = free_name(docs, "_lid")
+    return predicted(docs, learn(docs), name).where(~F.col(f"{name}.rejected")).drop(name)
 
 

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, discard, others, parts_for, rows_without, stored, text_key
+from .common import KEYS, discard, others, parts_for, releasing, rows_without, small_batches, stored, text_key
 from .simhash import components, first_row, shingle_spans, trie_forest, voted, won
 from .textscan import mix, slices, words, xxh64
 
@@ -52,7 +52,7 @@ PAIRS, PAIRS_EACH, ROUNDS = 1 << 22, 8, 6
 
 def sets_of(texts: pa.Array, k: int, votes: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """For each slice of texts the hashes of all sets, each ascending, how many each text has, and the fingerprints if asked for."""
-    for begin, end in slices(texts):
+    for begin, end in slices(texts, 1 << 20):
         w = words(texts.slice(begin, end - begin))
         start, size, doc = shingle_spans(w, k)
         h = xxh64(w.text, start, size)
@@ -87,7 +87,7 @@ def named_rows(docs: DataFrame, k: int) -> DataFrame:
                 at += len(n)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(scan, f"doc_id {kind}, key long, id long, n long, fp long")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(releasing(scan), f"doc_id {kind}, key long, id long, n long, fp long")
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ def place_counts(docs: DataFrame, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([block[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
     out = np.zeros(PLACES, np.int64)
-    for r in docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(summed, "block int, counts binary").collect():
+    for r in docs.select("text").mapInArrow(releasing(count), "block int, counts binary").groupBy("block").applyInArrow(summed, "block int, counts binary").collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["counts"]), "<i8")
     return out
 
@@ -172,7 +172,7 @@ def shared_tokens(docs: DataFrame, counts: Broadcast, k: int, percent: int, hot:
         on = (size > 1) | (salts(token) > 1)
         return pa.table([pa.array(v[on].view(np.int64)) for v in (token, name, head)], ["token", "id", "head"])
 
-    return docs.select("text").mapInArrow(scan, "bucket int, tokens binary, ids binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "token long, id long, head long")
+    return docs.select("text").mapInArrow(releasing(scan), "bucket int, tokens binary, ids binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "token long, id long, head long")
 
 
 def fitting(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -230,8 +230,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
                 on = np.concatenate(near) if near else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(to[on])], ["fp", "to"])
 
-    found = sides.select("to", "part", "member", "id", "text").mapInArrow(packed, "to long, part long, member boolean, id long, packed binary")
-    out = stored(found.repartition("to", "part").sortWithinPartitions("to", "part", "member").mapInArrow(compare, "fp long, to long"))
+    found = sides.select("to", "part", "member", "id", "text").mapInArrow(releasing(packed), "to long, part long, member boolean, id long, packed binary")
+    out = stored(found.repartition("to", "part").sortWithinPartitions("to", "part", "member").mapInArrow(releasing(compare), "fp long, to long"))
     discard(pairs, kept)
     return out
 
@@ -286,6 +286,7 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
 
 def near_kept(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each component of near texts."""
+    small_batches(docs.sparkSession)
     rows = stored(named_rows(docs, k))
     labels = labelled(docs, rows, k, percent, bits)
     placed = stored(rows.select("doc_id", "key", "id").join(labels.withColumnRenamed("fp", "id"), "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("root")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, releasing, small_batches
 from .textscan import slices
 from .vocab import word_pieces
 
@@ -52,7 +52,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, with_ids: bool =
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(releasing(scan), schema)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import corpus_pipeline
 from reelgrid.llm import pitman_yor
+from reelgrid.llm.common import TEXT_BATCH, small_batches
 from reelgrid.llm.queries import op1_pitman_yor
 
 from .test_near_copies import brute_kept
@@ -154,3 +155,23 @@ def test_predictions_sum_to_one(spark, grid):
 def test_perplexity(spark):
     scores = spark.createDataFrame([(True, -4.0, 2), (True, -2.0, 4), (False, -1.0, 1)], "held_out boolean, score double, n_tokens long")
     assert {r["held_out"]: round(r["perplexity"], 9) for r in pitman_yor.perplexity(scores).collect()} == {True: 10.0, False: 10.0}
+
+
+def test_language_keeps_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "doc_id AS _lid")
+    got = corpus_pipeline.language(spark, docs, sf)
+    assert got.columns == docs.columns and got.where("NOT _lid <=> doc_id").isEmpty()
+
+
+def test_batches_of_texts_are_small_unless_the_session_says(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "33554432")
+        small_batches(spark)
+        assert spark.conf.get(name).startswith("33554432")
+        spark.conf.unset(name)
+        small_batches(spark)
+        assert spark.conf.get(name).startswith(str(TEXT_BATCH))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
