@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 
 def score_aggregate(scores: DataFrame, keys: list[str]) -> DataFrame:
     """mean, minimum, p10 at the floored index, count."""
@@ -31,9 +33,9 @@ def refined(frames: DataFrame, stride: int, cap: int) -> DataFrame:
     return strided(frames, stride, 0, cap).unionAll(strided(frames, stride, max(1, stride // 2), cap))
 
 
-def near_gate(aggregates: DataFrame, target: float, margin: float = 1.5) -> DataFrame:
-    """Clips so near the target that a second pass is due."""
-    return aggregates.where(F.abs(F.col("p10") - target) < margin)
+def near_gate(aggregates: DataFrame, target: float, margin: float = 1.5, stride: int = 2) -> DataFrame:
+    """Clips so near the target that a second pass is due; with a stride of 1 every frame is scored already."""
+    return aggregates.where((F.abs(F.col("p10") - target) < margin) & F.lit(stride > 1))
 
 
 def positional(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -64,9 +66,25 @@ def frame_rate(frames: DataFrame) -> DataFrame:
     return gaps.groupBy("clip").agg(upper.alias("g")).select("clip", F.coalesce(F.round(F.try_divide(F.lit(1e6), F.get("g", F.expr("cast(size(g) div 2 as int)"))), 9), F.lit(30.0)).alias("fps"))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their place in the order, from 0, within each group of by (or of all rows).
+
+    Rows are dealt out by ranges of (by, order), so a large group takes many parts; a row's place is
+    its place within its part and what the group has in parts before. Only counts meet by group.
+    """
+    dealt = rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    dealt = checkpointed(dealt)  # both sides must see the same parts
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.select("_before", *[F.col(x).alias(f"_{i}") for i, x in enumerate([*by, "_part"])])
+    same = [F.col(x).eqNullSafe(F.col(f"_{i}")) for i, x in enumerate([*by, "_part"])]
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1)
+    return own.join(counts, same).select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
 def reordered(packets: DataFrame) -> DataFrame:
     """Packets with their place in presentation order, for each track."""
-    return packets.withColumn("place", F.row_number().over(Window.partitionBy("track").orderBy("pts", "tie")) - 1)
+    return numbered(packets, ["track"], ["pts", "tie"], "place")
 
 
 def audio_chunks(streams: DataFrame, frames_per_chunk: int) -> DataFrame:
