@@ -40,6 +40,10 @@ class Pieces:
         self.old: dict = {}
         self.passing: list = []
 
+    def forget(self) -> None:
+        """Give up all pieces; the worker lives on while other stages run."""
+        self.young, self.old, self.passing = {}, {}, []
+
     def of(self, texts: list[list]) -> list[list[bytes]]:
         """The ids of the pieces of each text."""
         for w in self.passing:
