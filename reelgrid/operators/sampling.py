@@ -58,6 +58,34 @@ def nearest(reference: DataFrame, other: DataFrame, tolerance: int) -> DataFrame
     return met.groupBy("ref_id", "ref_pts").agg(F.min(best).alias("best")).select("ref_id", "ref_pts", (-F.col("best.id")).alias("other_id"), (-F.col("best.late")).alias("other_pts"))
 
 
+def matched(reference: DataFrame, pairs: DataFrame, cap: int) -> DataFrame:
+    """Per clip the references with a partner, up to the cap-th, and those skipped before it is reached.
+
+    reference: (clip, ref_id, pts); pairs: rows of nearest(). A reference without pts is last, and skipped.
+    """
+    hit = reference.join(pairs.select(F.col("ref_id").alias("_ref"), F.lit(True).alias("_hit")), F.col("ref_id") == F.col("_ref"), "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    before = Window.partitionBy("clip").orderBy(F.col("pts").asc_nulls_last(), "ref_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = hit.withColumn("_n", F.coalesce(F.sum(F.col("_hit").cast("long")).over(before), F.lit(0))).where(F.col("_n") < cap)
+    return within.groupBy("clip").agg(F.count_if("_hit").alias("matched"), F.count_if(~F.col("_hit")).alias("skipped"))
+
+
+def neighbours(frames: DataFrame, column: str) -> DataFrame:
+    """Each frame with what at most one frame before and two after it hold, in order: arrays before and after."""
+    own = Window.partitionBy("clip").orderBy("idx")
+    return frames.select("*", F.collect_list(column).over(own.rowsBetween(-1, -1)).alias("before"), F.collect_list(column).over(own.rowsBetween(1, 2)).alias("after"))
+
+
+def check_frames(count: Column) -> Column:
+    """The first and the last of so many frames, once if they are the same; none of none."""
+    return F.when(count > 0, F.array_distinct(F.array(F.lit(0).cast("long"), count.cast("long") - 1))).otherwise(F.array().cast("array<bigint>"))
+
+
+def noise_probe(frames: DataFrame, limit: float = 90.0, stride: int = 5) -> DataFrame:
+    """Per clip the mean score of every stride-th frame, and whether it is below the limit: noisy."""
+    mean = F.avg("score")
+    return frames.where(F.col("idx") % stride == 0).groupBy("clip").agg(F.round(mean, 6).alias("probe"), (mean < limit).alias("noisy"))
+
+
 def frame_rate(frames: DataFrame) -> DataFrame:
     """Per clip: 1e6 over the upper median of the positive gaps of pts_us; 30 with fewer than two stamps."""
     gap = F.col("pts_us") - F.lag("pts_us").over(Window.partitionBy("clip").orderBy("pts_us"))

@@ -61,6 +61,11 @@ def bitrate(items: DataFrame, score: Callable[[Column], Column], target: Column,
     return rows.select("*", F.col("d.best").alias("best"), F.col("d.passes").alias("passes"), F.when(F.col("s.stop") == "", "exhausted").otherwise(F.col("s.stop")).alias("stop")).drop("s", "d")
 
 
+def with_ceiling(found: DataFrame, score: Callable[[Column], Column], target: Column, ceiling: Column) -> DataFrame:
+    """rate and met of rows from bitrate(): where no candidate clears, the ceiling is taken, and it wins if it clears itself."""
+    return found.select("*", F.coalesce("best", ceiling).alias("rate"), (F.col("best").isNotNull() | (score(ceiling) >= target)).alias("met"))
+
+
 def progress(done: Column, sub: Column, planned: Column) -> Column:
     return F.least(F.lit(0.92), 0.10 + 0.82 * (done + sub) / F.greatest(planned, done + 1))
 

@@ -109,5 +109,12 @@ def stability(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.withColumn("c", change).groupBy(*keys).agg(F.round(F.try_divide(F.sum("c"), F.count("c")), 6).alias("flicker"), F.count("c").alias("pairs"))
 
 
+def channel_stability(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """As stability(), of frames (clip, idx, signature) with several channels: the change is the mean over channels."""
+    before = F.lag("signature").over(Window.partitionBy("clip").orderBy("idx"))
+    changed = frames.withColumn("c", mean_abs(F.col("signature"), before))
+    return changed.groupBy(*keys).agg(F.round(F.try_divide(F.sum("c"), F.count("c")), 6).alias("flicker"), F.count("c").alias("pairs"))
+
+
 def reduction(before: Column, after: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), 1 - F.try_divide(after, before)), F.lit(0.0))

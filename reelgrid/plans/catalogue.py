@@ -143,6 +143,33 @@ def nearest_pts_pair(spark, sf):
     return sampling.nearest(side("click", "ref_id"), side("view", "other_id"), 300_000_000)
 
 
+@query("""WITH r AS (SELECT event_id AS ref_id, user_id AS clip, epoch_us(ts) AS pts FROM events WHERE event_type = 'click'), o AS (SELECT epoch_us(ts) AS pts FROM events WHERE event_type = 'view'),
+m AS (SELECT DISTINCT ref_id FROM r JOIN o ON abs(r.pts - o.pts) <= 30000000), h AS (SELECT clip, pts, r.ref_id, m.ref_id IS NOT NULL AS hit FROM r LEFT JOIN m ON m.ref_id = r.ref_id),
+n AS (SELECT clip, hit, coalesce(sum(hit::INT) OVER (PARTITION BY clip ORDER BY pts NULLS LAST, ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM h)
+SELECT clip, count_if(hit)::BIGINT AS matched, count_if(NOT hit)::BIGINT AS skipped FROM n WHERE n < 3 GROUP BY clip""")
+def pairing_counts(spark, sf):
+    e = V.table(spark, sf, "events")
+    side = lambda kind, name: e.where(c("event_type") == kind).select(c("event_id").alias(name), V.micros("ts").alias("pts"), c("user_id").alias("clip"))
+    references = side("click", "ref_id")
+    return sampling.matched(references, sampling.nearest(references, side("view", "other_id"), 30_000_000), 3)
+
+
+@query(f"WITH {V.SCORES} SELECT clip, idx, coalesce(array_to_string(list(idx) OVER (PARTITION BY clip ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING), ','), '') AS \"before\", coalesce(array_to_string(list(idx) OVER (PARTITION BY clip ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ','), '') AS \"after\" FROM scores")
+def neighbour_window(spark, sf):
+    joined = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
+    return sampling.neighbours(V.scores(spark, sf).select("clip", "idx"), "idx").select("clip", "idx", joined("before").alias("before"), joined("after").alias("after"))
+
+
+@query("SELECT id, unnest(CASE WHEN n > 0 THEN list_distinct([0, n - 1]) ELSE [] END)::BIGINT AS frame FROM (SELECT o_orderkey AS id, o_orderkey % 4 AS n FROM orders)")
+def check_frames(spark, sf):
+    return V.table(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.explode(sampling.check_frames(c("o_orderkey") % 4)).alias("frame"))
+
+
+@query(f"WITH {V.SCORES} SELECT clip, round(avg(score), 6) AS probe, avg(score) < 90 AS noisy FROM scores WHERE idx % 5 = 0 GROUP BY clip")
+def noise_probe(spark, sf):
+    return sampling.noise_probe(V.scores(spark, sf))
+
+
 @query(f"WITH {V.SCORES}, g AS (SELECT clip, pts_us - lag(pts_us) OVER (PARTITION BY clip ORDER BY pts_us) AS gap FROM scores), s AS (SELECT clip, list_sort(list(gap) FILTER (gap > 0)) AS l FROM g GROUP BY clip) SELECT clip, coalesce(round(1e6 / l[len(l) // 2 + 1], 9), 30) AS fps FROM s")
 def frame_rate_estimate(spark, sf):
     return sampling.frame_rate(V.scores(spark, sf))
@@ -253,6 +280,11 @@ def temporal_stability(spark, sf):
     return segment.stability(V.scores(spark, sf), ["clip"])
 
 
+@query(f"WITH {FRAMES}, p AS (SELECT clip, embedding[1:3] AS e, lag(embedding[1:3]) OVER (PARTITION BY clip ORDER BY idx) AS b FROM frames), d AS (SELECT clip, list_sum(list_transform(list_zip(e, b), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) / 3 AS c FROM p WHERE b IS NOT NULL) SELECT clip, round(avg(c), 6) AS flicker, count(c) AS pairs FROM d GROUP BY clip")
+def channel_stability(spark, sf):
+    return segment.channel_stability(_frames(spark, sf).withColumn("signature", F.slice("signature", 1, 3)), ["clip"])
+
+
 @query("SELECT o_orderkey AS id, coalesce(greatest(0, 1 - (o_totalprice % 700) / nullif(floor(o_totalprice % 500), 0)), 0) AS reduction FROM orders")
 def stability_reduction(spark, sf):
     return V.table(spark, sf, "orders").select(c("o_orderkey").alias("id"), segment.reduction(F.floor(c("o_totalprice") % 500).cast("double"), c("o_totalprice") % 700).alias("reduction"))
@@ -320,6 +352,11 @@ def descent_extension(spark, sf):
     return _searched(spark, sf).where("descended").select("id", "best")
 
 
+@query(f"SELECT b.id, coalesce(best, ceiling) AS rate, best IS NOT NULL OR {_RATE.format(b='ceiling').replace('id', 'b.id')} >= target AS met FROM ({_BITRATE}) b JOIN (SELECT c_custkey AS id, 60.0 + c_custkey % 35 AS target, 1e6::DOUBLE * (1 + c_custkey % 9) AS ceiling FROM customer) i ON i.id = b.id")
+def ceiling_fallback(spark, sf):
+    return search.with_ceiling(_searched(spark, sf), _rate_score, c("target"), c("ceiling")).select("id", "rate", "met")
+
+
 @query("SELECT o_orderkey AS id, round(least(0.92, 0.10 + 0.82 * (o_orderkey % 9 + 0.5) / greatest(o_orderkey % 12, o_orderkey % 9 + 1)), 9) AS fraction FROM orders")
 def progress_fraction(spark, sf):
     k = c("o_orderkey")
@@ -567,6 +604,11 @@ def nearest_resize(spark, sf):
     return P.nearest_resized(V.planes(spark, sf), 8, 8, 5, 5).withColumn("v", F.round("v", 6))
 
 
+@query(_WITH + ", o AS (SELECT y AS oy, x AS ox FROM range(3) a(y), range(5) b(x)) SELECT id, oy AS y, ox AS x, round(v, 6) AS v FROM o JOIN planes ON planes.y = oy * 8 // 3 + 8 // 6 AND planes.x = ox * 8 // 5 + 8 // 10")
+def cell_centres(spark, sf):
+    return P.point_sampled(V.planes(spark, sf), 8, 8, 5, 3).withColumn("v", F.round("v", 6))
+
+
 @query("WITH b AS (SELECT l_linenumber AS frame, CAST(l_quantity AS INTEGER) * 5 % 256 // 32 AS bin, count(*) AS n FROM lineitem GROUP BY ALL) SELECT frame, bin, round(n / sum(n) OVER (PARTITION BY frame), 9) AS share FROM b")
 def histogram_signature(spark, sf):
     n = V.table(spark, sf, "lineitem").groupBy(c("l_linenumber").alias("frame"), F.shiftright(F.round("l_quantity").cast("int") * 5 % 256, 5).alias("bin")).agg(F.count("*").alias("n"))
