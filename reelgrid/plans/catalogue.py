@@ -519,10 +519,30 @@ def option_clamps(spark, sf):
     return rows.select("id", "d.*", "e.*")
 
 
-@query("SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN 'jpeg' WHEN page_id % 4 = 1 THEN 'raw' WHEN page_id % 4 = 2 THEN 'pdf' ELSE 'unknown' END AS format FROM pages")
+# Every extension that is known, and some that aren't.
+_STILLS = "PNG jpg JPEG tif tiff heic heif avif bmp gif Cr2 cr3 nef arw raf orf rw2 dng pef 3fr iiq gpr pdf webp srw raw xyz".split()
+
+
+@query("""SELECT id, CASE WHEN k = 0 THEN 'png' WHEN k <= 2 THEN 'jpeg' WHEN k <= 4 THEN 'tiff' WHEN k <= 6 THEN 'heic' WHEN k = 7 THEN 'avif' WHEN k = 8 THEN 'bmp' WHEN k = 9 THEN 'gif' WHEN k <= 21 THEN 'raw' ELSE 'unknown' END AS format,
+CASE WHEN k = 22 THEN 'pdf' WHEN k BETWEEN 10 AND 21 THEN 'raw' ELSE 'image' END AS route FROM (SELECT page_id AS id, page_id % 27 AS k FROM pages)""")
 def still_formats(spark, sf):
-    e = F.element_at(F.array(*map(F.lit, (".JPG", ".Cr2", ".pdf", ".xyz"))), (c("page_id") % 4 + 1).cast("int"))
-    return V.table(spark, sf, "pages").select(c("page_id").alias("id"), policy.still_format(F.concat(F.lit("/a.b/c"), e)).alias("format"))
+    path = F.concat(F.lit("/a.b/c."), F.element_at(F.array(*map(F.lit, _STILLS)), (c("page_id") % len(_STILLS) + 1).cast("int")))
+    return V.table(spark, sf, "pages").select(c("page_id").alias("id"), policy.still_format(path).alias("format"), policy.still_route(path).alias("route"))
+
+
+@query("""SELECT n_nationkey AS id, n_nationkey % 5 AS width, n_nationkey % 7 AS height, CASE WHEN n_nationkey % 3 = 0 THEN 8 ELSE n_nationkey % 3 * 8 END AS depth,
+CASE WHEN n_nationkey % 2 = 1 THEN 'none' WHEN n_nationkey % 4 = 0 THEN 'premultiplied' ELSE 'straight' END AS alpha, CASE WHEN n_nationkey % 6 = 0 THEN 1 ELSE n_nationkey % 6 END AS orientation, CASE WHEN n_nationkey % 3 = 0 THEN 96 ELSE 72 + n_nationkey END::DOUBLE AS dpi FROM nation""")
+def still_metadata(spark, sf):
+    k, some = c("n_nationkey"), lambda v: F.nullif(v, F.lit(0))
+    found = policy.still_metadata(some(k % 5), some(k % 7), some(k % 3 * 8), k % 2 == 0, k % 4 == 0, some(k % 6), F.when(k % 3 != 0, (72 + k).cast("double")), F.lit(96.0))
+    return V.table(spark, sf, "nation").select(k.alias("id"), found.alias("m")).select("id", "m.*")
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'mov' ELSE 'mp4' END AS container, 640 + n_nationkey + CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE 1 END AS width, 480 + n_nationkey AS height, CASE WHEN n_nationkey % 3 = 0 THEN 30 ELSE n_nationkey % 3 * 12.5 END::DOUBLE AS fps FROM nation")
+def native_probe(spark, sf):
+    k = c("n_nationkey")
+    found = policy.native_probe(F.when(k % 2 == 0, "MOV").otherwise("m4v"), 640 + k + (k % 4) * 0.25 + F.when(k % 4 == 1, 0.25).otherwise(0.0), 480.25 + k, F.when(k % 3 != 0, (k % 3) * 12.5))
+    return V.table(spark, sf, "nation").select(k.alias("id"), found.alias("p")).select("id", "p.*")
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 1e9 / (n_nationkey % 3 * 20000000) END AS fps, greatest(0, n_nationkey * 40 - 100) AS pts, n_nationkey * CAST(round(600 / 25.0::DOUBLE) AS BIGINT) AS step, format('shot-{:03d}.png', n_nationkey + 1) AS file, n_nationkey % 2 = 0 OR n_nationkey % 5 = 0 AS writable, n_nationkey % 2 = 0 AND n_nationkey % 3 <> 1 AS refused FROM nation")
