@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, packing, pitman_yor, revisit, simhash, text_fingerprints, url_filter, vector_search
+from . import byte_bpe, conversation_repair, exact_dedup, language_id, line_dedup, packing, pitman_yor, revisit, simhash, text_fingerprints, url_filter, vector_search
 from .common import table
 
 
@@ -62,9 +62,13 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_fingerprints.likenesses(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repairs(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pitman_yor, op2_revisit, op3_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_language_id, op7_vector_search, op8_url_filter, op9_exact_dedup, op10_simhash, op12_fingerprints)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_revisit, op3_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_language_id, op7_vector_search, op8_url_filter, op9_exact_dedup, op10_simhash, op12_fingerprints, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_revisit": revisit.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_revisit": revisit.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
