@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_repair, exact_dedup, language_id, line_dedup, packing, pitman_yor, revisit, simhash, text_fingerprints, url_filter, vector_search
+from . import byte_bpe, conversation_repair, exact_dedup, hard_negatives, language_id, line_dedup, packing, pitman_yor, revisit, simhash, text_fingerprints, url_filter, vector_search
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_fingerprints.likenesses(table(spark, sf_dir, "documents"))
 
@@ -67,8 +71,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pitman_yor, op2_revisit, op3_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_language_id, op7_vector_search, op8_url_filter, op9_exact_dedup, op10_simhash, op12_fingerprints, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_revisit, op3_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_language_id, op7_vector_search, op8_url_filter, op9_exact_dedup, op10_simhash, op11_hard_negatives, op12_fingerprints, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_revisit": revisit.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
+    return {"op2_revisit": revisit.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
