@@ -202,13 +202,15 @@ def alpha_refused(has_alpha: Column, reads_alpha: Column) -> Column:
     return F.coalesce(has_alpha, F.lit(False)) & ~F.coalesce(reads_alpha, F.lit(False))
 
 
-def verdict(outcomes: Column) -> Column:
-    """(name, outcome) checks: corrupt if any failed, intact if any beyond `readable` was made, else unverified."""
-    return F.when(F.exists(outcomes, lambda c: c["outcome"] == "failed"), "corrupt").when(F.exists(outcomes, lambda c: (c["outcome"] != "skipped") & (c["name"] != "readable")), "intact").otherwise("unverified")
+def verdict(checks: Column) -> Column:
+    """Of (name, outcome) checks: corrupt if any failed, intact if any was made, else unverified; `readable` alone says nothing."""
+    made = lambda c: c["name"] != "readable"
+    return F.when(F.exists(checks, lambda c: made(c) & (c["outcome"] == "failed")), "corrupt").when(F.exists(checks, lambda c: made(c) & (c["outcome"] != "skipped")), "intact").otherwise("unverified")
 
 
-def first_failure(outcomes: Column) -> Column:
-    return F.get(F.filter(outcomes, lambda c: c["outcome"] == "failed"), 0)["name"]
+def first_failure(checks: Column) -> Column:
+    """The diagnosis of the first check that failed."""
+    return F.get(F.filter(checks, lambda c: c["outcome"] == "failed"), 0)["detail"]
 
 
 def last_registered(registry: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -14,22 +12,11 @@ from ..operators import planes as P
 from ..operators import policy, sampling, search, segment
 from ..operators import spans as S
 from . import views as V
+from .registry import QUERIES, SQL, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 c = F.col
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- spans
 
 MERGED = f"""WITH {V.SPANS}, o AS (
@@ -489,10 +476,10 @@ _OUTCOMES = "['passed','failed','skipped']"
 
 
 @query(f"""WITH c AS (SELECT c_custkey AS id, ['passed', {_OUTCOMES}[c_custkey % 3 + 1], {_OUTCOMES}[c_custkey // 3 % 3 + 1]] AS o FROM customer)
-SELECT id, CASE WHEN list_contains(o, 'failed') THEN 'corrupt' WHEN o[2] <> 'skipped' OR o[3] <> 'skipped' THEN 'intact' ELSE 'unverified' END AS verdict, CASE WHEN o[2] = 'failed' THEN 'boxes' WHEN o[3] = 'failed' THEN 'crc' END AS failure FROM c""")
+SELECT id, CASE WHEN list_contains(o, 'failed') THEN 'corrupt' WHEN o[2] <> 'skipped' OR o[3] <> 'skipped' THEN 'intact' ELSE 'unverified' END AS verdict, CASE WHEN o[2] = 'failed' THEN 'boxes of ' || id WHEN o[3] = 'failed' THEN 'crc of ' || id END AS failure FROM c""")
 def verdict_lattice(spark, sf):
     k, names = c("c_custkey"), F.array(*map(F.lit, ("passed", "failed", "skipped")))
-    check = lambda name, o: F.struct(F.lit(name).alias("name"), o.alias("outcome"))
+    check = lambda name, o: F.struct(F.lit(name).alias("name"), o.alias("outcome"), F.concat(F.lit(f"{name} of "), k).alias("detail"))
     checks = F.array(check("readable", F.lit("passed")), check("boxes", F.element_at(names, (k % 3 + 1).cast("int"))), check("crc", F.element_at(names, (F.floor(k / 3) % 3 + 1).cast("int"))))
     return V.table(spark, sf, "customer").select(k.alias("id"), policy.verdict(checks).alias("verdict"), policy.first_failure(checks).alias("failure"))
 
@@ -704,3 +691,7 @@ def ssimulacra2(spark, sf):
 def crc32_blocks(spark, sf):
     d = V.table(spark, sf, "documents")
     return d.select("doc_id", F.crc32(F.concat(F.lit(b"IDAT"), F.coalesce("text", F.lit("")).cast("binary"))).alias("crc"))
+
+
+# The queries of these modules are registered when they are imported.
+from . import container_queries  # noqa: E402, F401

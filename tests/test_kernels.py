@@ -1,7 +1,5 @@
 """Invariants of the dense kernels, hand-made containers, folds and streams against plain Python."""
 
-import struct
-import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions import binwalk, kernels
 from reelgrid.operators import policy, segment, spans
-from reelgrid.sources import files, seams
+from reelgrid.sources import seams
 from reelgrid.streaming import stateful
 
 RNG = np.random.default_rng(4)
@@ -60,32 +58,6 @@ def test_warp_and_blend():
     assert kernels.scaled_flow(np.ones((4, 4, 2)), 8, 12)[..., 0] == pytest.approx(np.full((8, 12), 3.0))
 
 
-def chunk(kind, data=b""):
-    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-
-PNG = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"IDAT", b"abc") + chunk(b"IEND")
-MP4 = struct.pack(">I4s4s", 12, b"ftyp", b"isom") + struct.pack(">I4s", 8, b"moov")
-EBML = bytes([0x1A, 0x45, 0xDF, 0xA3, 0x84]) + b"webm" + bytes([0x18, 0x53, 0x80, 0x67, 0x83, 0xEC, 0x81, 0x00])
-JPEG = b"\xff\xd8\xff\xe0" + b"x" * 20 + b"\xff\xd9"
-
-
-def test_files(spark, tmp_path):
-    bad = bytearray(PNG)
-    bad[40] ^= 1
-    content = {"a.png": PNG, "b.png": bytes(bad), "c.png": PNG[:-3], "d.mp4": MP4, "e.mov": MP4, "f.mp4": MP4[:12], "g.mp4": MP4[:-1], "h.webm": EBML, "i.mkv": EBML[:-1], "j.jpg": JPEG, "k.jpg": JPEG[:-1], "l.bin": b"?" * 40, "m.gif": b"GIF89a" + b"0" * 20}
-    for name, data in content.items():
-        (tmp_path / name).write_bytes(data)
-    got = {r["path"][-5:-4] if r["path"][-5] != "." else r["path"][-6]: r for r in files.verified(files.files(spark, str(tmp_path))).collect()}
-    verdicts = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["verdict"]) for r in got.values()}
-    assert verdicts == {
-        "a.png": ("png", "intact"), "b.png": ("png", "corrupt"), "c.png": ("png", "corrupt"), "d.mp4": ("isobmff", "intact"), "e.mov": ("isobmff", "intact"), "f.mp4": ("isobmff", "corrupt"), "g.mp4": ("isobmff", "corrupt"),
-        "h.webm": ("ebml", "intact"), "i.mkv": ("ebml", "corrupt"), "j.jpg": ("jpeg", "intact"), "k.jpg": ("jpeg", "corrupt"), "l.bin": ("unknown", "unverified"), "m.gif": ("gif", "unverified"),
-    }
-    routes = {r["path"].rsplit("/", 1)[1]: r["container"] for r in files.probed(files.files(spark, str(tmp_path))).collect()}
-    assert (routes["d.mp4"], routes["e.mov"], routes["h.webm"], routes["a.png"]) == ("mp4", "mov", "webm", "none")
-
-
 def test_configuration_records():
     avc = bytes([1, 0x64, 0, 31, 0xFF, 0xE1]) + b"\0\x03abc" + bytes([1]) + b"\0\x02de"
     assert binwalk.nal_length_size(avc, False) == 4 and binwalk.parameter_sets(avc, False) == [b"abc", b"de"]
