@@ -158,10 +158,11 @@ def still_metadata(w: Column, h: Column, depth: Column, alpha: Column, premultip
 
 
 def native_probe(extension: Column, w: Column, h: Column, rate: Column) -> Column:
-    """Container, rounded size and rate of a file that the system reads: `.mov` is mov, all else mp4; no rate is 30."""
+    """Container, size and rate of a file that the system reads: `.mov` is mov, all else mp4; sizes are absolute, then rounded; no rate is 0."""
+    side = lambda x: F.round(F.abs(x)).cast("long")
     return F.struct(
         F.when(F.lower(extension) == "mov", "mov").otherwise("mp4").alias("container"),
-        F.round(w).cast("long").alias("width"), F.round(h).cast("long").alias("height"), F.when(rate > 0, rate).otherwise(30.0).alias("fps"),
+        side(w).alias("width"), side(h).alias("height"), F.coalesce(rate, F.lit(0.0)).alias("fps"), F.lit(True).alias("decodable"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from . import prefix
 
 
 def score_aggregate(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,19 +43,31 @@ def positional(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("clip", "idx", F.col("score").alias("a")).join(b.select("clip", "idx", F.col("score").alias("b")), ["clip", "idx"])
 
 
-def nearest(reference: DataFrame, other: DataFrame, tolerance: int) -> DataFrame:
-    """Each (ref_id, pts) with the nearest (other_id, pts) within the tolerance; ties go to the later.
+def nearest(reference: DataFrame, other: DataFrame, tolerance: int, by: list[str] | None = None) -> DataFrame:
+    """Each (ref_id, pts) with the nearest (other_id, pts) within the tolerance, of its own clip (by); ties go to the later.
 
-    Both sides meet on slices of the tolerance's width, so it is an equi-join; what is left per
-    reference is a minimum with partial sums.
+    An as-of join both ways over one order of both sides: each reference has two candidates, the last
+    frame up to it and the first one after it, in its part or, by one summary row, in another. Of
+    frames of one time the one with the largest id counts. References without a time have none.
     """
-    slot = lambda c: F.floor(F.col(c) / max(1, tolerance))
-    a = reference.select("ref_id", F.col("pts").alias("ref_pts"), F.explode(F.array(*[slot("pts") + d for d in (-1, 0, 1)])).alias("slot"))
-    b = other.select("other_id", F.col("pts").alias("other_pts"), slot("pts").alias("slot"))
-    gap = F.abs(F.col("ref_pts") - F.col("other_pts"))
-    met = a.join(b, "slot").where(gap <= tolerance)
-    best = F.struct(gap.alias("gap"), (-F.col("other_pts")).alias("late"), (-F.col("other_id")).alias("id"))
-    return met.groupBy("ref_id", "ref_pts").agg(F.min(best).alias("best")).select("ref_id", "ref_pts", (-F.col("best.id")).alias("other_id"), (-F.col("best.late")).alias("other_pts"))
+    by = by or []
+    frames = other.where(F.col("pts").isNotNull()).groupBy(*by, "pts").agg(F.max("other_id").alias("other_id"))
+    kind = other.schema["other_id"].dataType.simpleString()
+    both = frames.select(*by, "pts", F.struct("pts", F.col("other_id").alias("id")).alias("_of"), F.lit(None).cast(reference.schema["ref_id"].dataType).alias("ref_id"), F.lit(0).alias("_ref"))
+    both = both.unionByName(reference.where(F.col("pts").isNotNull()).select(*by, "pts", F.lit(None).cast(f"struct<pts:{other.schema['pts'].dataType.simpleString()},id:{kind}>").alias("_of"), "ref_id", F.lit(1).alias("_ref")))
+    rows = prefix.dealt(both, by, ["pts", "_ref", "ref_id"])
+    ends = rows.groupBy(*by, prefix.PART).agg(F.max("_of").alias("_last"), F.min("_of").alias("_first"))
+    ends = ends.select(*by, prefix.PART, F.max("_last").over(prefix.earlier(by)).alias("_low"), F.min("_first").over(prefix.later(by)).alias("_high"))
+    upto = lambda *order: prefix.within(by, *order).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.select(
+        *by, prefix.PART, "pts", "ref_id", "_ref",
+        F.last("_of", ignorenulls=True).over(upto("pts", "_ref")).alias("_a"), F.last("_of", ignorenulls=True).over(upto(F.desc("pts"), F.desc("_ref"))).alias("_b"),
+    ).where("_ref = 1")
+    told = prefix.with_summary(found, ends, by).withColumns({"_a": F.coalesce("_a", "_low"), "_b": F.coalesce("_b", "_high")})
+    before, after = F.col("pts") - F.col("_a.pts"), F.col("_b.pts") - F.col("pts")
+    best = F.when(after.isNull() | (before < after), F.col("_a")).otherwise(F.col("_b"))
+    out = told.withColumn("_best", best).where(F.abs(F.col("_best.pts") - F.col("pts")) <= tolerance)
+    return out.select(*by, "ref_id", F.col("pts").alias("ref_pts"), F.col("_best.id").alias("other_id"), F.col("_best.pts").alias("other_pts"))
 
 
 def matched(reference: DataFrame, pairs: DataFrame, cap: int) -> DataFrame:
@@ -87,27 +99,25 @@ def noise_probe(frames: DataFrame, limit: float = 90.0, stride: int = 5) -> Data
 
 
 def frame_rate(frames: DataFrame) -> DataFrame:
-    """Per clip: 1e6 over the upper median of the positive gaps of pts_us; 30 with fewer than two stamps."""
+    """Per clip: 1e6 over the upper median of the positive gaps of pts_us; 30 with fewer than two stamps.
+
+    The median is an order statistic of counted gaps, of which a clip has few.
+    """
     gap = F.col("pts_us") - F.lag("pts_us").over(Window.partitionBy("clip").orderBy("pts_us"))
     gaps = frames.select("clip", gap.alias("gap"))
-    upper = F.sort_array(F.collect_list(F.when(F.col("gap") > 0, F.col("gap"))))
-    return gaps.groupBy("clip").agg(upper.alias("g")).select("clip", F.coalesce(F.round(F.try_divide(F.lit(1e6), F.get("g", F.expr("cast(size(g) div 2 as int)"))), 9), F.lit(30.0)).alias("fps"))
+    clips = gaps.groupBy("clip").agg(F.lit(1).alias("_one")).drop("_one")
+    middle = prefix.order_statistics(prefix.states(gaps.where("gap > 0"), ["clip"], "gap"), ["clip"], "gap", {"m": F.floor(F.col("total") / 2)})
+    found = clips.join(middle.select(F.col("clip").alias("_clip"), "m"), F.col("clip").eqNullSafe(F.col("_clip")), "left")
+    return found.select("clip", F.coalesce(F.round(F.try_divide(F.lit(1e6), F.col("m")), 9), F.lit(30.0)).alias("fps"))
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """rows with their place in the order, from 0, within each group of by (or of all rows).
-
-    Rows are dealt out by ranges of (by, order), so a large group takes many parts; a row's place is
-    its place within its part and what the group has in parts before. Only counts meet by group.
-    """
-    dealt = rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
-    dealt = checkpointed(dealt)  # both sides must see the same parts
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    counts = counts.select("_before", *[F.col(x).alias(f"_{i}") for i, x in enumerate([*by, "_part"])])
-    same = [F.col(x).eqNullSafe(F.col(f"_{i}")) for i, x in enumerate([*by, "_part"])]
-    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1)
-    return own.join(counts, same).select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))
+    """rows with their place in the order, from 0, within each group of by (or of all rows)."""
+    parts = prefix.dealt(rows, by, order)
+    counts = parts.groupBy(*by, prefix.PART).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(prefix.earlier(by)), F.lit(0))).drop("_n")
+    own = parts.withColumn("_own", F.row_number().over(prefix.within(by, *order)) - 1)
+    return prefix.with_summary(own, counts, by).select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))
 
 
 def reordered(packets: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Segmentation of frame sequences: distances, adaptive thresholds, cuts and shots.
 
-Decisions that depend on earlier decisions are folds over a clip's sorted array, inside the JVM;
-clips are independent, and one clip is one row.
+Decisions that depend on earlier decisions are folds that stream over a clip's frames (folds.py);
+thresholds of a whole clip are order statistics of counts (prefix.py). No clip is gathered in one row.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds, prefix
+
 
 def l1(a: Column, b: Column) -> Column:
     """Sum of absolute differences; the largest float where lengths differ."""
@@ -26,81 +28,46 @@ def lagged(frames: DataFrame) -> DataFrame:
     return frames.withColumn("before", before).where("before IS NOT NULL")
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
-def threshold(values: Column, k: float, scale: str, floor: float = 0.01) -> Column:
-    """Adaptive threshold of an array: upper tail, or median absolute deviation (upper medians)."""
-    middle = lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int"))
-    if scale == "mad":
-        spread = lambda s, m: middle(F.array_sort(F.transform(s, lambda v: F.abs(v - m))))
-        return let(F.array_sort(values), lambda s: let(middle(s), lambda m: m + F.greatest(spread(s, m), F.lit(floor)) * k))
-    upper = lambda s: F.get(s, F.round((F.size(s) - 1) * 0.9).cast("int"))
-    return let(F.array_sort(values), lambda s: let(upper(s), lambda p: p + F.greatest(p - middle(s), F.lit(floor)) * k))
-
-
-def sequences(deltas: DataFrame) -> DataFrame:
-    """(clip, idx, score) -> one sorted array per clip."""
-    return deltas.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "score"))), lambda x: x["score"]).alias("d"))
+def thresholds(deltas: DataFrame, k: float, scale: str, floor: float = 0.01) -> DataFrame:
+    """clip, total and t: the adaptive threshold of each clip: upper tail, or median absolute deviation (upper medians)."""
+    counts = prefix.states(deltas, ["clip"], "score")
+    middle = F.floor(F.col("total") / 2)
+    if scale != "mad":
+        found = prefix.order_statistics(counts, ["clip"], "score", {"m": middle, "p": F.round((F.col("total") - 1) * 0.9)})
+        return found.select("clip", "total", (F.col("p") + F.greatest(F.col("p") - F.col("m"), F.lit(floor)) * k).alias("t"))
+    middles = prefix.order_statistics(counts, ["clip"], "score", {"m": middle}).select(F.col("clip").alias("_clip"), "m")
+    off = counts.join(middles, F.col("clip").eqNullSafe(F.col("_clip"))).select("clip", "m", F.abs(F.col("score") - F.col("m")).alias("off"), "n")
+    spread = prefix.order_statistics(off.groupBy("clip", "off").agg(F.sum("n").alias("n")), ["clip"], "off", {"mad": middle})
+    return spread.join(middles, F.col("clip").eqNullSafe(F.col("_clip"))).select("clip", "total", (F.col("m") + F.greatest(F.col("mad"), F.lit(floor)) * k).alias("t"))
 
 
 def two_pass_cuts(deltas: DataFrame, k: float = 2.0, scale: str = "tail", floor: float = 0.01) -> DataFrame:
     """Local maxima strictly above the clip's threshold; none with two deltas or fewer."""
-    rows = sequences(deltas).where(F.size("d") > 2).withColumn("t", threshold(F.col("d"), k, scale, floor))
-    rows = rows.select("clip", "t", "d", F.posexplode("d").alias("idx", "v"))
-    near = lambda i: F.coalesce(F.get("d", i), F.lit(0.0))
-    left = F.when(F.col("idx") > 0, near(F.col("idx") - 1)).otherwise(0.0)
-    return rows.where((F.col("v") > F.col("t")) & (F.col("v") >= left) & (F.col("v") >= near(F.col("idx") + 1))).select("clip", "idx", F.round("t", 6).alias("threshold"))
+    own = Window.partitionBy("clip").orderBy("idx")
+    near = deltas.select("clip", F.col("idx").cast("long").alias("idx"), "score", F.lag("score", 1, 0.0).over(own).alias("_a"), F.lead("score", 1, 0.0).over(own).alias("_b"))
+    limits = thresholds(deltas, k, scale, floor).where("total > 2").withColumnRenamed("clip", "_clip")
+    rows = near.join(limits, F.col("clip").eqNullSafe(F.col("_clip")))
+    return rows.where((F.col("score") > F.col("t")) & (F.col("score") >= F.col("_a")) & (F.col("score") >= F.col("_b"))).select("clip", "idx", F.round("t", 6).alias("threshold"))
 
 
 def causal_cuts(deltas: DataFrame, k: float = 2.0, scale: str = "tail", floor: float = 0.01, window: int = 48, history: int = 12, gap: int = 6) -> DataFrame:
-    """Cuts decided frame by frame.
-
-    Until there is enough history nothing fires. A fired cut stays out of the window; an outlier
-    that comes too soon after a cut enters it clamped to the threshold.
-    """
-    window, history, gap = max(4, window), max(2, history), max(1, gap)
-    start = F.struct(F.array().cast("array<double>").alias("w"), F.lit(1 << 30).alias("since"), F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("i"))
-
-    def step(s: Column, v: Column) -> Column:
-        limit = F.when(F.size(s["w"]) < history, float("inf")).otherwise(threshold(s["w"], k, scale, floor))
-        return let(limit, lambda t: moved(s, v, t, (v > t) & (s["since"] >= gap)))
-
-    def moved(s: Column, v: Column, t: Column, cut: Column) -> Column:
-        full = F.size(s["w"]) >= window
-        kept = F.concat(F.when(full, F.slice(s["w"], 2, window)).otherwise(s["w"]), F.array(F.least(v, t)))
-        return F.struct(F.when(cut, s["w"]).otherwise(kept).alias("w"), F.when(cut, 0).otherwise(s["since"] + 1).alias("since"), F.when(cut, F.concat(s["cuts"], F.array(s["i"]))).otherwise(s["cuts"]).alias("cuts"), (s["i"] + 1).alias("i"))
-
-    return sequences(deltas).select("clip", F.explode(F.aggregate("d", start, step, lambda s: s["cuts"])).alias("idx"))
+    """Cuts (clip, idx) decided frame by frame, as folds.CutDetector says."""
+    return folds.folded(deltas, lambda: folds.CutDetector(k=k, floor=floor, size=window, history=history, gap=gap, mad=scale == "mad"), "idx long")
 
 
 def shots(deltas: DataFrame, limit: float = 0.35, gap: int = 6) -> DataFrame:
-    """Starts of shots: 0, and where the distance exceeds the limit at least gap frames after the last start.
-
-    deltas: the distance of frame idx to the one before; idx 0 has none that counts.
-    """
-    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("last"), F.lit(0).alias("i"))
-
-    def step(s: Column, v: Column) -> Column:
-        cut = (s["i"] > 0) & (v > limit) & (s["i"] - s["last"] >= gap)
-        return F.struct(F.when(cut, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"), F.when(cut, s["i"]).otherwise(s["last"]).alias("last"), (s["i"] + 1).alias("i"))
-
-    return sequences(deltas).select("clip", F.explode(F.aggregate("d", start, step, lambda s: s["starts"])).alias("start"))
+    """Starts (clip, start) of shots; the distance of a clip's first frame doesn't count."""
+    return folds.folded(deltas, lambda: folds.Shots(limit, gap), "start long")
 
 
 def blended(samples: DataFrame, strength: float, tolerance: float) -> DataFrame:
     """Confidence blend of each sample with the blended one before it; the first passes through."""
-    inverse = 1 / tolerance if tolerance > 0 else 0.0
+    return folds.folded(samples, lambda: folds.Blend(strength, tolerance), "idx long, v double").withColumn("v", F.round("v", 6))
 
-    def step(s: Column, f: Column) -> Column:
-        warped = F.element_at(s, -1)
-        w = F.greatest(F.lit(0.0), 1.0 - F.abs(f - warped) * inverse) * strength
-        return F.when(F.size(s) == 0, F.array(f)).otherwise(F.concat(s, F.array(w * warped + (1.0 - w) * f)))
 
-    rows = sequences(samples).withColumn("b", F.aggregate("d", F.array().cast("array<double>"), step))
-    return rows.select("clip", F.posexplode("b").alias("idx", "v")).withColumn("v", F.round("v", 6))
+def shot_blended(samples: DataFrame, strength: float, tolerance: float, **detector) -> DataFrame:
+    """clip, idx, cut, v: as blended(), but the blend starts anew at each cut that the causal detector finds."""
+    return folds.folded(samples, lambda: folds.ShotBlend(folds.CutDetector(**detector), folds.Blend(strength, tolerance)), "idx long, cut boolean, v double")
 
 
 def stability(samples: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Span analytics: grouping, interval union, utilization, caps and exports.
 
 A span is a row (name, lane, start_ns, dur_ns, tid, seq, detail, attrs); seq is the order in which
-spans were appended. Interval union is done in slices of time first (cover()), so that a lane with
-most of the spans isn't one sort.
+spans were appended. Interval union is a prefix scan (prefix.py), so that a lane with most of the
+spans isn't one sort.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of the whole timeline for the first pass of the interval union.
-SLICES = 1024
+from . import prefix
 
 
 def aggregate(spans: DataFrame) -> DataFrame:
@@ -35,22 +34,23 @@ def timeline(spans: DataFrame) -> DataFrame:
 def merged(spans: DataFrame) -> DataFrame:
     """lane, start_ns, end_ns of the union of each lane's intervals; touching ones merge.
 
-    First within (lane, slice of starts), which leaves few intervals for the pass over the lane.
+    A span opens a new interval if it starts after all earlier ones of its lane have ended: the
+    running maximum of ends within its part, and that of the parts before. Intervals are numbered
+    within parts; what a part begins with may go on with the last interval of those before it.
     """
-    bounds = spans.agg(F.min("start_ns").alias("low"), F.max("start_ns").alias("high"))
-    width = F.greatest(F.lit(1), F.expr(f"(high - low) div {SLICES} + 1"))
-    rows = spans.select("lane", "start_ns", (F.col("start_ns") + F.col("dur_ns")).alias("end_ns"))
-    low, step = bounds.select("low").scalar(), bounds.select(width).scalar()
-    rows = rows.withColumn("slice", F.floor((F.col("start_ns") - low) / step))
-    return _union(_union(rows, ["lane", "slice"]).select("lane", "start_ns", "end_ns"), ["lane"])
-
-
-def _union(rows: DataFrame, keys: list[str]) -> DataFrame:
-    own = Window.partitionBy(*keys).orderBy("start_ns", "end_ns")
-    before = F.max("end_ns").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.withColumn("new", F.when(before >= F.col("start_ns"), 0).otherwise(1))
-    numbered = opened.withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "island").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns")).drop("island")
+    by = ["lane"]
+    rows = prefix.dealt(spans.select("lane", "start_ns", (F.col("start_ns") + F.col("dur_ns")).alias("end_ns")).where("start_ns is not null and end_ns is not null"), by, ["start_ns", "end_ns"])
+    ends = rows.groupBy("lane", prefix.PART).agg(F.max("end_ns").alias("_end"))
+    own = prefix.within(by, "start_ns", "end_ns")
+    reach = F.greatest(F.max("end_ns").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    opened = prefix.with_summary(rows, ends.withColumn("_carried", F.max("_end").over(prefix.earlier(by))).drop("_end"), by)
+    opened = opened.withColumn("_new", F.when(reach >= F.col("start_ns"), 0).otherwise(1))
+    numbered = opened.withColumn("_island", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = numbered.groupBy("lane", prefix.PART, "_island").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
+    counts = pieces.groupBy("lane", prefix.PART).agg(F.max("_island").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(prefix.earlier(by)), F.lit(0))).drop("_n")
+    told = prefix.with_summary(pieces, counts, by).withColumn("_island", F.col("_island") + F.col("_before"))
+    return told.groupBy("lane", "_island").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns")).drop("_island")
 
 
 def lane_utilization(spans: DataFrame) -> DataFrame:

@@ -130,15 +130,26 @@ def nearest_pts_pair(spark, sf):
     return sampling.nearest(side("click", "ref_id"), side("view", "other_id"), 300_000_000)
 
 
-@query("""WITH r AS (SELECT event_id AS ref_id, user_id AS clip, epoch_us(ts) AS pts FROM events WHERE event_type = 'click'), o AS (SELECT epoch_us(ts) AS pts FROM events WHERE event_type = 'view'),
-m AS (SELECT DISTINCT ref_id FROM r JOIN o ON abs(r.pts - o.pts) <= 30000000), h AS (SELECT clip, pts, r.ref_id, m.ref_id IS NOT NULL AS hit FROM r LEFT JOIN m ON m.ref_id = r.ref_id),
+@query("""WITH r AS (SELECT event_id AS ref_id, user_id AS clip, epoch_us(ts) AS pts FROM events WHERE event_type = 'click' QUALIFY (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 2 = 0), o AS (SELECT user_id AS clip, epoch_us(ts) AS pts FROM events WHERE event_type = 'view'),
+m AS (SELECT DISTINCT ref_id FROM r JOIN o ON r.clip = o.clip AND abs(r.pts - o.pts) <= 43200000000), h AS (SELECT clip, pts, r.ref_id, m.ref_id IS NOT NULL AS hit FROM r LEFT JOIN m ON m.ref_id = r.ref_id),
 n AS (SELECT clip, hit, coalesce(sum(hit::INT) OVER (PARTITION BY clip ORDER BY pts NULLS LAST, ref_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM h)
 SELECT clip, count_if(hit)::BIGINT AS matched, count_if(NOT hit)::BIGINT AS skipped FROM n WHERE n < 3 GROUP BY clip""")
 def pairing_counts(spark, sf):
+    """Every second click of a user with that user's nearest view, within half a day; three matches at most."""
     e = V.table(spark, sf, "events")
     side = lambda kind, name: e.where(c("event_type") == kind).select(c("event_id").alias(name), V.micros("ts").alias("pts"), c("user_id").alias("clip"))
-    references = side("click", "ref_id")
-    return sampling.matched(references, sampling.nearest(references, side("view", "other_id"), 30_000_000), 3)
+    place = F.row_number().over(sampling.Window.partitionBy("clip").orderBy("pts", "ref_id")) - 1
+    references = sampling.strided(side("click", "ref_id").withColumn("idx", place), 2, 0, 1 << 40).drop("idx")
+    return sampling.matched(references, sampling.nearest(references, side("view", "other_id"), 43_200_000_000, ["clip"]), 3)
+
+
+@query("""WITH r AS (SELECT event_id AS ref_id, user_id AS clip, epoch_us(ts) AS pts FROM events WHERE event_type = 'click'), o AS (SELECT event_id AS other_id, user_id AS clip, epoch_us(ts) AS pts FROM events WHERE event_type = 'view'),
+j AS (SELECT r.clip, ref_id, r.pts AS ref_pts, other_id, o.pts AS other_pts, row_number() OVER (PARTITION BY ref_id ORDER BY abs(r.pts - o.pts), o.pts DESC, other_id DESC) AS k FROM r JOIN o ON r.clip = o.clip AND abs(r.pts - o.pts) <= 43200000000)
+SELECT clip, ref_id, ref_pts, other_id, other_pts FROM j WHERE k = 1""")
+def nearest_in_clip(spark, sf):
+    e = V.table(spark, sf, "events")
+    side = lambda kind, name: e.where(c("event_type") == kind).select(c("event_id").alias(name), V.micros("ts").alias("pts"), c("user_id").alias("clip"))
+    return sampling.nearest(side("click", "ref_id"), side("view", "other_id"), 43_200_000_000, ["clip"])
 
 
 @query(f"WITH {V.SCORES} SELECT clip, idx, coalesce(array_to_string(list(idx) OVER (PARTITION BY clip ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING), ','), '') AS \"before\", coalesce(array_to_string(list(idx) OVER (PARTITION BY clip ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ','), '') AS \"after\" FROM scores")
@@ -177,11 +188,11 @@ def audio_chunks(spark, sf):
 
 # ---- segmentation
 
-FRAMES = "frames AS (SELECT vec_id % 5 AS clip, vec_id AS idx, embedding FROM embeddings)"
+FRAMES = "frames AS (SELECT vec_id // 250 AS clip, vec_id AS idx, embedding FROM embeddings)"
 
 
 def _frames(spark, sf):
-    return V.table(spark, sf, "embeddings").select((c("vec_id") % 5).alias("clip"), c("vec_id").alias("idx"), c("embedding").alias("signature"))
+    return V.table(spark, sf, "embeddings").select(F.floor(c("vec_id") / 250).alias("clip"), c("vec_id").alias("idx"), c("embedding").alias("signature"))
 
 
 _LAGGED = f"WITH {FRAMES}, p AS (SELECT clip, idx, embedding AS e, lag(embedding) OVER (PARTITION BY clip ORDER BY idx) AS b FROM frames), d AS (SELECT clip, idx, list_sum(list_transform(list_zip(e, b), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) AS l1, len(e) AS n FROM p WHERE b IS NOT NULL) "
@@ -525,11 +536,13 @@ def still_metadata(spark, sf):
     return V.table(spark, sf, "nation").select(k.alias("id"), found.alias("m")).select("id", "m.*")
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'mov' ELSE 'mp4' END AS container, 640 + n_nationkey + CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE 1 END AS width, 480 + n_nationkey AS height, CASE WHEN n_nationkey % 3 = 0 THEN 30 ELSE n_nationkey % 3 * 12.5 END::DOUBLE AS fps FROM nation")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderpriority LIKE '1%' THEN 'mov' ELSE 'mp4' END AS container, CAST(round(abs(o_totalprice / 100 * CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END)) AS BIGINT) AS width,
+CAST(round(abs(o_custkey * 0.25 * CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END)) AS BIGINT) AS height, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 4 * 12.5 END::DOUBLE AS fps, true AS decodable FROM orders""")
 def native_probe(spark, sf):
-    k = c("n_nationkey")
-    found = policy.native_probe(F.when(k % 2 == 0, "MOV").otherwise("m4v"), 640 + k + (k % 4) * 0.25 + F.when(k % 4 == 1, 0.25).otherwise(0.0), 480.25 + k, F.when(k % 3 != 0, (k % 3) * 12.5))
-    return V.table(spark, sf, "nation").select(k.alias("id"), found.alias("p")).select("id", "p.*")
+    """Sizes of either sign, as a turned track has them, and tracks without a rate."""
+    k, o = c("o_orderkey"), V.table(spark, sf, "orders")
+    found = policy.native_probe(F.when(c("o_orderpriority").startswith("1"), "MOV").otherwise("m4v"), c("o_totalprice") / 100 * F.when(k % 3 == 0, -1).otherwise(1), c("o_custkey") * 0.25 * F.when(k % 5 == 0, -1).otherwise(1), F.when(k % 4 != 0, (k % 4) * 12.5))
+    return o.select(k.alias("id"), found.alias("p")).select("id", "p.*")
 
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 1e9 / (n_nationkey % 3 * 20000000) END AS fps, greatest(0, n_nationkey * 40 - 100) AS pts, n_nationkey * CAST(round(600 / 25.0::DOUBLE) AS BIGINT) AS step, format('shot-{:03d}.png', n_nationkey + 1) AS file, n_nationkey % 2 = 0 OR n_nationkey % 5 = 0 AS writable, n_nationkey % 2 = 0 AND n_nationkey % 3 <> 1 AS refused FROM nation")
@@ -694,4 +707,4 @@ def crc32_blocks(spark, sf):
 
 
 # The queries of these modules are registered when they are imported.
-from . import container_queries  # noqa: E402, F401
+from . import container_queries, sequence_queries  # noqa: E402, F401

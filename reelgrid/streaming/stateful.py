@@ -13,34 +13,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-
-def threshold(values: list[float], k: float, floor: float, mad: bool = False) -> float:
-    s = sorted(values)
-    median = s[len(s) // 2]
-    if mad:
-        return median + k * max(sorted(abs(v - median) for v in s)[len(s) // 2], floor)
-    p90 = s[int(0.9 * (len(s) - 1) + 0.5)]
-    return p90 + k * max(p90 - median, floor)
-
-
-class CutDetector:
-    """One clip's detector; state is (window, frames since the last cut)."""
-
-    def __init__(self, window: list[float] | None = None, since: int = 1 << 30, k: float = 2.0, floor: float = 0.01, size: int = 48, history: int = 12, gap: int = 6, mad: bool = False):
-        self.window, self.since = list(window or []), since
-        self.k, self.floor, self.size, self.history, self.gap, self.mad = k, floor, max(4, size), max(2, history), max(1, gap), mad
-
-    def next(self, delta: float) -> bool:
-        cut, entry = False, delta
-        if len(self.window) >= self.history:
-            t = threshold(self.window, self.k, self.floor, self.mad)
-            cut = delta > t and self.since >= self.gap
-            entry = min(delta, t)
-        self.since = 0 if cut else self.since + 1
-        if not cut:
-            self.window = [*self.window, entry][-self.size :]
-        return cut
+from ..operators.folds import Blend, CutDetector, ShotBlend
 
 
 def causal_cuts(deltas: DataFrame, **options) -> DataFrame:
@@ -51,7 +26,7 @@ def causal_cuts(deltas: DataFrame, **options) -> DataFrame:
         detector = CutDetector(window, since, **options)
         rows = pd.concat(parts).sort_values("idx")
         cuts = [int(i) for i, d in zip(rows["idx"], rows["score"]) if detector.next(float(d))]
-        state.update((detector.window, detector.since))
+        state.update((list(detector.window), detector.since))
         yield pd.DataFrame({"clip": [key[0]] * len(cuts), "idx": cuts})
 
     return deltas.groupBy("clip").applyInPandasWithState(run, "clip long, idx long", "window array<double>, since long", "append", GroupStateTimeout.NoTimeout)
@@ -79,3 +54,41 @@ def reordered(packets: DataFrame, depth: int = 32) -> DataFrame:
         yield pd.DataFrame({"track": [key[0]] * len(out), "place": range(place, place + len(out)), "pts": [p for (p,) in out]})
 
     return packets.groupBy("track").applyInPandasWithState(run, "track long, place long, pts long", "pts array<long>, place long", "append", GroupStateTimeout.NoTimeout)
+
+
+class ShotBlends(StatefulProcessor):
+    """A clip's detector and stabiliser, carried between micro-batches: the detector's window is a list
+    state, and what else they carry (frames since the cut, last frame, last stabilised value) one value."""
+
+    def __init__(self, strength: float, tolerance: float, detector: dict):
+        self.strength, self.tolerance, self.options = strength, tolerance, detector
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getListState("window", "delta double")
+        self.held = handle.getValueState("held", "since long, before double, last double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(list(rows)).sort_values("idx")
+        since, before, last = self.held.get() if self.held.exists() else (1 << 30, None, None)
+        window = [x[0] for x in self.window.get()] if self.window.exists() else []
+        both = ShotBlend(CutDetector(window, since, **self.options), Blend(self.strength, self.tolerance, last), before)
+        told = [both.next(float(v)) for v in frames["score"]]
+        if both.detector.window:
+            self.window.put([(v,) for v in both.detector.window])
+        self.held.update((both.detector.since, both.before, both.blend.last))
+        yield pd.DataFrame({"clip": [key[0]] * len(told), "idx": frames["idx"].to_numpy(), "cut": [c for c, _ in told], "v": [v for _, v in told]})
+
+    def close(self) -> None:
+        pass
+
+
+#: transformWithState needs this store.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def shot_blended(frames: DataFrame, strength: float, tolerance: float, **detector) -> DataFrame:
+    """A stream of (clip, idx, score), in order within a clip -> (clip, idx, cut, v), as segment.shot_blended().
+
+    The session's state store must be RocksDB (ROCKSDB).
+    """
+    return frames.groupBy("clip").transformWithStateInPandas(ShotBlends(strength, tolerance, detector), "clip long, idx long, cut boolean, v double", "Append", "None")

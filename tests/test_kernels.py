@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.functions import binwalk, kernels
-from reelgrid.operators import policy, segment, spans
+from reelgrid.operators import folds, policy, segment, spans
 from reelgrid.sources import seams
 from reelgrid.streaming import stateful
 
@@ -96,7 +96,7 @@ def test_causal_fold_equals_loop(spark, mad):
     got = sorted(tuple(r) for r in segment.causal_cuts(deltas, 1.5, "mad" if mad else "tail").collect())
     want = []
     for clip in range(4):
-        d = stateful.CutDetector(k=1.5, mad=mad)
+        d = folds.CutDetector(k=1.5, mad=mad)
         want += [(clip, i) for c, i, v in rows if c == clip and d.next(v)]
     assert got == want and want
 
