@@ -195,26 +195,3 @@ def scaled_flow(flow: np.ndarray, h: int, w: int) -> np.ndarray:
     """Flow on another grid; displacements grow with their axis."""
     fy, fx = h / flow.shape[0], w / flow.shape[1]
     return np.stack([resampled(flow[..., 0].astype(np.float32), h, w, True) * fx, resampled(flow[..., 1].astype(np.float32), h, w, True) * fy], axis=-1)
-
-
-def tile_grid(w: int, h: int, tile: int = 512, overlap: int = 32) -> list[tuple[int, int, int, int]]:
-    """(x, y, w, h) of overlapping tiles; the last of a row or column is moved inward."""
-
-    def starts(n: int) -> list[int]:
-        if n <= tile:
-            return [0]
-        s = list(range(0, n - tile, tile - overlap))
-        return [*s, n - tile]
-
-    return [(x, y, min(tile, w), min(tile, h)) for y in starts(h) for x in starts(w)]
-
-
-def score_udf(f, side: tuple[int, ...], dtype: str):
-    """An Arrow function of two binary columns that hold planes of one size."""
-
-    @F.arrow_udf("double")
-    def score(a: pa.Array, b: pa.Array) -> pa.Array:
-        plane = lambda x: np.frombuffer(x.as_py(), dtype).reshape(side)
-        return pa.array([None if not (x.is_valid and y.is_valid) else float(f(plane(x), plane(y))) for x, y in zip(a, b)], pa.float64())
-
-    return score

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -145,3 +145,16 @@ def warped(planes: DataFrame, flow: DataFrame, w: int, h: int) -> DataFrame:
     ask = ask.withColumn("share", share).withColumn("x", F.least(F.lit(w - 1), F.col("x0") + F.col("c.a")).cast("int")).withColumn("y", F.least(F.lit(h - 1), F.col("y0") + F.col("c.b")).cast("int"))
     met = ask.join(planes, ["id", "y", "x"], "left")
     return met.groupBy("id", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.when(F.first("valid"), F.sum(F.col("share") * F.col("v"))).alias("v"))
+
+
+def histogram(pixels: DataFrame, bins: int = 8, taps: int = 64) -> DataFrame:
+    """id, channel, bin, share: of pixels (id, y, x, w, h, channels: an array of whole numbers from 0 to 255).
+
+    About taps x taps pixels on a fixed grid count, so that the work on a frame doesn't grow with it;
+    shares of all channels sum to one.
+    """
+    step = lambda n: F.greatest(F.lit(1), F.floor(F.col(n) / taps))
+    shift = 8 - round(math.log2(bins))
+    taken = pixels.where((F.col("x") % step("w") == 0) & (F.col("y") % step("h") == 0))
+    each = taken.select("id", F.posexplode("channels").alias("channel", "_v")).groupBy("id", "channel", F.shiftright(F.col("_v").cast("int"), shift).alias("bin")).agg(F.count("*").alias("_n"))
+    return each.select("id", "channel", "bin", F.round(F.col("_n") / F.sum("_n").over(Window.partitionBy("id")), 9).alias("share"))

@@ -28,6 +28,11 @@ def stride_for(frames: Column, least: int = 12) -> Column:
     return F.greatest(F.lit(1), F.floor(frames / max(1, least)))
 
 
+def sampling_plan(frames: Column, explicit: Column, least: int = 12, most: int = 16) -> Column:
+    """stride and cap: about least frames, most at most; an explicit stride is kept, with a cap of 60."""
+    return F.struct(F.when(explicit.isNotNull(), F.greatest(F.lit(1), explicit)).otherwise(stride_for(frames, least)).cast("long").alias("stride"), F.when(explicit.isNull(), most).otherwise(60).alias("cap"))
+
+
 def refined(frames: DataFrame, stride: int, cap: int) -> DataFrame:
     """A first pass and a second one of the same stride, half a stride later."""
     return strided(frames, stride, 0, cap).unionAll(strided(frames, stride, max(1, stride // 2), cap))

@@ -66,6 +66,25 @@ def with_ceiling(found: DataFrame, score: Callable[[Column], Column], target: Co
     return found.select("*", F.coalesce("best", ceiling).alias("rate"), (F.col("best").isNotNull() | (score(ceiling) >= target)).alias("met"))
 
 
+def squeezed(found: DataFrame, score: Callable[[Column], Column], emitted: Callable[[Column], Column], target: Column, corridor: Column, steps: int = 3, share: float = 0.92) -> DataFrame:
+    """Rows of bitrate() with squeezed (rate) and squeezes: below a winner's emitted rate the corridor is tried, at most steps times.
+
+    score(rate) and emitted(rate) are what a candidate of the corridor scores and emits. A candidate is
+    taken if it clears the target and emits strictly less; the first that doesn't ends the search. Where
+    there is no winner, or no corridor (a least quantiser), nothing is tried.
+    """
+    begin = F.struct(F.col("best").alias("rate"), F.col("emitted").alias("emitted"), F.lit(0).alias("taken"), (F.col("best").isNull() | corridor.isNull() | ~(F.col("emitted") > 0)).alias("over"))
+
+    def step(s: Column, _: Column) -> Column:
+        rate = s["emitted"] * share
+        better = (score(rate) >= target) & (emitted(rate) < s["emitted"])
+        taken = F.struct(rate.alias("rate"), emitted(rate).alias("emitted"), (s["taken"] + 1).alias("taken"), F.lit(False).alias("over"))
+        return F.when(s["over"], s).when(F.coalesce(better, F.lit(False)), taken).otherwise(s.withField("over", F.lit(True)))
+
+    rows = found.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step))
+    return rows.select(*found.columns, F.col("_s.rate").alias("squeezed"), F.col("_s.taken").alias("squeezes")).drop("_s")
+
+
 def progress(done: Column, sub: Column, planned: Column) -> Column:
     return F.least(F.lit(0.92), 0.10 + 0.82 * (done + sub) / F.greatest(planned, done + 1))
 

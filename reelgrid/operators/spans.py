@@ -81,6 +81,24 @@ def summary(spans: DataFrame, limit: int = 20) -> DataFrame:
     return top.select("name", "n", "total_s", line.alias("line"))
 
 
+def report(spans: DataFrame, limit: int = 20, build: str = "release") -> DataFrame:
+    """(n, line): the whole summary: its head, the top stages, how busy the lanes were, and a warning for builds whose times can't be compared."""
+    head = spans.sparkSession.createDataFrame([(0, 0, f"{'stage':<34} {'count':>6} {'total s':>10} {'mean ms':>9} {'min ms':>9} {'max ms':>9}"), (1, 0, "\u2500" * 82)], "block int, at int, line string")
+    top = summary(spans, limit)
+    stages = top.select(F.lit(2).alias("block"), F.row_number().over(Window.orderBy(F.desc("total_s"), "name")).alias("at"), "line")  # limit rows at most
+    lanes = lane_utilization(spans)
+    busy = lanes.select(F.lit(5).alias("block"), F.row_number().over(Window.orderBy(F.desc("busy_s"), "lane")).alias("at"), F.format_string("  %-12s busy %8.3f s  (%4.1f%%)", "lane", "busy_s", F.col("utilization") * 100).alias("line"))
+    some = lanes.limit(1)
+    wall = timeline(spans).select(F.format_string("lane utilization over %.3f s wall:", "timeline_s").alias("line")).scalar()
+    titles = some.select(F.lit(3).alias("block"), F.lit(0).alias("at"), F.lit("").alias("line")).unionAll(some.select(F.lit(4), F.lit(0), wall))
+    out = head.unionAll(stages).unionAll(titles).unionAll(busy)
+    if build != "release":
+        warning = f"\u26a0\ufe0f {build.upper()} build: timings are NOT comparable"
+        out = out.unionAll(spans.sparkSession.createDataFrame([(6, 0, ""), (7, 0, warning)], out.schema))
+    # As many rows as stages and lanes: one order of them all.
+    return out.select((F.row_number().over(Window.orderBy("block", "at")) - 1).alias("n"), "line")
+
+
 def ndjson(spans: DataFrame) -> DataFrame:
     """seq and one JSON object per span, keys sorted, seconds rounded to 6 places."""
     start, dur = (F.round(F.col(c) / 1e9, 6) for c in ("start_ns", "dur_ns"))

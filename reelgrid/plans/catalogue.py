@@ -420,11 +420,6 @@ def normalize_route(spark, sf):
     return V.codecs(spark, sf).select("id", policy.normalize_route(e, c("codec")).alias("route"))
 
 
-@query("SELECT * FROM (VALUES ('hevc','hevc',false,1.0::DOUBLE,true,false,38,18,NULL,NULL,false),('webH264','h264',true,2.0,false,true,34,20,16,112000,true),('webH264Shrink','h264',true,1.0,true,false,34,20,16,112000,true)) t(profile, codec, web_audio, ceiling_scale, require_smaller, best_effort, max_qp, min_qp, look_ahead, audio_bps, sdr)")
-def encode_profiles(spark, sf):
-    return spark.createDataFrame(policy.PROFILES, policy.PROFILE_SCHEMA)
-
-
 def _delays(spark, sf):
     v = c("value")
     return V.table(spark, sf, "events").select(c("event_id").alias("id"), F.when(c("event_id") % 3 == 0, v / 10000).alias("a"), F.when(c("event_id") % 5 != 0, v / 1000000).alias("b"))
@@ -629,12 +624,6 @@ def cell_centres(spark, sf):
     return P.point_sampled(V.planes(spark, sf), 8, 8, 5, 3).withColumn("v", F.round("v", 6))
 
 
-@query("WITH b AS (SELECT l_linenumber AS frame, CAST(l_quantity AS INTEGER) * 5 % 256 // 32 AS bin, count(*) AS n FROM lineitem GROUP BY ALL) SELECT frame, bin, round(n / sum(n) OVER (PARTITION BY frame), 9) AS share FROM b")
-def histogram_signature(spark, sf):
-    n = V.table(spark, sf, "lineitem").groupBy(c("l_linenumber").alias("frame"), F.shiftright(F.round("l_quantity").cast("int") * 5 % 256, 5).alias("bin")).agg(F.count("*").alias("n"))
-    return n.select("frame", "bin", F.round(c("n") / F.sum("n").over(sampling.Window.partitionBy("frame")), 9).alias("share"))
-
-
 @query("""WITH c AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) * 5 AS q FROM lineitem), l AS (SELECT q, CASE WHEN q / 255.0::DOUBLE <= 0.04045 THEN q / 255.0::DOUBLE / 12.92 ELSE pow((q / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS v FROM c),
 m AS (SELECT q, v, cbrt(0.30 * v + 0.622 * (1 - v) + 0.078 * 0.5 + 0.0037930732552754493) - cbrt(0.0037930732552754493::DOUBLE) AS l, cbrt(0.23 * v + 0.692 * (1 - v) + 0.078 * 0.5 + 0.0037930732552754493) - cbrt(0.0037930732552754493::DOUBLE) AS m, cbrt(0.24342268924547819::DOUBLE * v + 0.20476744424496821::DOUBLE * (1 - v) + 0.5518098657995536::DOUBLE * 0.5 + 0.0037930732552754493) - cbrt(0.0037930732552754493::DOUBLE) AS s FROM l)
 SELECT q, round(v, 6) AS linear, round((l - m) / 2 * 14 + 0.42, 6) AS x, round((l + m) / 2 + 0.01, 6) AS y, round(s - (l + m) / 2 + 0.55, 6) AS b, round(0.299 * q + 0.587 * (255 - q) + 0.114 * 128, 6) AS y601, round((0.2126 * q + 0.7152 * (255 - q) + 0.0722 * 128) / 255, 6) AS y709 FROM m""")
@@ -655,11 +644,6 @@ def backward_warp(spark, sf):
     return P.warped(p, flow, 8, 8).withColumn("v", F.round("v", 6))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str(t) for t in [(x, y, 512, 512) for y in (0, 480, 488) for x in (0, 480, 960, 1088)]) + ") t(x, y, w, h)")
-def tile_grid(spark, sf):
-    return spark.createDataFrame(kernels.tile_grid(1600, 1000), "x int, y int, w int, h int")
-
-
 # ---- dense kernels, rows only
 
 
@@ -707,4 +691,4 @@ def crc32_blocks(spark, sf):
 
 
 # The queries of these modules are registered when they are imported.
-from . import container_queries, sequence_queries  # noqa: E402, F401
+from . import container_queries, recording_queries, sequence_queries  # noqa: E402, F401
