@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, with_ids: bool =
                         rows.append((doc, k, at, len(part) // 4, zlib.crc32(part), part))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (ids.type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()) if with_ids else (ids.type, pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names)
-        coder.pieces.forget()
+        coder.forget()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]

@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .textscan import word_hashes, words
+from .textscan import word_hashes, words, xxh64
 
 #: Pieces that a generation of a cache holds, and the longest piece that is kept there.
 CACHED, LONGEST = 300_000, 64
@@ -64,6 +64,67 @@ class Pieces:
         return out
 
 
+def spread(place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions place, place + 1, ... of size each, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(place - ends + size, size)
+
+
+class Store:
+    """Ids of words by 128-bit hash, in arrays: about 30 bytes a word, and at most so many bytes in each of
+    two generations. What is used stays; what is not goes when the young generation is full."""
+
+    def __init__(self, most: int = 12 << 20):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.young, self.old = self._none(), self._none()
+
+    @staticmethod
+    def _none() -> tuple[np.ndarray, ...]:
+        """keys (ascending), checks, places, sizes, ids."""
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    @staticmethod
+    def _found(part: tuple[np.ndarray, ...], keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are held, and where."""
+        if not len(part[0]):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(part[0], keys), len(part[0]) - 1)
+        return (part[0][at] == keys) & (part[1][at] == checks), at
+
+    def get(self, keys: np.ndarray, checks: np.ndarray, encode: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has; encode gives those of the words at some positions. Keys ascend."""
+        sizes = np.zeros(len(keys), np.int64)
+        young, at = self._found(self.young, keys, checks)
+        old, at_old = self._found(self.old, keys, checks)
+        old &= ~young
+        new = np.flatnonzero(~young & ~old)
+        fresh = [ids for i in range(0, len(new), 4096) for ids in encode(new[i : i + 4096])]
+        sizes[young], sizes[old] = self.young[3][at[young]], self.old[3][at_old[old]]
+        sizes[new] = [len(x) // 4 for x in fresh]
+        ends = np.cumsum(sizes)
+        place = ends - sizes
+        ids = np.empty(ends[-1] if len(ends) else 0, "<u4")
+        for which, part, where in ((young, self.young, at), (old, self.old, at_old)):
+            ids[spread(place[which], sizes[which])] = part[4][spread(part[2][where[which]], part[3][where[which]])]
+        ids[spread(place[new], sizes[new])] = np.frombuffer(b"".join(fresh), "<u4")
+        self._add(~young & (sizes <= LONGEST), keys, checks, place, sizes, ids)
+        return ids, sizes
+
+    def _add(self, some: np.ndarray, keys: np.ndarray, checks: np.ndarray, place: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Words whose ids are few join the young generation; of one key with two checks the later stays."""
+        if sum(x.nbytes for x in self.young) > self.most:
+            self.old, self.young = self.young, self._none()
+        own = ids[spread(place[some], sizes[some])]
+        starts = np.cumsum(sizes[some]) - sizes[some] + len(self.young[4])
+        merged = [np.concatenate(x) for x in zip(self.young[:4], (keys[some], checks[some], starts, sizes[some]))]
+        order = np.argsort(merged[0], kind="stable")
+        last = np.append(merged[0][order][1:] != merged[0][order][:-1], True) if len(order) else np.zeros(0, bool)
+        self.young = (*[x[order[last]] for x in merged], np.concatenate([self.young[4], own]))
+
+
 class Merges:
     """The merges of a word vocabulary, applied to many words at once.
 
@@ -158,11 +219,15 @@ class WordPieces:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.of.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             self.merges = Merges.of(json.load(f))
         self.marks: dict[str, bytes] = {}
-        self.pieces = Pieces(self._new)
+        self.pieces = Store()
+
+    def forget(self) -> None:
+        """Give up all words; the worker lives on while other stages run."""
+        self.pieces.clear()
+        self.marks.clear()
 
     def _new(self, new: list[bytes]) -> list[bytes]:
         """Words of letters, with or without marks behind them, by merges; all others by the library."""
@@ -206,15 +271,17 @@ class WordPieces:
         only distinct words are looked up one by one.
         """
         w = words(texts, lower=False)
-        _, first, of = np.unique(word_hashes(w), return_index=True, return_inverse=True)
-        data, begin = w.text.tobytes(), w.start[first]
-        (ids,) = self.pieces.of([[data[a:b] for a, b in zip(begin.tolist(), (begin + w.size[first]).tolist())]])
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        place = (np.cumsum(size) - size)[of]
-        size = size[of]
-        ends = np.cumsum(size)
-        all_ids = np.frombuffer(b"".join(ids), "<u4")[np.arange(ends[-1] if len(ends) else 0) + np.repeat(place - ends + size, size)]
-        return all_ids, np.concatenate([[0], ends])[w.first]
+        keys, first, of = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+        start, size = w.start[first], w.size[first]
+        data = memoryview(w.text)
+
+        def encode(some: np.ndarray) -> list[bytes]:
+            return self._new([bytes(data[a : a + n]) for a, n in zip(start[some].tolist(), size[some].tolist())])
+
+        ids, counts = self.pieces.get(keys, xxh64(w.text, start, size, 1), encode)
+        place, counts = (np.cumsum(counts) - counts)[of], counts[of]
+        ends = np.cumsum(counts)
+        return ids[spread(place, counts)], np.concatenate([[0], ends])[w.first]
 
 
 class BytePieces:
