@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _fed(planes: DataFrame, axis: str, n: int, weights: list[list[tuple[int, float]]]) -> DataFrame:
-    """Sums along an axis: weights[i] are the (output, weight) pairs that sample i feeds."""
+def _fed(planes: DataFrame, axis: str, n: int, weights: list[list[tuple[int, float]]], columns: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Sums of columns along an axis: weights[i] are the (output, weight) pairs that sample i feeds."""
     table = F.array(*[F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for o, w in row]) for row in weights])
     rows = planes.select("*", F.explode(F.get(table, F.col(axis))).alias("f"))
     keys = ["id", *[F.col("f.o").alias(a) if a == axis else F.col(a) for a in ("y", "x")]]
-    return rows.groupBy(*keys).agg(F.sum(F.col("v") * F.col("f.w")).alias("v"))
+    return rows.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("f.w")).alias(c) for c in columns])
 
 
 def _clamped(n: int, taps: list[tuple[int, float]]) -> list[list[tuple[int, float]]]:
@@ -35,15 +35,65 @@ def gaussian(sigma: float, radius: int) -> list[tuple[int, float]]:
     return [(i - radius, w / sum(raw)) for i, w in enumerate(raw)]
 
 
-def blurred(planes: DataFrame, w: int, h: int, sigma: float = 1.5, radius: int = 6) -> DataFrame:
+def blurred(planes: DataFrame, w: int, h: int, sigma: float = 1.5, radius: int = 6, columns: tuple[str, ...] = ("v",)) -> DataFrame:
     taps = gaussian(sigma, radius)
-    return _fed(_fed(planes, "x", w, _clamped(w, taps)), "y", h, _clamped(h, taps))
+    return _fed(_fed(planes, "x", w, _clamped(w, taps), columns), "y", h, _clamped(h, taps), columns)
 
 
-def downscaled(planes: DataFrame, w: int, h: int) -> DataFrame:
+def downscaled(planes: DataFrame, w: int, h: int, columns: tuple[str, ...] = ("v",)) -> DataFrame:
     """Means of 2 x 2 boxes; a missing column or row is the last one again."""
     half = lambda n: [[(i // 2, 1.0 if n % 2 and i == n - 1 else 0.5)] for i in range(n)]
-    return _fed(_fed(planes, "x", w, half(w)), "y", h, half(h))
+    return _fed(_fed(planes, "x", w, half(w), columns), "y", h, half(h), columns)
+
+
+#: Stabilisers of structural similarity, and its window (fixed values).
+C1, C2, SSIM_RADIUS = 1e-4, 9e-4, 5
+
+
+def ssim(pairs: DataFrame, w: int, h: int, luminance: bool = True) -> DataFrame:
+    """id, y, x, v: structural similarity of planes a and b (id, y, x, a, b), without the border that the window doesn't fit.
+
+    All five statistics are blurred together: two aggregations, whatever they are of.
+    """
+    if min(w, h) < 2 * SSIM_RADIUS + 1:
+        raise ValueError("plane too small")
+    a, b = F.col("a"), F.col("b")
+    rows = pairs.select("id", "y", "x", "a", "b", (a * a).alias("aa"), (b * b).alias("bb"), (a * b).alias("ab"))
+    m = blurred(rows, w, h, 1.5, SSIM_RADIUS, ("a", "b", "aa", "bb", "ab"))
+    v1, v2, cov = F.col("aa") - a * a, F.col("bb") - b * b, F.col("ab") - a * b
+    value = (2 * cov + C2) / (v1 + v2 + C2)
+    if luminance:
+        value = value * (2 * a * b + C1) / (a * a + b * b + C1)
+    inner = F.col("x").between(SSIM_RADIUS, w - 1 - SSIM_RADIUS) & F.col("y").between(SSIM_RADIUS, h - 1 - SSIM_RADIUS)
+    return m.where(inner).select("id", "y", "x", value.alias("v"))
+
+
+def octave_ssim(pairs: DataFrame, w: int, h: int, octaves: int = 4) -> DataFrame:
+    """id, octave, ssim: the mean of each Laplacian band, finest first from 1, without luminance, and as octave 0 that of what remains, with it."""
+    found, k = [], 0
+    mean = lambda d, n: d.groupBy("id").agg(F.lit(n).alias("octave"), F.avg("v").alias("ssim"))
+    while k < octaves and min(w, h) >= 2 * (2 * SSIM_RADIUS + 1):
+        k += 1
+        low = downscaled(pairs, w, h, ("a", "b"))
+        back = expanded(low, -(-w // 2), -(-h // 2), w, h, ("a", "b")).withColumnsRenamed({"a": "_a", "b": "_b"})
+        band = pairs.join(back, ["id", "y", "x"]).select("id", "y", "x", (F.col("a") - F.col("_a")).alias("a"), (F.col("b") - F.col("_b")).alias("b"))
+        found.append(mean(ssim(band, w, h, False), k))
+        pairs, w, h = low, -(-w // 2), -(-h // 2)
+    out = mean(ssim(pairs, w, h), 0)
+    for x in found:
+        out = out.unionByName(x)
+    return out
+
+
+def downsample_consistency(source: DataFrame, result: DataFrame, w: int, h: int, result_w: int, result_h: int, tile: int = 8) -> DataFrame:
+    """id, psnr, ssim, worst (tile's mean similarity): of a result (id, y, x, v) reduced by area onto its source."""
+    if result_w < w or result_h < h:
+        raise ValueError("result is smaller than its source")
+    back = area_resampled(result, result_w, result_h, w, h).withColumnRenamed("v", "b")
+    pairs = source.withColumnRenamed("v", "a").join(back, ["id", "y", "x"]).select("id", "y", "x", "a", "b")
+    error = pairs.groupBy("id").agg(F.avg((F.col("a") - F.col("b")) ** 2).alias("_mse")).select("id", psnr(F.col("_mse")).alias("psnr"))
+    near = tiles(ssim(pairs, w, h), tile).groupBy("id").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("ssim"), F.min("mean").alias("worst"))
+    return error.join(near, "id")
 
 
 def area_weights(n: int, m: int) -> list[list[tuple[int, float]]]:
@@ -77,8 +127,14 @@ def bilinear_weights(n: int, m: int) -> list[list[tuple[int, float]]]:
     return [sorted(x.items()) for x in feeds]
 
 
-def expanded(planes: DataFrame, w: int, h: int, to_w: int, to_h: int) -> DataFrame:
-    return _fed(_fed(planes, "x", w, bilinear_weights(w, to_w)), "y", h, bilinear_weights(h, to_h))
+def expanded(planes: DataFrame, w: int, h: int, to_w: int, to_h: int, columns: tuple[str, ...] = ("v",)) -> DataFrame:
+    return _fed(_fed(planes, "x", w, bilinear_weights(w, to_w), columns), "y", h, bilinear_weights(h, to_h), columns)
+
+
+def scaled_flow(flow: DataFrame, w: int, h: int, to_w: int, to_h: int) -> DataFrame:
+    """Flow (id, y, x, u, w) on another grid; displacements grow with their axis."""
+    out = expanded(flow, w, h, to_w, to_h, ("u", "w"))
+    return out.select("id", "y", "x", (F.col("u") * (to_w / w)).alias("u"), (F.col("w") * (to_h / h)).alias("w"))
 
 
 def nearest_resized(planes: DataFrame, w: int, h: int, to_w: int, to_h: int) -> DataFrame:
@@ -130,7 +186,7 @@ def positive_xyb(r: Column, g: Column, b: Column) -> tuple[Column, Column, Colum
     return (l - m) * 0.5 * 14.0 + 0.42, y + 0.01, s - y + 0.55
 
 
-def warped(planes: DataFrame, flow: DataFrame, w: int, h: int) -> DataFrame:
+def warped(planes: DataFrame, flow: DataFrame, w: int, h: int, columns: tuple[str, ...] = ("v",)) -> DataFrame:
     """Backward warp: each pixel of flow (id, y, x, u, w) samples the plane at (x+u, y+w), bilinearly; outside is null.
 
     Each pixel asks for its four neighbours; asks and samples meet on (id, y, x).
@@ -144,7 +200,17 @@ def warped(planes: DataFrame, flow: DataFrame, w: int, h: int) -> DataFrame:
     share = F.when(F.col("c.a") == 0, 1 - (F.col("fx") - F.col("x0"))).otherwise(F.col("fx") - F.col("x0")) * F.when(F.col("c.b") == 0, 1 - (F.col("fy") - F.col("y0"))).otherwise(F.col("fy") - F.col("y0"))
     ask = ask.withColumn("share", share).withColumn("x", F.least(F.lit(w - 1), F.col("x0") + F.col("c.a")).cast("int")).withColumn("y", F.least(F.lit(h - 1), F.col("y0") + F.col("c.b")).cast("int"))
     met = ask.join(planes, ["id", "y", "x"], "left")
-    return met.groupBy("id", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.when(F.first("valid"), F.sum(F.col("share") * F.col("v"))).alias("v"))
+    return met.groupBy("id", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(*[F.when(F.first("valid"), F.sum(F.col("share") * F.col(c))).alias(c) for c in columns])
+
+
+def channel_blended(fresh: DataFrame, moved: DataFrame, strength: float, tolerance: float, columns: tuple[str, ...]) -> DataFrame:
+    """Confidence blend of warped channels with fresh ones: one agreement a pixel, from the mean difference of its channels; where nothing was warped the fresh ones stay."""
+    was = moved.withColumnsRenamed({c: f"_{c}" for c in columns})
+    rows = fresh.join(was, ["id", "y", "x"], "left")
+    gap = sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in columns), F.lit(0.0)) / len(columns)
+    share = F.coalesce(F.greatest(F.lit(0.0), 1 - gap * (1 / tolerance if tolerance > 0 else 0.0)) * strength, F.lit(0.0))
+    rows = rows.withColumn("_w", F.when(F.col(f"_{columns[0]}").isNull(), 0.0).otherwise(share))
+    return rows.select("id", "y", "x", *[(F.col("_w") * F.coalesce(f"_{c}", F.lit(0.0)) + (1 - F.col("_w")) * F.col(c)).alias(c) for c in columns])
 
 
 def histogram(pixels: DataFrame, bins: int = 8, taps: int = 64) -> DataFrame:

@@ -11,7 +11,7 @@ NATIVE_AUDIO = ["A_OPUS", "A_FLAC", "A_ALAC", "A_AC3", "A_EAC3", "A_MPEG/L1", "A
 DECODABLE_AUDIO = ["A_OPUS", "A_AC3", "A_EAC3", "A_MPEG/L1", "A_MPEG/L2", "A_MPEG/L3"]
 # Four-character codes and names of codecs, extensions of containers and of camera formats.
 UNIFIED = {"avc1": "V_MPEG4/ISO/AVC", "avc3": "V_MPEG4/ISO/AVC", "hvc1": "V_MPEGH/ISO/HEVC", "hev1": "V_MPEGH/ISO/HEVC", "av01": "V_AV1", "vp09": "V_VP9", "mp4a": "A_AAC", "aac": "A_AAC", "alac": "A_ALAC", "opus": "A_OPUS", "Opus": "A_OPUS", "fLaC": "A_FLAC", "flac": "A_FLAC"}
-#: Nominal frames in a packet of each audio codec.
+#: Nominal frames in a packet of each audio codec (fixed values).
 PACKET_FRAMES = {"A_FLAC": 4096, "A_OPUS": 960, "A_AC3": 1536, "A_EAC3": 1536, "A_MPEG/L3": 1152, "A_MPEG/L2": 1152, "A_MPEG/L1": 384}
 NATIVE_EXTENSIONS = ["mp4", "mov", "m4v", "qt"]
 RAW_EXTENSIONS = ["cr2", "cr3", "nef", "arw", "raf", "orf", "rw2", "dng", "pef", "3fr", "iiq", "gpr"]
@@ -82,7 +82,7 @@ def saved_fraction(out: Column, source: Column) -> Column:
     return F.coalesce(F.try_divide(F.greatest(F.lit(0.0), source - out), source), F.lit(0.0))
 
 
-#: Encode profiles: name, codec, web audio, ceiling scale, require smaller, best effort, max and min QP, look-ahead, audio rate per channel, SDR.
+#: Encode profiles (fixed values): name, codec, web audio, ceiling scale, require smaller, best effort, max and min QP, look-ahead, audio rate per channel, SDR.
 PROFILES = [
     ("hevc", "hevc", False, 1.0, True, False, 38, 18, None, None, False),
     ("webH264", "h264", True, 2.0, False, True, 34, 20, 16, 112_000, True),
@@ -148,6 +148,11 @@ def still_route(path: Column, declared: Column | None = None) -> Column:
     return F.when(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)) == "pdf", "pdf").when(raw, "raw").otherwise("image")
 
 
+def still_status(route: Column, supported: Column) -> Column:
+    """A camera file of a body that the raw decoder doesn't know is deferred, never failed; so is one of which nothing is known."""
+    return F.when((route == "raw") & ~F.coalesce(supported, F.lit(False)), "deferred").otherwise("ready")
+
+
 def still_metadata(w: Column, h: Column, depth: Column, alpha: Column, premultiplied: Column, orientation: Column, dpi: Column, tiff_dpi: Column) -> Column:
     """Properties of a still with their defaults: no size is 0, depth 8, orientation 1; DPI is the explicit one, else that of the TIFF block."""
     mode = F.when(~F.coalesce(alpha, F.lit(False)), "none").when(F.coalesce(premultiplied, F.lit(False)), "premultiplied").otherwise("straight")

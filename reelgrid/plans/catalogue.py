@@ -663,21 +663,6 @@ def _kernel(f):
     return run
 
 
-@query()
-def ssim_map(spark, sf):
-    return _dense(spark, sf).select("id", F.round(_kernel(lambda a, b: kernels.ssim_map(a, b).mean())("a", "b"), 6).alias("ssim"))
-
-
-@query()
-def per_octave_ssim(spark, sf):
-    return _dense(spark, sf).select("id", F.round(_kernel(lambda a, b: kernels.octave_ssim(a, b)[1])("a", "b"), 6).alias("base"))
-
-
-@query()
-def downsample_consistency(spark, sf):
-    return _dense(spark, sf).select("id", F.round(_kernel(lambda a, b: kernels.downsample_consistency(kernels.half(a), b)[0])("a", "b"), 6).alias("psnr"))
-
-
 @query()
 def ssimulacra2(spark, sf):
     image = lambda p: np.repeat(np.rint(np.clip(p, 0, 1) * 255).astype(np.uint8)[..., None], 3, axis=2)
@@ -691,4 +676,4 @@ def crc32_blocks(spark, sf):
 
 
 # The queries of these modules are registered when they are imported.
-from . import container_queries, recording_queries, sequence_queries  # noqa: E402, F401
+from . import container_queries, dense_queries, recording_queries, sequence_queries  # noqa: E402, F401
