@@ -6,6 +6,7 @@ one aggregation by (id, y, x) with partial sums, and no join.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 def _fed(planes: DataFrame, axis: str, n: int, weights: list[list[tuple[int, float]]], columns: tuple[str, ...] = ("v",)) -> DataFrame:
     """Sums of columns along an axis: weights[i] are the (output, weight) pairs that sample i feeds."""
-    table = F.array(*[F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for o, w in row]) for row in weights])
+    # One literal, folded once: a table of many small expressions takes longer to plan than to use.
+    table = F.from_json(F.lit(json.dumps([[{"o": o, "w": float(w)} for o, w in row] for row in weights])), "array<array<struct<o:int,w:double>>>")
     rows = planes.select("*", F.explode(F.get(table, F.col(axis))).alias("f"))
     keys = ["id", *[F.col("f.o").alias(a) if a == axis else F.col(a) for a in ("y", "x")]]
     return rows.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("f.w")).alias(c) for c in columns])
