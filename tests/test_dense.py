@@ -29,7 +29,7 @@ def test_similarity(spark, sf, whole):
 
 
 def test_octaves(spark, sf, whole):
-    got = {(r["id"], r["octave"]): r["ssim"] for r in catalogue.QUERIES["per_octave_ssim"](spark, sf).collect()}
+    got = {(r["id"], k): r[n] for r in catalogue.QUERIES["per_octave_ssim"](spark, sf).collect() for k, n in enumerate(("base", "band_1", "band_2"))}
     for k, (a, b) in whole.items():
         bands, base = kernels.octave_ssim(a, b)
         assert len(bands) == 2 and got[k, 0] == pytest.approx(base, abs=1e-4)
