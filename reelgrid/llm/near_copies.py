@@ -12,8 +12,10 @@ each component one row stays. Links are found in three steps, each link computed
    Each set is compared with one other of its groups, that with which it shares most tokens, if their
    sizes allow it; this is done again, from another set of each group, while dense groups have many sets
    in different components.
-3. All pairs of a group's sets that are still in different components are candidates, if they share
-   as many tokens as near sets of their sizes must. So no link between components is lost.
+3. A group's sets that are still in different components are candidates, if their sizes are alike and
+   the token stands so early in both that near sets of their sizes may share it first. Groups are
+   parted by size; of tokens that the same sets have the first stands for all. The first token that
+   two near sets share is such a one, so no link between components is lost.
 
 Defined results: a null text counts as empty; texts with equal sets are linked, those without words
 among them; a text of fewer words has one shingle of all its words; of each component the row with
@@ -24,6 +26,7 @@ doc_id and text one; extra columns are kept, whatever their names; an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +128,7 @@ def _hot(counts: np.ndarray) -> int:
 
 
 def shared_tokens(docs: DataFrame, counts: Broadcast, k: int, percent: int, hot: int) -> DataFrame:
-    """token, id, head of the tokens that more than one set has; head is one of the token's sets.
+    """token, id, head, pos of the tokens that more than one set has; head is one of the token's sets, pos the token's place in the set.
 
     The tokens of many texts go to a bucket as one row. A token that may have more than hot rows is
     dealt to several buckets; it is kept in each, and has a head in each.
@@ -135,13 +138,13 @@ def shared_tokens(docs: DataFrame, counts: Broadcast, k: int, percent: int, hot:
     def salts(token: np.ndarray) -> np.ndarray:
         return np.maximum(1, -(-counts.value[_place(token)] // hot)).astype(U64)
 
-    def dealt(token: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    def dealt(token: np.ndarray, name: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
         bucket = (mix(token, mix(name, 14) % salts(token)) % U64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         own, first = np.unique(bucket[order], return_index=True)
         ends = [*first[1:].tolist(), len(order)]
-        blobs = [pa.array([v[order[a:b]].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary()) for v in (token, name)]
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *blobs], ["bucket", "tokens", "ids"])
+        blobs = [pa.array([v[order[a:b]].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary()) for v in (token, name, pos)]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *blobs], ["bucket", "tokens", "ids", "places"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -151,7 +154,7 @@ def shared_tokens(docs: DataFrame, counts: Broadcast, k: int, percent: int, hot:
                 order = np.lexsort((h, counts.value[_place(h)], own))
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 on = rank < (n - -(-percent * n // 100) + 1)[own]
-                held.append((h[order][on], names_of(h, n).view(U64)[own[on]]))
+                held.append((h[order][on], names_of(h, n).view(U64)[own[on]], rank[on].astype("<i4")))
                 size += int(on.sum())
                 if size >= TOKENS:
                     yield dealt(*map(np.concatenate, zip(*held)))
@@ -160,19 +163,19 @@ def shared_tokens(docs: DataFrame, counts: Broadcast, k: int, percent: int, hot:
             yield dealt(*map(np.concatenate, zip(*held)))
 
     def meet(t: pa.Table) -> pa.Table:
-        token, name = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u8") for c in ("tokens", "ids"))
+        token, name, pos = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("tokens", "<u8"), ("ids", "<u8"), ("places", "<i4")))
         order = np.lexsort((mix(name, 21), token))
-        token, name = token[order], name[order]
+        token, name, pos = token[order], name[order], pos[order]
         other = np.ones(len(token), bool)
         other[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
-        token, name = token[other], name[other]
+        token, name, pos = token[other], name[other], pos[other]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
         head, size = np.repeat(name[first], size), np.repeat(size, size)
         on = (size > 1) | (salts(token) > 1)
-        return pa.table([pa.array(v[on].view(np.int64)) for v in (token, name, head)], ["token", "id", "head"])
+        return pa.table([*(pa.array(v[on].view(np.int64)) for v in (token, name, head)), pa.array(pos[on])], ["token", "id", "head", "pos"])
 
-    return docs.select("text").mapInArrow(releasing(scan), "bucket int, tokens binary, ids binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "token long, id long, head long")
+    return docs.select("text").mapInArrow(releasing(scan), "bucket int, tokens binary, ids binary, places binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "token long, id long, head long, pos int")
 
 
 def fitting(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -242,6 +245,27 @@ def fullest(rows: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.max_by("head", F.struct("count", "head")).alias("to")).select(F.col("id").alias("fp"), "to")
 
 
+def early_pairs(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(fp, to) of the sets of different components that may be near by a token that both have; left: token, id, pos, root.
+
+    Two near sets of n and m hashes share least(n, m) of them, and so share one that has as many at and
+    behind its place in either. Tokens with the same sets have the same order in all of them: the first of
+    them is enough. A set meets those that are as large or larger, by a factor of 100 / percent at most.
+    """
+    of = left.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b"), F.min_by("pos", "id").alias("at"))
+    first = of.groupBy("sets", "a", "b").agg(F.min_by("token", "at").alias("token")).select("token")
+    # A little more than the factor, so that rounding can't part two sizes by two bands.
+    band = F.floor(F.log("n") / (1.001 * log(100 / min(percent, 99))))
+    rows = left.join(first, "token", "left_semi").join(reps.select("id", "n"), "id").select("token", "id", "root", "pos", "n", band.alias("band"))
+    least = lambda both: F.ceil(both * percent / (100 + percent))  # noqa: E731  (hashes that near sets share)
+    small = rows.where(F.col("pos") <= F.col("n") - least(2 * F.col("n"))).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    large = rows.select("token", "band", F.col("id").alias("to"), F.col("root").alias("over"), F.col("pos").alias("place"), F.col("n").alias("m"))
+    alike = (F.struct("n", "id") < F.struct("m", "to")) & (percent * F.col("m") <= 100 * F.col("n")) & (F.col("root") != F.col("over"))
+    shared = least(F.col("n") + F.col("m"))
+    met = small.join(large, ["token", "band"]).where(alike & (F.col("pos") <= F.col("n") - shared) & (F.col("place") <= F.col("m") - shared))
+    return met.select(F.col("id").alias("fp"), "to").distinct()
+
+
 def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """(fp, root) of the sets that are near others; rows: named_rows(docs)."""
     spark = docs.sparkSession
@@ -254,12 +278,12 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
     counts = place_counts(docs, k)
     shared = stored(shared_tokens(docs, spark.sparkContext.broadcast(counts), k, percent, _hot(counts)))
     edges = verified(equal.unionAll(close).unionAll(fullest(shared.select("id", "head"))).distinct(), reps, docs, k, percent)
-    left = stored(shared.select("token", "id"))
-    discard(shared)
+    left = shared.drop("head")
+    left.stored_in = shared.stored_in
     for turn in range(ROUNDS):
         labels = components(edges)
         before = left
-        placed = left.select("token", "id").join(labels.withColumnRenamed("fp", "id"), "id", "left").select("token", "id", F.coalesce("root", "id").alias("root"))
+        placed = left.select("token", "id", "pos").join(labels.withColumnRenamed("fp", "id"), "id", "left").select("token", "id", "pos", F.coalesce("root", "id").alias("root"))
         by_root = placed.groupBy("token", "root").count()
         mixed = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("count").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q")).where("roots > 1")
         mixed = stored(mixed.select("token", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")))
@@ -276,12 +300,7 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
         edges, old = stored(edges.unionAll(more)), edges
         discard(more, old)
 
-    other = left.select("token", F.col("id").alias("to"), F.col("root").alias("over"))
-    met = left.join(other, "token").where(F.col("root") < F.col("over")).groupBy("id", "to").count()
-    met = fitting(met.withColumnRenamed("id", "fp"), reps, percent)
-    beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1  # noqa: E731  (hashes that aren't tokens)
-    least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)) - F.greatest(beyond("n"), beyond("m"))
-    return components(edges.unionAll(verified(met.where(F.col("count") >= least).select("fp", "to"), reps, docs, k, percent)))
+    return components(edges.unionAll(verified(early_pairs(left, reps, percent), reps, docs, k, percent)))
 
 
 def near_kept(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
