@@ -15,7 +15,9 @@ each component one row stays. Links are found in three steps, each link computed
 3. A group's sets that are still in different components are candidates, if their sizes are alike and
    the token stands so early in both that near sets of their sizes may share it first. Groups are
    parted by size; of tokens that the same sets have the first stands for all. The first token that
-   two near sets share is such a one, so no link between components is lost.
+   two near sets share is such a one, so no link between components is lost. Of the candidates those
+   go whose sketches (a bit for each place of a hash, set where an odd number of the set's hashes fall
+   on it) differ in more bits than two near sets may differ in hashes: that is never so for near sets.
 
 Defined results: a null text counts as empty; texts with equal sets are linked, those without words
 among them; a text of fewer words has one shingle of all its words; of each component the row with
@@ -32,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEYS, discard, others, parts_for, releasing, rows_without, small_batches, stored, text_key
@@ -49,6 +51,8 @@ TOKENS, BUCKET_BYTES, HOT = 1 << 18, 8 << 20, 1 << 20
 MEMBERS = 2048
 #: Texts whose sets a task computes at once.
 AT_ONCE = 64
+#: Hashes of a set up to which it has a sketch (of two to four bits a hash); larger sets are compared without.
+SKETCHED = 1 << 12
 #: Pairs left for the last step: at least so many, or this many for each shared token; rounds of step 2 at most.
 PAIRS, PAIRS_EACH, ROUNDS = 1 << 22, 8, 6
 
@@ -78,19 +82,43 @@ def names_of(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(total[ends] - total[ends - n], 12).view(np.int64)
 
 
+def sketches(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For each set the parities of the numbers of its hashes on each place, 64 to a long; null for sets over SKETCHED.
+
+    Places are powers of two, so the halves of a sketch, combined by exclusive or, are the sketch of half the places.
+    """
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64))
+    longs = np.where(n > SKETCHED, 0, bits // 64)
+    ends = np.cumsum(longs)
+    own = np.repeat(np.arange(len(n)), n)
+    on = n[own] <= SKETCHED
+    own, place = own[on], mix(h[on], 15).astype(np.int64)
+    at = 64 * (ends - longs)[own] + (place & (bits[own] - 1))
+    odd = (np.bincount(at, minlength=64 * int(longs.sum())) & 1).astype(np.uint8)
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.packbits(odd, bitorder="little").view("<i8")), mask=pa.array(n > SKETCHED))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ, the larger one folded to the other's places; at most the hashes that one of the two sets has alone."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda p, q: p.bitwiseXOR(q))
+    ones = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return F.when(F.size(a) == F.size(b), ones(a, b)).when(F.size(a) == 2 * F.size(b), ones(half(a), b)).when(2 * F.size(a) == F.size(b), ones(a, half(b)))
+
+
 def named_rows(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key (of the row), id (the set's name), n (its size) and fp of each row."""
+    """doc_id, key (of the row), id (the set's name), n (its size), fp and sketch of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
             for h, n, fps in sets_of(b.column(2), k, votes=True):
                 own = [b.column(i).slice(at, len(n)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(names_of(h, n)), pa.array(n.astype(np.int64)), pa.array(fps.view(np.int64))], ["doc_id", "key", "id", "n", "fp"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names_of(h, n)), pa.array(n.astype(np.int64)), pa.array(fps.view(np.int64)), sketches(h, n)], ["doc_id", "key", "id", "n", "fp", "sketch"])
                 at += len(n)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(releasing(scan), f"doc_id {kind}, key long, id long, n long, fp long")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(releasing(scan), f"doc_id {kind}, key long, id long, n long, fp long, sketch array<long>")
 
 
 def _place(h: np.ndarray) -> np.ndarray:
@@ -195,7 +223,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     parts = pairs.groupBy("to").count().select("to", F.ceil(F.col("count") / MEMBERS).alias("parts"))
     dealt = pairs.join(parts, "to").select("fp", "to", F.pmod(F.xxhash64("fp"), "parts").alias("part"))
     asked = dealt.select(F.col("fp").alias("id"), "to", "part", F.lit(True).alias("member")).unionAll(dealt.select(F.col("to").alias("id"), "to", "part", F.lit(False).alias("member")).distinct())
-    asked = kept = stored(asked.join(reps, "id").select("to", "part", "member", "id", F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    asked = kept = stored(asked.join(reps.select("id", "doc_id", "key"), "id").select("to", "part", "member", "id", F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
     asked = F.broadcast(asked) if asked.count() <= KEYS else asked
     texts = docs.select("doc_id", "text", text_key().alias("key"))
     sides = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
@@ -256,20 +284,23 @@ def early_pairs(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     first = of.groupBy("sets", "a", "b").agg(F.min_by("token", "at").alias("token")).select("token")
     # A little more than the factor, so that rounding can't part two sizes by two bands.
     band = F.floor(F.log("n") / (1.001 * log(100 / min(percent, 99))))
-    rows = left.join(first, "token", "left_semi").join(reps.select("id", "n"), "id").select("token", "id", "root", "pos", "n", band.alias("band"))
+    rows = left.join(first, "token", "left_semi").join(reps.select("id", "n", "sketch"), "id").select("token", "id", "root", "pos", "n", "sketch", band.alias("band"))
     least = lambda both: F.ceil(both * percent / (100 + percent))  # noqa: E731  (hashes that near sets share)
     small = rows.where(F.col("pos") <= F.col("n") - least(2 * F.col("n"))).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    large = rows.select("token", "band", F.col("id").alias("to"), F.col("root").alias("over"), F.col("pos").alias("place"), F.col("n").alias("m"))
+    large = rows.select("token", "band", F.col("id").alias("to"), F.col("root").alias("over"), F.col("pos").alias("place"), F.col("n").alias("m"), F.col("sketch").alias("other"))
     alike = (F.struct("n", "id") < F.struct("m", "to")) & (percent * F.col("m") <= 100 * F.col("n")) & (F.col("root") != F.col("over"))
     shared = least(F.col("n") + F.col("m"))
-    met = small.join(large, ["token", "band"]).where(alike & (F.col("pos") <= F.col("n") - shared) & (F.col("place") <= F.col("m") - shared))
+    early = alike & (F.col("pos") <= F.col("n") - shared) & (F.col("place") <= F.col("m") - shared)
+    # Sketches last: they cost most.
+    near = F.when(early, F.coalesce(differing(F.col("sketch"), F.col("other")) <= F.col("n") + F.col("m") - 2 * shared, F.lit(True))).otherwise(False)
+    met = small.join(large, ["token", "band"]).where(near)
     return met.select(F.col("id").alias("fp"), "to").distinct()
 
 
 def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """(fp, root) of the sets that are near others; rows: named_rows(docs)."""
     spark = docs.sparkSession
-    reps = stored(rows.groupBy("id").agg(F.min(F.struct("doc_id", "key", "n", "fp")).alias("r")).select("id", "r.*"))
+    reps = stored(rows.groupBy("id").agg(F.min(F.struct("doc_id", "key", "n", "fp", "sketch")).alias("r")).select("id", "r.*"))
     heads = stored(reps.groupBy("fp").agg(F.min("id").alias("head")))
     equal = reps.join(heads, "fp").select(F.col("id").alias("fp"), F.col("head").alias("to"))
     links = trie_forest(heads.select("fp"), bits)

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from reelgrid.llm import near_copies, simhash
@@ -97,3 +98,20 @@ def test_rows_stay_by_row(spark):
 def test_ids_may_be_texts(spark):
     docs = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), ("c", "other")], "doc_id string, text string")
     assert sorted(r["doc_id"] for r in near_copies.near_kept(docs).collect()) == ["a", "c"]
+
+
+def test_sketches_never_differ_more_than_sets(spark):
+    """Bits differ in at most as many places as sets in hashes, of other sizes too; sets too large have no sketch."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in [0, 1, 30, 33, 255, 257, 600, 1000, 2049, 4096]:
+        a = np.unique(rng.integers(0, 1 << 63, n).astype("<u8"))
+        b = np.unique(np.concatenate([a[n // 8 :], rng.integers(0, 1 << 63, n // 50).astype("<u8")]))
+        x, y = near_copies.sketches(np.concatenate([a, b]), np.array([len(a), len(b)])).to_pylist()
+        rows.append((x, y, len(np.setxor1d(a, b))))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, d int")
+    got = [tuple(r) for r in got.select(near_copies.differing(F.col("a"), F.col("b")), near_copies.differing(F.col("b"), F.col("a")), "d").collect()]
+    assert all(x == y <= d and (d - x) % 2 == 0 for x, y, d in got) and any(x for x, _, _ in got)
+    assert any(len(a) != len(b) for a, b, _ in rows)
+    large = np.arange(near_copies.SKETCHED + 1, dtype="<u8")
+    assert near_copies.sketches(np.append(large, large[:2]), np.array([len(large), 2])).to_pylist()[0] is None
