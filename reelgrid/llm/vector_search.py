@@ -6,12 +6,12 @@ candidates is one matrix product of codes (in float32, where sums of such produc
 whose upper bound reaches the query's k-th lower bound survive, are computed again in double
 precision from the original vectors, and go to a heap per query; heaps of partitions are merged.
 
-Candidates are read where they lie. Queries are broadcast in waves of about WAVE_BYTES, one after the
-other: a wave's queries reach the driver, its results are written to the shared folder, and its
-broadcast is destroyed before the next wave begins. Their number may so grow with the table.
+Queries and candidates meet as a grid: blocks of queries by blocks of candidates, each cell a task's row
+of bounded size. Neither side passes through the driver or is broadcast, and all cells run at once, so
+the number of queries may grow with the table; candidates are moved once for each QUERY_BYTES of queries.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and rows with
-a null id, take no part; vectors of another dimension are not compared; ties go to the smaller
+a null id, take no part; ids must be whole numbers (a column of another type is an error); vectors of another dimension are not compared; ties go to the smaller
 vec_id; of rows with one id each is a query of its own, and a candidate for the others; vectors are
 scaled by powers of two, so very large and very small components neither overflow nor vanish; an
 empty table gives an empty result; extra columns are ignored.
@@ -20,17 +20,18 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, stored
+from .common import numbered, small_batches, stored
+from .hard_negatives import KEYS, blocks, grid
 
-WAVE_BYTES = 16 << 20
+#: Bytes of vectors (8 a component) in a block of queries and of candidates.
+QUERY_BYTES, CANDIDATE_BYTES = 16 << 20, 8 << 20
 #: Rows of a tile on either side, and surviving pairs that are computed again at once.
 TILE, PAIRS = 2048, 1 << 17
 #: Room for rounding in double precision.
@@ -71,22 +72,23 @@ class Heaps:
     def __init__(self, k: int):
         self.k, self.of = k, {}
 
-    def offer(self, query: int, score: float, vec: int) -> None:
+    def offer(self, query: Hashable, score: float, vec: int) -> None:
         heap = self.of.setdefault(query, [])
         if len(heap) < self.k:
             heapq.heappush(heap, (score, -vec))
         elif (score, -vec) > heap[0]:
             heapq.heapreplace(heap, (score, -vec))
 
-    def rows(self) -> list[tuple[int, int, int, float]]:
+    def rows(self) -> list[tuple[Hashable, int, int, float]]:
+        """Query, rank, id and score, the nearest first."""
         return [(q, i + 1, -v, s) for q, heap in self.of.items() for i, (s, v) in enumerate(sorted(heap, reverse=True))]
 
 
 class Queries:
-    """Queries of one dimension, ready for tiles; ids are their numbers in the wave, keys tell their rows."""
+    """A block of queries of one dimension, ready for tiles; ids are their numbers in the block, keys tell their rows."""
 
-    def __init__(self, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.keys, self.x, self.k = ids, keys, x, k
+    def __init__(self, keys: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.keys, self.x, self.k = np.arange(len(x)), keys, x, k
         self.code, self.scale, self.error = coded(x)
 
     def tile(self, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, heaps: Heaps) -> None:
@@ -125,58 +127,51 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 OUT = "query_id long, rank int, vec_id long, score double"
+#: What a cell finds: query_id and the query's row, the id found, the score.
+FOUND = "query_id long, file long, at long, vec_id long, score double"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+def _block(block: pa.Scalar, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, rows (file, at) and vectors of a block."""
+    t = pa.ipc.open_stream(block.as_buffer()).read_all()
+    vec_id, _, file, at = (t.column(c).to_numpy() for c in KEYS)
+    return vec_id, np.stack([file, at], axis=1), np.concatenate([matrix(c, d) for c in t.column("v").chunks])
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, query_bytes: int = QUERY_BYTES, candidate_bytes: int = CANDIDATE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of each row whose vec_id is divisible by every."""
-    spark = vectors.sparkSession
+    small_batches(vectors.sparkSession)
+    if vectors.schema["vec_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError("vec_id must be a column of whole numbers")
     rows = numbered(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "_row").where(F.col("vec_id").isNotNull())
-    rows = rows.where(usable(F.col("v"))).select("vec_id", "v", F.size("v").alias("d"), "_row.file", "_row.at")
+    rows = rows.where(usable(F.col("v"))).select(F.col("vec_id").cast("long"), F.lit(0).alias("label"), "v", F.size("v").alias("d"), "_row.file", "_row.at")
     asked = stored(rows.where(F.col("vec_id") % every == 0))
-    total = asked.agg(F.coalesce(F.sum(F.col("d") * 8 + 24), F.lit(0))).first()[0]
-    waves = max(1, -(-total // wave_bytes))
-
-    def searched(wave: int) -> DataFrame:
-        sets: dict[int, list] = {}
-        names = []
-        for r in asked.where(F.pmod(F.xxhash64("file", "at"), F.lit(waves)) == wave).toLocalIterator() if total else []:
-            own = sets.setdefault(r["d"], ([], [], []))
-            for to, value in zip(own, (len(names), (r["file"], r["at"]), np.array(r["v"]))):
-                to.append(value)
-            names.append(r["vec_id"])
-        held = spark.sparkContext.broadcast({d: (np.array(i), np.array(key), np.stack(v)) for d, (i, key, v) in sets.items()})
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            queries = {d: Queries(*of, k) for d, of in held.value.items()}
-            heaps = Heaps(k)
-            for b in batches:
-                for d, q in queries.items():
-                    own = b.filter(pc.equal(b.column(2), d))
-                    for at in range(0, len(own), TILE):
-                        part = own.slice(at, TILE)
-                        keys = np.stack([part.column(c).to_numpy() for c in (3, 4)], axis=1)
-                        q.tile(part.column(0).to_numpy(), keys, matrix(part.column(1), d), heaps)
-            yield _batch(heaps.rows())
-
-        named = spark.createDataFrame([*enumerate(names)], "query long, query_id long")
-        found = rows.mapInArrow(scan, OUT).withColumnRenamed("query_id", "query").repartition("query").mapInArrow(merge, OUT)
-        out = stored(found.withColumnRenamed("query_id", "query").join(F.broadcast(named), "query").select("query_id", "rank", "vec_id", "score"))
-        held.destroy()
-        return out
+    size = asked.agg(F.coalesce(F.sum(F.col("d").cast("long") * 8), F.lit(0))).first()[0]
+    cells = grid(blocks(asked.coalesce(max(1, -(-size // query_bytes))), query_bytes, "a"), blocks(rows, candidate_bytes, "c"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, of, to in zip(b.column("d").to_pylist(), b.column("of_a"), b.column("of_c")):
+                query_id, own, x = _block(of, d)
+                vec_id, keys, y = _block(to, d)
+                queries, heaps = Queries(own, x, k), Heaps(k)
+                for at in range(0, len(y), TILE):
+                    part = slice(at, at + TILE)
+                    queries.tile(vec_id[part], keys[part], y[part], heaps)
+                yield _batch([(int(query_id[q]), *own[q].tolist(), vec, score) for q, _, vec, score in heaps.rows()], FOUND)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps = Heaps(k)
         for b in batches:
-            for q, s, v in zip(*(b.column(c).to_pylist() for c in (0, 3, 2))):
-                heaps.offer(q, s, v)
-        yield _batch(heaps.rows())
+            for *query, vec, score in zip(*(c.to_pylist() for c in b.columns)):
+                heaps.offer(tuple(query), score, vec)
+        yield _batch([(query[0], rank, vec, score) for query, rank, vec, score in heaps.rows()], OUT)
 
-    out = searched(0)
-    for w in range(1, waves):
-        out = out.union(searched(w))
-    return out
+    return cells.mapInArrow(search, FOUND).repartition("query_id", "file", "at").mapInArrow(merge, OUT)

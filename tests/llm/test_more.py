@@ -137,8 +137,8 @@ def test_vectors_equal_brute_force(spark, sf):
     rows += [(1000 + i, rows[50][1], "tie") for i in range(8)] + [(100, rows[7][1], "an id twice")]
     got = vector_search.nearest(spark.createDataFrame(rows, schema), every=50)
     assert sorted(map(tuple, got.collect())) == brute_nearest([r[:2] for r in rows], 50, 5)
-    waves = vector_search.nearest(spark.createDataFrame(rows, schema), every=50, wave_bytes=100)
-    assert sorted(map(tuple, waves.collect())) == brute_nearest([r[:2] for r in rows], 50, 5)
+    cells = vector_search.nearest(spark.createDataFrame(rows, schema), every=50, query_bytes=100, candidate_bytes=400)
+    assert sorted(map(tuple, cells.collect())) == brute_nearest([r[:2] for r in rows], 50, 5)
     assert vector_search.nearest(spark.createDataFrame([], schema)).collect() == []
     far = spark.createDataFrame([(50, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [1e-200, 1e-200]), (3, [-1e300, 1e300])], "vec_id long, embedding array<double>")
     got = [(r["vec_id"], round(r["score"], 12)) for r in vector_search.nearest(far).orderBy("rank").collect()]
