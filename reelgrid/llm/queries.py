@@ -21,7 +21,7 @@ def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The rules of the query's contract.
-BLOCK, ALLOW = ["com/en/", "net/de/", "example.net/de/8", "org/es/"], ["example.com/en/7"]
+BLOCK, ALLOW = ["com/en/", "example.net/de/8", "org/es/"], ["example.com/en/7", "net/de/"]
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
