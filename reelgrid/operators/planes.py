@@ -13,13 +13,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _fed(planes: DataFrame, axis: str, n: int, weights: list[list[tuple[int, float]]], columns: tuple[str, ...] = ("v",)) -> DataFrame:
-    """Sums of columns along an axis: weights[i] are the (output, weight) pairs that sample i feeds."""
+def _fed(planes: DataFrame, axis: str, n: int, weights: list[list[tuple[int, float]]], columns: tuple[str, ...] = ("v",), kept: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of columns along an axis: weights[i] are the (output, weight) pairs that sample i feeds; columns of kept stay as they are."""
     # One literal, folded once: a table of many small expressions takes longer to plan than to use.
     table = F.from_json(F.lit(json.dumps([[{"o": o, "w": float(w)} for o, w in row] for row in weights])), "array<array<struct<o:int,w:double>>>")
     rows = planes.select("*", F.explode(F.get(table, F.col(axis))).alias("f"))
     keys = ["id", *[F.col("f.o").alias(a) if a == axis else F.col(a) for a in ("y", "x")]]
-    return rows.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("f.w")).alias(c) for c in columns])
+    same = [F.sum(F.when(F.col("f.o") == F.col(axis), F.col(c))).alias(c) for c in kept]
+    return rows.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("f.w")).alias(c) for c in columns], *same)
+
+
+#: Samples of the planes that share a task.
+SAMPLES = 1 << 17
+
+
+def together(planes: DataFrame, samples: int, n: int) -> DataFrame:
+    """planes of so many samples, up to id n - 1, whole planes in one part: sums along their axes then move nothing again."""
+    session = planes.sparkSession.sparkContext
+    return planes.repartition(max(session.defaultParallelism, -(-n * samples // SAMPLES)), "id")
 
 
 def _clamped(n: int, taps: list[tuple[int, float]]) -> list[list[tuple[int, float]]]:
@@ -44,8 +55,24 @@ def blurred(planes: DataFrame, w: int, h: int, sigma: float = 1.5, radius: int =
 
 def downscaled(planes: DataFrame, w: int, h: int, columns: tuple[str, ...] = ("v",)) -> DataFrame:
     """Means of 2 x 2 boxes; a missing column or row is the last one again."""
-    half = lambda n: [[(i // 2, 1.0 if n % 2 and i == n - 1 else 0.5)] for i in range(n)]
-    return _fed(_fed(planes, "x", w, half(w), columns), "y", h, half(h), columns)
+    return _fed(_fed(planes, "x", w, _half(w), columns), "y", h, _half(h), columns)
+
+
+def _half(n: int) -> list[list[tuple[int, float]]]:
+    return [[(i // 2, 1.0 if n % 2 and i == n - 1 else 0.5)] for i in range(n)]
+
+
+def _smooth(n: int) -> list[list[tuple[int, float]]]:
+    """Half of an axis and back again, as one step."""
+    back = bilinear_weights(-(-n // 2), n)
+    return [[(o, w * p) for k, w in row for o, p in back[k]] for row in _half(n)]
+
+
+def laplacian(pairs: DataFrame, w: int, h: int) -> DataFrame:
+    """Planes a and b without what their halves keep of them; samples go along with what becomes of them, so no join brings both together."""
+    across = _fed(pairs.select("*", F.col("a").alias("_a"), F.col("b").alias("_b")), "x", w, _smooth(w), ("_a", "_b"), ("a", "b"))
+    m = _fed(across, "y", h, _smooth(h), ("_a", "_b"), ("a", "b"))
+    return m.select("id", "y", "x", (F.col("a") - F.col("_a")).alias("a"), (F.col("b") - F.col("_b")).alias("b"))
 
 
 #: Stabilisers of structural similarity, and its window (fixed values).
@@ -76,11 +103,8 @@ def octave_ssim(pairs: DataFrame, w: int, h: int, octaves: int = 4) -> DataFrame
     mean = lambda d, n: d.groupBy("id").agg(F.lit(n).alias("octave"), F.avg("v").alias("ssim"))
     while k < octaves and min(w, h) >= 2 * (2 * SSIM_RADIUS + 1):
         k += 1
-        low = downscaled(pairs, w, h, ("a", "b"))
-        back = expanded(low, -(-w // 2), -(-h // 2), w, h, ("a", "b")).withColumnsRenamed({"a": "_a", "b": "_b"})
-        band = pairs.join(back, ["id", "y", "x"]).select("id", "y", "x", (F.col("a") - F.col("_a")).alias("a"), (F.col("b") - F.col("_b")).alias("b"))
-        found.append(mean(ssim(band, w, h, False), k))
-        pairs, w, h = low, -(-w // 2), -(-h // 2)
+        found.append(mean(ssim(laplacian(pairs, w, h), w, h, False), k))
+        pairs, w, h = downscaled(pairs, w, h, ("a", "b")), -(-w // 2), -(-h // 2)
     out = mean(ssim(pairs, w, h), 0)
     for x in found:
         out = out.unionByName(x)
@@ -92,7 +116,8 @@ def downsample_consistency(source: DataFrame, result: DataFrame, w: int, h: int,
     if result_w < w or result_h < h:
         raise ValueError("result is smaller than its source")
     back = area_resampled(result, result_w, result_h, w, h).withColumnRenamed("v", "b")
-    pairs = source.withColumnRenamed("v", "a").join(back, ["id", "y", "x"]).select("id", "y", "x", "a", "b")
+    both = source.select("id", "y", "x", F.col("v").alias("a"), F.lit(None).cast("double").alias("b")).unionAll(back.select("id", "y", "x", F.lit(None).cast("double").alias("a"), "b"))
+    pairs = both.groupBy("id", "y", "x").agg(F.max("a").alias("a"), F.max("b").alias("b")).where("a is not null and b is not null")
     error = pairs.groupBy("id").agg(F.avg((F.col("a") - F.col("b")) ** 2).alias("_mse")).select("id", psnr(F.col("_mse")).alias("psnr"))
     near = tiles(ssim(pairs, w, h), tile).groupBy("id").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("ssim"), F.min("mean").alias("worst"))
     return error.join(near, "id")

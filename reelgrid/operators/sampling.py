@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import prefix
+from .shared import checkpointed
 
 
 def score_aggregate(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,13 +117,21 @@ def frame_rate(frames: DataFrame) -> DataFrame:
     return found.select("clip", F.coalesce(F.round(F.try_divide(F.lit(1e6), F.col("m")), 9), F.lit(30.0)).alias("fps"))
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """rows with their place in the order, from 0, within each group of by (or of all rows)."""
-    parts = prefix.dealt(rows, by, order)
-    counts = parts.groupBy(*by, prefix.PART).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(prefix.earlier(by)), F.lit(0))).drop("_n")
-    own = parts.withColumn("_own", F.row_number().over(prefix.within(by, *order)) - 1)
-    return prefix.with_summary(own, counts, by).select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str, keep: list[str] | None = None) -> DataFrame:
+    """rows (of them the columns keep, or all) with their place in the order, from 0, within each group of by (or of all rows).
+
+    Parts are sorted where they were dealt, and their rows counted on: nothing is moved again.
+    """
+    keep = rows.columns if keep is None else keep
+    run = F.col("_run")
+    sorted_rows = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_run", F.monotonically_increasing_id())
+    # The upper bits of such a number tell the part, the lower ones, up to 2^33, the place in it.
+    parts = checkpointed(sorted_rows.select(*dict.fromkeys([*by, *keep]), "_run")).withColumn(prefix.PART, F.shiftright(run, 33))
+    counts = parts.groupBy(*by, prefix.PART).agg(F.count("*").alias("_n"), F.min("_run").alias("_start"))
+    start = F.coalesce(F.sum("_n").over(prefix.earlier(by)), F.lit(0)) - F.col("_start")
+    counts = counts.select(*by, prefix.PART, start.alias("_before"))
+    # Without groups there is one row for each part.
+    return prefix.with_summary(parts, counts if by else F.broadcast(counts), by).select(*keep, (F.col("_before") + run).alias(name))
 
 
 def reordered(packets: DataFrame) -> DataFrame:

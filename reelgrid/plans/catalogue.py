@@ -595,7 +595,7 @@ def _plane64(spark, sf):
     """All rows by the six-column key as 64 x 64 planes, 4,096 rows each; the last plane may be partial."""
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     k = c("k")
-    rows = sampling.numbered(V.table(spark, sf, "lineitem").select(*key), [], key, "k")
+    rows = sampling.numbered(V.table(spark, sf, "lineitem").select(*key), [], key, "k", ["l_quantity"])
     return rows.select(F.floor(k / 4096).alias("id"), F.floor(k % 4096 / 64).cast("int").alias("y"), (k % 64).cast("int").alias("x"), (c("l_quantity") / 50).alias("v"), (F.floor(c("l_quantity") / 5) / 10).alias("d"))
 
 

@@ -59,3 +59,25 @@ def test_channels_share_one_agreement(spark):
     assert out[0, 0] == (pytest.approx(0.375 * 0.2), pytest.approx(1.0)) and out[0, 1] == (0.5, 0.5) and out[1, 0] == (0.2, 0.2)
     full = planes.channel_blended(fresh, moved, 0.5, 0.0, ("r", "g")).where("x = 0 and y = 0").first()
     assert full["r"] == pytest.approx(0.1)  # no tolerance: full agreement
+
+
+@pytest.mark.parametrize("name", ["ssim_map", "per_octave_ssim", "downsample_consistency"])
+def test_samples_are_moved_once(spark, sf, name):
+    """Whole planes are in one part from the first shuffle on: no sum along an axis and no join moves their samples."""
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if " Exchange hashpartitioning" in x and "_part" not in x]
+    assert moved and all("REPARTITION_BY_NUM" in x or ("y#" not in x and "x#" not in x) for x in moved)
+
+
+def test_smoothed_difference_equals_two_steps(spark):
+    """One step to half an axis and back, of odd and even sizes, against the two steps."""
+    for n, m in ((9, 6), (12, 7)):
+        p = spark.range(n * m).select(F.lit(1).alias("id"), (F.col("id") / n).cast("int").alias("y"), (F.col("id") % n).cast("int").alias("x"), F.rand(1).alias("a"), F.rand(2).alias("b")).cache()
+        back = planes.expanded(planes.downscaled(p, n, m, ("a", "b")), -(-n // 2), -(-m // 2), n, m, ("a", "b"))
+        want = {(r["y"], r["x"]): (r["a"], r["b"]) for r in back.collect()}
+        was = {(r["y"], r["x"]): (r["a"], r["b"]) for r in p.collect()}
+        got = planes.laplacian(p, n, m).collect()
+        assert len(got) == n * m
+        for r in got:
+            k = r["y"], r["x"]
+            assert (r["a"], r["b"]) == (pytest.approx(was[k][0] - want[k][0], abs=1e-12), pytest.approx(was[k][1] - want[k][1], abs=1e-12))
