@@ -124,7 +124,7 @@ def order_files(spark, sf) -> DataFrame:
     video = element("A3", F.concat(be(0x81, 1), be(n * 40, 2), be(0x80, 1), frame))
     audio = element("A3", F.concat(be(0x82, 1), be(n * 40, 2), be(0x04, 1), be(1, 1), frame, frame))
     block = F.struct(n.alias("n"), c("l_partkey").alias("p"), c("l_suppkey").alias("s"), c("l_extendedprice").alias("e"), F.when(n % 2 == 1, video).otherwise(audio).alias("b"))
-    orders = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    orders = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
     track = lambda number, kind, codec, more: element("AE", F.concat(element("D7", be(number, 1)), element("83", be(kind, 1)), element("86", raw(codec)), element("23E383", be(20_000_000, 4)), more))
     picture = element("E0", F.concat(element("B0", be(c("l_orderkey") % 4096, 2)), element("BA", be(480, 2))))
     tracks = element("1654AE6B", F.concat(track(1, 1, "V_VP9", picture), track(2, 2, "A_OPUS", raw(""))))
@@ -145,9 +145,11 @@ def matroska_tracks(spark, sf):
 SELECT path, row_number() OVER (PARTITION BY path ORDER BY n, p, s, e, i) - 1 AS seq, CASE WHEN n % 2 = 1 THEN 'V_VP9' ELSE 'A_OPUS' END AS codec, CASE WHEN n % 2 = 1 THEN 'video' ELSE 'audio' END AS type,
   (path % 1000 + n * 40)::BIGINT * 1000000 + i * 20000000 AS pts_ns, n % 2 = 1 AS keyframe, 'part ' || p AS data FROM l""")
 def matroska_packets(spark, sf):
-    """Packets joined with their tracks: two tables of one file, keyed by file and track number."""
-    held = order_files(spark, sf)
-    found = containers.track_packets(containers.demuxed(held, "tracks"), containers.demuxed(held, "packets", True))
+    """Packets with what is told of their tracks: each file is built and walked once, and no row of a packet is moved.
+
+    `containers.track_packets` joins the two tables where they come apart.
+    """
+    found = containers.demuxed(order_files(spark, sf), "media", True).where("error is null")
     return found.select("path", "seq", "codec", "type", "pts_ns", "keyframe", F.decode("data", "UTF-8").alias("data"))
 
 

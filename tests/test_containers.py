@@ -213,3 +213,16 @@ def test_readable_alone_says_nothing(spark):
     one = lambda name, outcome: F.array(F.struct(F.lit(name).alias("name"), F.lit(outcome).alias("outcome"), F.lit("why").alias("detail")))
     row = spark.range(1).select(policy.verdict(one("readable", "failed")), policy.verdict(one("magic", "skipped")), policy.verdict(one("magic", "passed")), policy.first_failure(one("x", "failed"))).first()
     assert tuple(row) == ("unverified", "unverified", "intact", "why")
+
+
+def test_media_equals_tables_joined(spark):
+    """One walk gives what the tables of tracks and packets give when joined: of whole, cut and unreadable files, and of packets of no track."""
+    good = mkv([(0, laced(0, [b"x"])), (1, laced(1, [b"a", b"b"])), (2, el("A3", b"\x85\0\0\0none") + laced(0, [b"y"]))])
+    rows = spark.createDataFrame([("good", bytearray(good)), ("cut", bytearray(good[:-4])), ("none", None), ("junk", bytearray(b"junk" * 9))], "path string, content binary")
+    columns = "path", "seq", "track", "pts_ns", "keyframe", "at", "size", "data", "container", "type", "codec"
+    of = lambda found: sorted(repr(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r)) for r in found.select(*columns).collect())
+    media = containers.demuxed(rows, "media", True)
+    want = of(containers.track_packets(containers.demuxed(rows, "tracks"), containers.demuxed(rows, "packets", True)))
+    assert want and of(media.where("error is null")) == want
+    told = lambda found: sorted((r["path"], r["seq"], r["error"]) for r in found.where("error is not null").collect())
+    assert told(media) == told(containers.demuxed(rows, "packets"))
