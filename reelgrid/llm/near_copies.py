@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEYS, discard, others, parts_for, releasing, rows_without, small_batches, stored, text_key
-from .simhash import components, first_row, shingle_spans, trie_forest, voted, won
+from .simhash import LABELS, components, first_row, shingle_spans, trie_forest, voted, won
 from .textscan import mix, slices, words, xxh64
 
 U64 = np.uint64
@@ -314,15 +314,18 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
     for turn in range(ROUNDS):
         labels = components(edges)
         before = left
-        placed = left.select("token", "id", "pos").join(labels.withColumnRenamed("fp", "id"), "id", "left").select("token", "id", "pos", F.coalesce("root", "id").alias("root"))
+        named = labels.withColumnRenamed("fp", "id")
+        placed = left.select("token", "id", "pos").join(F.broadcast(named) if labels.count() <= LABELS else named, "id", "left").select("token", "id", "pos", F.coalesce("root", "id").alias("root"))
         by_root = placed.groupBy("token", "root").count()
         mixed = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("count").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q")).where("roots > 1")
         mixed = stored(mixed.select("token", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")))
         left = stored(placed.join(mixed.select("token"), "token", "left_semi"))
         discard(before)
         pairs, n = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0], left.count()
+        discard(mixed)
         if n == 0:
             return labels
+        discard(labels)
         if pairs <= max(PAIRS, PAIRS_EACH * n) or turn == ROUNDS - 1:
             break
         start = left.groupBy("token").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("h"))

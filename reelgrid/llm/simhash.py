@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, others, rows_without, stored, text_key
+from .common import checkpointed, discard, others, rows_without, stored, text_key
 from .textscan import Words, slices, words, xxh64
 
 U64 = np.uint64
@@ -273,24 +273,33 @@ def _signed(prefix: int, depth: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+#: Labels up to which they are broadcast (16 bytes each) and kept in LABEL_FILES files; beyond it they meet edges in shuffled joins.
+LABELS, LABEL_FILES = 1 << 19, 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root): for every fp of an edge, the smallest fp of its component.
 
     Labels travel along edges and are then shortened by looking up the label of the label; both
     are plain joins, whose hot keys Spark splits, and minima with partial sums. Each round is
-    checkpointed; it ends when no label has changed.
+    written to the shared folder, and the one before it removed; it ends when no label has changed.
+    Few labels are broadcast: a shuffle of little data leaves small files for each pair of its tasks.
     """
-    both = checkpointed(edges.select("fp", "to").union(edges.select(F.col("to").alias("fp"), F.col("fp").alias("to"))).where("fp <> to").distinct())
-    labels = checkpointed(both.groupBy("fp").agg(F.least(F.min("to"), F.col("fp")).alias("root")))
+    both = stored(edges.select("fp", "to").union(edges.select(F.col("to").alias("fp"), F.col("fp").alias("to"))).where("fp <> to").distinct())
+    labels = stored(both.groupBy("fp").agg(F.least(F.min("to"), F.col("fp")).alias("root")))
+    few = labels.count() <= LABELS
+    side = F.broadcast if few else (lambda rows: rows)
     while True:
-        heard = both.join(labels.withColumnRenamed("fp", "to"), "to").select("fp", "root")
+        heard = both.join(side(labels.withColumnRenamed("fp", "to")), "to").select("fp", "root")
         lower = labels.union(heard).groupBy("fp").agg(F.min("root").alias("root"))
         up = labels.select(F.col("fp").alias("root"), F.col("root").alias("over"))
-        short = lower.join(up, "root", "left").select("fp", F.least("root", F.coalesce("over", "root")).alias("root"))
-        new = checkpointed(short)
-        changed = new.join(labels.withColumnRenamed("root", "was"), "fp").where("root <> was").limit(1).count()
+        short = lower.join(side(up), "root", "left").select("fp", F.least("root", F.coalesce("over", "root")).alias("root"))
+        new = stored(short.coalesce(LABEL_FILES) if few else short)
+        changed = new.join(side(labels.withColumnRenamed("root", "was")), "fp").where("root <> was").limit(1).count()
+        discard(labels)
         labels = new
         if not changed:
+            discard(both)
             return labels
 
 

@@ -79,3 +79,31 @@ def test_query_equals_brute_force(spark, sf):
     want = brute_components(fps)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op10_simhash(spark, sf).collect()}
     assert got == {d: (f"{f:016x}", want[d]) for d, f in fps}
+
+
+def test_components_leave_few_files(spark, tmp_path, monkeypatch):
+    """Rounds over few labels are removed when the next one is written, whatever the number of shuffle partitions; shuffled joins find the same."""
+    context, was = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    before = context._jsc.sc().getCheckpointDir()
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(i, i + 1) for i in range(1000, 1012)]
+    edges = spark.createDataFrame(pairs, "fp long, to long")
+    up = {x: x for p in pairs for x in p}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    want = {x: r for x, r in up.items() if any(x in p and p[0] != p[1] for p in pairs)}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setCheckpointDir(str(tmp_path))
+        got = simhash.components(edges)
+        assert {r["fp"]: r["root"] for r in got.collect()} == want
+        assert len([x for x in tmp_path.rglob("*part-*") if x.is_file() and x.suffix != ".crc"]) <= simhash.LABEL_FILES
+        monkeypatch.setattr(simhash, "LABELS", 0)
+        assert {r["fp"]: r["root"] for r in simhash.components(edges).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        if before.isDefined():
+            context.setCheckpointDir(before.get())
