@@ -82,15 +82,23 @@ def summary_report(spark, sf):
 
 # ---- repeated runs
 
+#: Lines of orders that share a task.
+LINES = 1 << 18
+
 
 @query("""WITH s AS (SELECT l_orderkey AS source, r AS run, row_number() OVER (PARTITION BY l_orderkey, r ORDER BY CASE WHEN l_orderkey % 4 = 1 AND r = 1 THEN -l_linenumber ELSE l_linenumber END, l_partkey, l_suppkey, l_extendedprice) AS place,
   CAST(round(l_quantity * 100) AS BIGINT) + CASE WHEN l_orderkey % 4 = 0 AND r = 2 AND l_linenumber % 2 = 1 THEN 1 ELSE 0 END AS size FROM lineitem, range(3) t(r) WHERE NOT (l_orderkey % 4 = 3 AND r = 2 AND l_linenumber = 2)),
 c AS (SELECT source, run, count(*) AS frames, sum(size) AS bytes, string_agg(size::VARCHAR, ',' ORDER BY place) AS sizes FROM s GROUP BY ALL)
 SELECT source, count(*) AS runs, (max(bytes) - min(bytes))::BIGINT AS spread, round((max(bytes) - min(bytes)) / min(bytes) * 1e6, 1) AS ppm, count(DISTINCT frames) AS frame_counts, count(DISTINCT sizes) AS sequences, count(DISTINCT sizes) = 1 AS repeats FROM c GROUP BY source""")
 def run_census(spark, sf):
-    """Three runs of each order: some repeat, some differ by a byte, in the order of frames, or by a frame."""
+    """Three runs of each order: some repeat, some differ by a byte, in the order of frames, or by a frame.
+
+    Lines are moved once, before there are three of each, to parts of so many lines as a task sorts in bounded memory.
+    """
     k, n, r = c("l_orderkey"), c("l_linenumber"), c("run")
-    lines = V.table(spark, sf, "lineitem").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("run")).where(~((k % 4 == 3) & (r == 2) & (n == 2)))
+    held = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    held = held.repartition(max(spark.sparkContext.defaultParallelism, -(-held.count() // LINES)), "l_orderkey")
+    lines = held.select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("run")).where(~((k % 4 == 3) & (r == 2) & (n == 2)))
     order = sampling.Window.partitionBy("l_orderkey", "run").orderBy(F.when((k % 4 == 1) & (r == 1), -n).otherwise(n), "l_partkey", "l_suppkey", "l_extendedprice")
     size = F.round(c("l_quantity") * 100).cast("long") + F.when((k % 4 == 0) & (r == 2) & (n % 2 == 1), 1).otherwise(0)
     samples = lines.select(k.alias("source"), "run", F.row_number().over(order).alias("place"), size.alias("size"), (n == 1).alias("sync"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.operators import census, recording, sampling, search, spans, tiles
+from reelgrid.plans import recording_queries
 from reelgrid.sources import export
 
 # ---- tiles
@@ -171,3 +172,10 @@ def test_squeeze_keeps_what_it_can_not_better(spark):
 def test_sampling_plan(spark):
     rows = spark.createDataFrame([(600, None), (5, None), (600, 7), (600, 0)], "n int, e int")
     assert [tuple(x[0]) for x in rows.select(sampling.sampling_plan(F.col("n"), F.col("e"))).collect()] == [(50, 16), (1, 16), (7, 60), (1, 60)]
+
+
+def test_census_moves_lines_once(spark, sf):
+    """Lines are moved before they are tripled, to parts whose number grows with them; windows and runs move nothing more."""
+    plan = recording_queries.run_census(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if " Exchange " in x]
+    assert any("hashpartitioning(l_orderkey" in x and "REPARTITION_BY_NUM" in x for x in moved) and not any("run#" in x for x in moved)
