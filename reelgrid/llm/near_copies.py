@@ -18,6 +18,9 @@ each component one row stays. Links are found in three steps, each link computed
    two near sets share is such a one, so no link between components is lost. Of the candidates those
    go whose sketches (a bit for each place of a hash, set where an odd number of the set's hashes fall
    on it) differ in more bits than two near sets may differ in hashes: that is never so for near sets.
+   Of many candidates each set's closest by sketches are compared first; what they link drops the other
+   candidates between the same components, and the rest is compared last. So links are about as many as
+   sets, not as pairs of sets.
 
 Defined results: a null text counts as empty; texts with equal sets are linked, those without words
 among them; a text of fewer words has one shingle of all its words; of each component the row with
@@ -55,6 +58,8 @@ AT_ONCE = 64
 SKETCHED = 1 << 12
 #: Pairs left for the last step: at least so many, or this many for each shared token; rounds of step 2 at most.
 PAIRS, PAIRS_EACH, ROUNDS = 1 << 22, 8, 6
+#: Candidates of step 3 that are compared at once; of more, each set's closest come first, so many times.
+AT_LAST, CLOSEST = 1 << 12, 2
 
 
 def sets_of(texts: pa.Array, k: int, votes: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
@@ -214,15 +219,15 @@ def fitting(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (fp, to) of set names those that are near, computed from the whole sets.
+    """Of the pairs (fp, to) of the names of different sets those that are near, computed from the whole sets.
 
     The sets of many are compared with that of one (to), which every MEMBERS of them get. What is moved
     are compressed texts, which are smaller than their sets.
     """
-    pairs = stored(fitting(pairs, reps, percent).select("fp", "to"))
+    pairs = stored(pairs.select("fp", "to"))
     parts = pairs.groupBy("to").count().select("to", F.ceil(F.col("count") / MEMBERS).alias("parts"))
-    dealt = pairs.join(parts, "to").select("fp", "to", F.pmod(F.xxhash64("fp"), "parts").alias("part"))
-    asked = dealt.select(F.col("fp").alias("id"), "to", "part", F.lit(True).alias("member")).unionAll(dealt.select(F.col("to").alias("id"), "to", "part", F.lit(False).alias("member")).distinct())
+    many = pairs.join(parts, "to").select(F.col("fp").alias("id"), "to", F.pmod(F.xxhash64("fp"), "parts").alias("part"), F.lit(True).alias("member"))
+    asked = many.unionAll(parts.select(F.col("to").alias("id"), "to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member")))
     asked = kept = stored(asked.join(reps.select("id", "doc_id", "key"), "id").select("to", "part", "member", "id", F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
     asked = F.broadcast(asked) if asked.count() <= KEYS else asked
     texts = docs.select("doc_id", "text", text_key().alias("key"))
@@ -274,7 +279,9 @@ def fullest(rows: DataFrame) -> DataFrame:
 
 
 def early_pairs(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(fp, to) of the sets of different components that may be near by a token that both have; left: token, id, pos, root.
+    """(fp, to, root, over, gap) of the sets of different components (root, over) that may be near by a token that both have; left: token, id, pos, root.
+
+    gap: bits in which their sketches differ, for each of their hashes; 0 for sets without a sketch.
 
     Two near sets of n and m hashes share least(n, m) of them, and so share one that has as many at and
     behind its place in either. Tokens with the same sets have the same order in all of them: the first of
@@ -292,9 +299,47 @@ def early_pairs(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     shared = least(F.col("n") + F.col("m"))
     early = alike & (F.col("pos") <= F.col("n") - shared) & (F.col("place") <= F.col("m") - shared)
     # Sketches last: they cost most.
-    near = F.when(early, F.coalesce(differing(F.col("sketch"), F.col("other")) <= F.col("n") + F.col("m") - 2 * shared, F.lit(True))).otherwise(False)
+    bits = differing(F.col("sketch"), F.col("other"))
+    near = F.when(early, F.coalesce(bits <= F.col("n") + F.col("m") - 2 * shared, F.lit(True))).otherwise(False)
     met = small.join(large, ["token", "band"]).where(near)
-    return met.select(F.col("id").alias("fp"), "to").distinct()
+    return met.select(F.col("id").alias("fp"), "to", "root", "over", F.coalesce(bits / (F.col("n") + F.col("m")), F.lit(0.0)).alias("gap")).distinct()
+
+
+def _rooted(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """rows with the roots of sets in place of their names, in these columns."""
+    side = F.broadcast if labels.count() <= LABELS else (lambda x: x)
+    for c in columns:
+        rows = rows.join(side(labels.select(F.col("fp").alias(c), F.col("root").alias("_root"))), c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
+    return rows
+
+
+def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels with what links (fp, to) bring together; only components that they touch are looked at."""
+    found = components(_rooted(links.select("fp", "to"), labels, "fp", "to"))
+    rows = labels.union(found.select("fp", F.col("fp").alias("root"))).distinct()
+    out = stored(_rooted(rows, found, "root").select("fp", "root"))
+    discard(labels, links, found)
+    return out
+
+
+def closest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (fp, to, gap), for each set on either side the one of the smallest gap."""
+    of = lambda c: pairs.groupBy(c).agg(F.min(F.struct("gap", "fp", "to")).alias("p")).select("p.fp", "p.to")
+    return of("fp").union(of("to")).distinct()
+
+
+def last_links(pairs: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """labels with the links of all pairs of early_pairs that are near; pairs that others have linked need no comparison."""
+    pairs = stored(pairs)
+    for _ in range(CLOSEST):
+        if pairs.count() <= AT_LAST:
+            break
+        first = stored(closest(pairs))
+        labels = grown(labels, verified(first, reps, docs, k, percent))
+        apart = _rooted(pairs.join(first, ["fp", "to"], "left_anti"), labels, "root", "over").where("root <> over")
+        pairs, old = stored(apart.select("fp", "to", "root", "over", "gap")), pairs
+        discard(old, first)
+    return grown(labels, verified(pairs, reps, docs, k, percent))
 
 
 def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
@@ -308,14 +353,13 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
 
     counts = place_counts(docs, k)
     shared = stored(shared_tokens(docs, spark.sparkContext.broadcast(counts), k, percent, _hot(counts)))
-    edges = verified(equal.unionAll(close).unionAll(fullest(shared.select("id", "head"))).distinct(), reps, docs, k, percent)
+    pairs = equal.unionAll(close).unionAll(fullest(shared.select("id", "head"))).distinct()
+    labels = components(verified(fitting(pairs, reps, percent), reps, docs, k, percent))
     left = shared.drop("head")
     left.stored_in = shared.stored_in
     for turn in range(ROUNDS):
-        labels = components(edges)
         before = left
-        named = labels.withColumnRenamed("fp", "id")
-        placed = left.select("token", "id", "pos").join(F.broadcast(named) if labels.count() <= LABELS else named, "id", "left").select("token", "id", "pos", F.coalesce("root", "id").alias("root"))
+        placed = _rooted(left.select("token", "id", "pos", F.col("id").alias("root")), labels, "root")
         by_root = placed.groupBy("token", "root").count()
         mixed = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("count").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q")).where("roots > 1")
         mixed = stored(mixed.select("token", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")))
@@ -325,16 +369,13 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
         discard(mixed)
         if n == 0:
             return labels
-        discard(labels)
         if pairs <= max(PAIRS, PAIRS_EACH * n) or turn == ROUNDS - 1:
             break
         start = left.groupBy("token").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("h"))
         tried = left.join(start, "token").where(F.col("root") != F.col("h.root")).select("id", F.col("h.id").alias("head"))
-        more = verified(fullest(tried), reps, docs, k, percent)
-        edges, old = stored(edges.unionAll(more)), edges
-        discard(more, old)
+        labels = grown(labels, verified(fitting(fullest(tried), reps, percent), reps, docs, k, percent))
 
-    return components(edges.unionAll(verified(early_pairs(left, reps, percent), reps, docs, k, percent)))
+    return last_links(early_pairs(left, reps, percent), labels, reps, docs, k, percent)
 
 
 def near_kept(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = BITS) -> DataFrame:

@@ -115,3 +115,27 @@ def test_sketches_never_differ_more_than_sets(spark):
     assert any(len(a) != len(b) for a, b, _ in rows)
     large = np.arange(near_copies.SKETCHED + 1, dtype="<u8")
     assert near_copies.sketches(np.append(large, large[:2]), np.array([len(large), 2])).to_pylist()[0] is None
+
+
+def test_a_dense_group_is_linked_by_few_comparisons(spark, monkeypatch):
+    """Sets that step 3 alone brings together: links are about as many as sets, not as pairs of sets; the same rows stay."""
+    found, verified = [], near_copies.verified
+
+    def counted(pairs, *a):
+        out = verified(pairs, *a)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    monkeypatch.setattr(near_copies, "fullest", lambda rows: rows.where("false").select(F.col("id").alias("fp"), F.col("head").alias("to")))
+    monkeypatch.setattr(near_copies, "AT_LAST", 0, raising=False)
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(60):
+        words = [f"w{j}" for j in range(150)]
+        for p in rng.choice(150, 2, replace=False):
+            words[p] = f"n{i}x{p}"
+        rows.append((i, " ".join(words)))
+    rows += [(60 + i, " ".join(f"w{j}" for j in range(60)) + " " + " ".join(f"o{i}x{j}" for j in range(40))) for i in range(5)]
+    assert kept(spark, rows) == brute_kept(rows)
+    assert sum(found) <= 4 * len(rows)
