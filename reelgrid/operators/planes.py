@@ -27,10 +27,10 @@ def _fed(planes: DataFrame, axis: str, n: int, weights: list[list[tuple[int, flo
 SAMPLES = 1 << 17
 
 
-def together(planes: DataFrame, samples: int, n: int) -> DataFrame:
-    """planes of so many samples, up to id n - 1, whole planes in one part: sums along their axes then move nothing again."""
+def together(planes: DataFrame, samples: int, n: int, plane: Column | str = "id") -> DataFrame:
+    """n planes of so many samples, whole planes (told by plane) in one part: sums along their axes then move nothing again."""
     session = planes.sparkSession.sparkContext
-    return planes.repartition(max(session.defaultParallelism, -(-n * samples // SAMPLES)), "id")
+    return planes.repartition(max(session.defaultParallelism, -(-n * samples // SAMPLES)), plane)
 
 
 def _clamped(n: int, taps: list[tuple[int, float]]) -> list[list[tuple[int, float]]]:

@@ -591,12 +591,21 @@ def psnr(spark, sf):
 PLANE64 = """plane64 AS (SELECT (k - 1) // 4096 AS id, (k - 1) % 4096 // 64 AS y, (k - 1) % 64 AS x, q / 50 AS v, floor(q / 5) / 10 AS d FROM (SELECT l_quantity AS q, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem))"""
 
 
+def _samples64(spark, sf):
+    """k, q: all rows by the six-column key, from 0."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return sampling.numbered(V.table(spark, sf, "lineitem").select(*key), [], key, "k", ["l_quantity"]).select("k", c("l_quantity").alias("q"))
+
+
+def _planes64(samples):
+    """Samples (k, q) as 64 x 64 planes."""
+    k, q = c("k"), c("q")
+    return samples.select(F.floor(k / 4096).alias("id"), F.floor(k % 4096 / 64).cast("int").alias("y"), (k % 64).cast("int").alias("x"), (q / 50).alias("v"), (F.floor(q / 5) / 10).alias("d"))
+
+
 def _plane64(spark, sf):
     """All rows by the six-column key as 64 x 64 planes, 4,096 rows each; the last plane may be partial."""
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    k = c("k")
-    rows = sampling.numbered(V.table(spark, sf, "lineitem").select(*key), [], key, "k", ["l_quantity"])
-    return rows.select(F.floor(k / 4096).alias("id"), F.floor(k % 4096 / 64).cast("int").alias("y"), (k % 64).cast("int").alias("x"), (c("l_quantity") / 50).alias("v"), (F.floor(c("l_quantity") / 5) / 10).alias("d"))
+    return _planes64(_samples64(spark, sf))
 
 
 @query(f"WITH {PLANE64} SELECT id, y // 10 AS tile_y, x // 10 AS tile_x, round(avg(v), 6) AS mean, count(*) AS n FROM plane64 GROUP BY ALL")

@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 from ..operators import planes as P
 from ..operators import policy, search
 from . import views as V
-from .catalogue import _WITH, PLANE64, _plane64
+from .catalogue import _WITH, PLANE64, _planes64, _samples64
 from .registry import query
 
 c = F.col
 
 
 def _pairs(spark, sf):
-    """Planes a and b, each in one part; samples that the last plane lacks are 0 (4,095 rows at most, from one row)."""
-    p = _plane64(spark, sf).select("id", "y", "x", c("v").alias("a"), c("d").alias("b"))
-    last = p.agg(F.max(F.struct("id", (c("y") * 64 + c("x")).alias("k"))).alias("l")).select("l.*").first()
-    if last.id is None:
-        return p
-    lacking = spark.range(last.k + 1, 4096).select(F.lit(last.id).alias("id"), F.floor(c("id") / 64).cast("int").alias("y"), (c("id") % 64).cast("int").alias("x"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    return P.together(p.unionByName(lacking), 4096, last.id + 1)
+    """Planes a and b, each in one part; samples that the last plane lacks are 0 (4,095 rows at most, from one row).
+
+    What is moved is a sample's place and quantity; planes are made of them afterwards.
+    """
+    samples = _samples64(spark, sf)
+    last = samples.agg(F.max("k")).first()[0]
+    if last is not None:
+        n = last // 4096 + 1
+        lacking = spark.range(last + 1, n * 4096).select(c("id").alias("k"), F.lit(0.0).alias("q"))
+        samples = P.together(samples.unionByName(lacking), 4096, n, F.floor(c("k") / 4096))
+    return _planes64(samples).select("id", "y", "x", c("v").alias("a"), c("d").alias("b"))
 
 
 @query(f"""WITH {PLANE64}, full64 AS (SELECT id, y, x, v, d FROM plane64 UNION ALL SELECT id, k // 64, k % 64, 0, 0 FROM (SELECT id, unnest(range(n, 4096)) AS k FROM (SELECT id, count(*) AS n FROM plane64 GROUP BY id))), w AS (SELECT k, exp(-(k * k) / 4.5::DOUBLE) / (SELECT sum(exp(-(k * k) / 4.5::DOUBLE)) FROM range(-5, 6) a(k)) AS w FROM range(-5, 6) a(k)), t AS (SELECT o, least(greatest(o + k, 0), 63) AS i, sum(w) AS w FROM range(64) b(o), w GROUP BY ALL),

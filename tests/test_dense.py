@@ -81,3 +81,11 @@ def test_smoothed_difference_equals_two_steps(spark):
         for r in got:
             k = r["y"], r["x"]
             assert (r["a"], r["b"]) == (pytest.approx(was[k][0] - want[k][0], abs=1e-12), pytest.approx(was[k][1] - want[k][1], abs=1e-12))
+
+
+@pytest.mark.parametrize("name", ["ssim_map", "per_octave_ssim", "downsample_consistency"])
+def test_places_and_quantities_are_moved(spark, sf, name):
+    """The shuffle that brings planes together moves two columns; coordinates and both planes are made after it."""
+    lines = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    sides = [x for i, y in enumerate(lines) if "REPARTITION_BY_NUM" in y for x in lines[i + 2 : i + 4] if "Project [" in x]
+    assert sides and all(x.count(" AS ") == 2 for x in sides)
