@@ -37,10 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Rows written to the shared folder, in columns: lineage is cut, and they take less room than in a checkpoint."""
+def stored(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Rows written to the shared folder, in columns: lineage is cut, and they take less room than in a checkpoint.
+
+    files: as many at most. Little data would otherwise make a task and a file for each shuffled part that the session names.
+    """
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     out = df.sparkSession.read.parquet(path)
     out.stored_in = path
     return out

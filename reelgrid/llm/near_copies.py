@@ -58,6 +58,8 @@ AT_ONCE = 64
 SKETCHED = 1 << 12
 #: Pairs left for the last step: at least so many, or this many for each shared token; rounds of step 2 at most.
 PAIRS, PAIRS_EACH, ROUNDS = 1 << 22, 8, 6
+#: Files that intermediate rows take at least, sets for each further one, and texts for each task that compares them.
+FILES, SETS_EACH, TEXTS_EACH = 16, 1 << 12, 1 << 10
 #: Candidates of step 3 that are compared at once; of more, each set's closest come first, so many times.
 AT_LAST, CLOSEST = 1 << 12, 2
 
@@ -211,10 +213,20 @@ def shared_tokens(docs: DataFrame, counts: Broadcast, k: int, percent: int, hot:
     return docs.select("text").mapInArrow(releasing(scan), "bucket int, tokens binary, ids binary, places binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "token long, id long, head long, pos int")
 
 
+def described(rows: DataFrame, sets: int) -> DataFrame:
+    """rows (of stored(), of at most so many sets) with what told() and stored() need of their number."""
+    rows.few, rows.files = sets <= LABELS, max(FILES, -(-sets // SETS_EACH))
+    return rows
+
+
+def told(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    """Columns of described() rows as the side of a join that is broadcast, if rows are few."""
+    return F.broadcast(rows.select(*columns)) if rows.few else rows.select(*columns)
+
+
 def fitting(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (fp, to, ...) whose sizes n and m let them be near; n and m are added."""
-    sizes = reps.select("id", "n")
-    both = pairs.where("fp <> to").join(sizes.withColumnRenamed("id", "fp"), "fp").join(sizes.select(F.col("id").alias("to"), F.col("n").alias("m")), "to")
+    both = pairs.where("fp <> to").join(told(reps, F.col("id").alias("fp"), "n"), "fp").join(told(reps, F.col("id").alias("to"), F.col("n").alias("m")), "to")
     return both.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
 
 
@@ -224,12 +236,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     The sets of many are compared with that of one (to), which every MEMBERS of them get. What is moved
     are compressed texts, which are smaller than their sets.
     """
-    pairs = stored(pairs.select("fp", "to"))
+    pairs = stored(pairs.select("fp", "to"), reps.files)
     parts = pairs.groupBy("to").count().select("to", F.ceil(F.col("count") / MEMBERS).alias("parts"))
-    many = pairs.join(parts, "to").select(F.col("fp").alias("id"), "to", F.pmod(F.xxhash64("fp"), "parts").alias("part"), F.lit(True).alias("member"))
+    many = pairs.join(F.broadcast(parts) if reps.few else parts, "to").select(F.col("fp").alias("id"), "to", F.pmod(F.xxhash64("fp"), "parts").alias("part"), F.lit(True).alias("member"))
     asked = many.unionAll(parts.select(F.col("to").alias("id"), "to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member")))
-    asked = kept = stored(asked.join(reps.select("id", "doc_id", "key"), "id").select("to", "part", "member", "id", F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
-    asked = F.broadcast(asked) if asked.count() <= KEYS else asked
+    asked = kept = stored(asked.join(told(reps, "id", "doc_id", "key"), "id").select("to", "part", "member", "id", F.col("doc_id").alias("_id"), F.col("key").alias("_key")), reps.files)
+    n = asked.count()
+    asked = F.broadcast(asked) if n <= KEYS else asked
     texts = docs.select("doc_id", "text", text_key().alias("key"))
     sides = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
 
@@ -267,7 +280,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
                 yield pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(to[on])], ["fp", "to"])
 
     found = sides.select("to", "part", "member", "id", "text").mapInArrow(releasing(packed), "to long, part long, member boolean, id long, packed binary")
-    out = stored(found.repartition("to", "part").sortWithinPartitions("to", "part", "member").mapInArrow(releasing(compare), "fp long, to long"))
+    dealt = found.repartition("to", "part").coalesce(max(FILES, -(-n // TEXTS_EACH)))
+    out = stored(dealt.sortWithinPartitions("to", "part", "member").mapInArrow(releasing(compare), "fp long, to long"))
     discard(pairs, kept)
     return out
 
@@ -278,33 +292,50 @@ def fullest(rows: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.max_by("head", F.struct("count", "head")).alias("to")).select(F.col("id").alias("fp"), "to")
 
 
+def apart(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """token, id, pos, root of the tokens (token, id, pos) that sets of different components have; of tokens that the same sets have the first.
+
+    Tokens with the same sets have the same order in all of them.
+    """
+    placed = _rooted(shared.select("token", "id", "pos", F.col("id").alias("root")), labels, "root")
+    of = placed.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b"), F.min_by("pos", "id").alias("at"), F.min("root").alias("least"), F.max("root").alias("most"))
+    first = stored(of.where("least <> most").groupBy("sets", "a", "b").agg(F.min_by("token", "at").alias("token")).select("token"), reps.files)
+    out = stored(placed.join(_side(first), "token", "left_semi"), reps.files)
+    discard(first)
+    return out
+
+
 def early_pairs(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(fp, to, root, over, gap) of the sets of different components (root, over) that may be near by a token that both have; left: token, id, pos, root.
+    """(fp, to, root, over, gap) of the sets of different components (root, over) that may be near by a token that both have; left: token, id, pos, root, major.
 
     gap: bits in which their sketches differ, for each of their hashes; 0 for sets without a sketch.
 
     Two near sets of n and m hashes share least(n, m) of them, and so share one that has as many at and
-    behind its place in either. Tokens with the same sets have the same order in all of them: the first of
-    them is enough. A set meets those that are as large or larger, by a factor of 100 / percent at most.
+    behind its place in either. A set meets those that are as large or larger, by a factor of 100 / percent
+    at most. The sets of a token's largest component (major) don't meet each other, only the token's other sets.
     """
-    of = left.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b"), F.min_by("pos", "id").alias("at"))
-    first = of.groupBy("sets", "a", "b").agg(F.min_by("token", "at").alias("token")).select("token")
     # A little more than the factor, so that rounding can't part two sizes by two bands.
     band = F.floor(F.log("n") / (1.001 * log(100 / min(percent, 99))))
-    rows = left.join(first, "token", "left_semi").join(reps.select("id", "n", "sketch"), "id").select("token", "id", "root", "pos", "n", "sketch", band.alias("band"))
+    rows = left.join(reps.select("id", "n", "sketch"), "id").select("token", "id", "root", "pos", "n", "sketch", band.alias("band"), (F.col("root") == F.col("major")).alias("within"))
     least = lambda both: F.ceil(both * percent / (100 + percent))  # noqa: E731  (hashes that near sets share)
     small = rows.where(F.col("pos") <= F.col("n") - least(2 * F.col("n"))).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    large = rows.select("token", "band", F.col("id").alias("to"), F.col("root").alias("over"), F.col("pos").alias("place"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    small = small.withColumn("within", F.explode(F.when(F.col("within"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    large = rows.select("token", "band", "within", F.col("id").alias("to"), F.col("root").alias("over"), F.col("pos").alias("place"), F.col("n").alias("m"), F.col("sketch").alias("other"))
     alike = (F.struct("n", "id") < F.struct("m", "to")) & (percent * F.col("m") <= 100 * F.col("n")) & (F.col("root") != F.col("over"))
     shared = least(F.col("n") + F.col("m"))
     early = alike & (F.col("pos") <= F.col("n") - shared) & (F.col("place") <= F.col("m") - shared)
     # Sketches last: they cost most.
     bits = differing(F.col("sketch"), F.col("other"))
     near = F.when(early, F.coalesce(bits <= F.col("n") + F.col("m") - 2 * shared, F.lit(True))).otherwise(False)
-    met = small.join(large, ["token", "band"]).where(near)
+    met = small.join(large, ["token", "band", "within"]).where(near)
     return met.select(F.col("id").alias("fp"), "to", "root", "over", F.coalesce(bits / (F.col("n") + F.col("m")), F.lit(0.0)).alias("gap")).distinct()
 
 
+def _side(rows: DataFrame) -> DataFrame:
+    """rows as the side of a join that is broadcast, if they are few."""
+    return F.broadcast(rows) if rows.count() <= LABELS else rows
+
+
 def _rooted(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     """rows with the roots of sets in place of their names, in these columns."""
     side = F.broadcast if labels.count() <= LABELS else (lambda x: x)
@@ -313,11 +344,12 @@ def _rooted(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
-def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+def grown(labels: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """labels with what links (fp, to) bring together; only components that they touch are looked at."""
     found = components(_rooted(links.select("fp", "to"), labels, "fp", "to"))
-    rows = labels.union(found.select("fp", F.col("fp").alias("root"))).distinct()
-    out = stored(_rooted(rows, found, "root").select("fp", "root"))
+    new = found.join(_side(labels.select("fp")), "fp", "left_anti")
+    rows = labels.union(new.select("fp", F.col("fp").alias("root")))
+    out = stored(_rooted(rows, found, "root").select("fp", "root"), files)
     discard(labels, links, found)
     return out
 
@@ -330,50 +362,52 @@ def closest(pairs: DataFrame) -> DataFrame:
 
 def last_links(pairs: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """labels with the links of all pairs of early_pairs that are near; pairs that others have linked need no comparison."""
-    pairs = stored(pairs)
+    pairs = stored(pairs, reps.files)
     for _ in range(CLOSEST):
         if pairs.count() <= AT_LAST:
             break
-        first = stored(closest(pairs))
-        labels = grown(labels, verified(first, reps, docs, k, percent))
-        apart = _rooted(pairs.join(first, ["fp", "to"], "left_anti"), labels, "root", "over").where("root <> over")
-        pairs, old = stored(apart.select("fp", "to", "root", "over", "gap")), pairs
+        first = stored(closest(pairs), reps.files)
+        labels = grown(labels, verified(first, reps, docs, k, percent), reps.files)
+        rest = _rooted(pairs.join(_side(first), ["fp", "to"], "left_anti"), labels, "root", "over").where("root <> over")
+        pairs, old = stored(rest.select("fp", "to", "root", "over", "gap"), reps.files), pairs
         discard(old, first)
-    return grown(labels, verified(pairs, reps, docs, k, percent))
+    return grown(labels, verified(pairs, reps, docs, k, percent), reps.files)
 
 
 def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """(fp, root) of the sets that are near others; rows: named_rows(docs)."""
-    spark = docs.sparkSession
-    reps = stored(rows.groupBy("id").agg(F.min(F.struct("doc_id", "key", "n", "fp", "sketch")).alias("r")).select("id", "r.*"))
-    heads = stored(reps.groupBy("fp").agg(F.min("id").alias("head")))
-    equal = reps.join(heads, "fp").select(F.col("id").alias("fp"), F.col("head").alias("to"))
+    spark, sets = docs.sparkSession, rows.count()
+    files = described(rows, sets).files
+    reps = described(stored(rows.groupBy("id").agg(F.min(F.struct("doc_id", "key", "n", "fp", "sketch")).alias("r")).select("id", "r.*"), files), sets)
+    heads = described(stored(reps.groupBy("fp").agg(F.min("id").alias("head")), files), sets)
+    equal = reps.select("id", "fp").join(told(heads, "fp", "head"), "fp").select(F.col("id").alias("fp"), F.col("head").alias("to"))
     links = trie_forest(heads.select("fp"), bits)
-    close = links.join(heads, "fp").select("to", F.col("head").alias("a")).join(heads.select(F.col("fp").alias("to"), F.col("head").alias("b")), "to").select(F.col("a").alias("fp"), F.col("b").alias("to"))
+    close = links.join(told(heads, "fp", F.col("head").alias("a")), "fp").join(told(heads, F.col("fp").alias("to"), F.col("head").alias("b")), "to").select(F.col("a").alias("fp"), F.col("b").alias("to"))
 
     counts = place_counts(docs, k)
-    shared = stored(shared_tokens(docs, spark.sparkContext.broadcast(counts), k, percent, _hot(counts)))
+    shared = stored(shared_tokens(docs, spark.sparkContext.broadcast(counts), k, percent, _hot(counts)), files)
     pairs = equal.unionAll(close).unionAll(fullest(shared.select("id", "head"))).distinct()
     labels = components(verified(fitting(pairs, reps, percent), reps, docs, k, percent))
-    left = shared.drop("head")
-    left.stored_in = shared.stored_in
+    left, most = apart(shared, labels, reps), 0.0
+    discard(shared)
     for turn in range(ROUNDS):
-        before = left
-        placed = _rooted(left.select("token", "id", "pos", F.col("id").alias("root")), labels, "root")
-        by_root = placed.groupBy("token", "root").count()
-        mixed = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("count").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q")).where("roots > 1")
-        mixed = stored(mixed.select("token", ((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2).alias("pairs")))
-        left = stored(placed.join(mixed.select("token"), "token", "left_semi"))
-        discard(before)
-        pairs, n = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0], left.count()
-        discard(mixed)
-        if n == 0:
+        by_root = left.groupBy("token", "root").agg(F.count("*").cast("double").alias("own"))
+        of = by_root.groupBy("token").agg(F.sum("own").alias("all"), F.max("own").alias("own"), F.max_by("root", "own").alias("major"))
+        mixed = stored(of.where("all > own").select("token", "major", (F.col("all") * (F.col("all") - F.col("own"))).alias("pairs")), files)
+        pairs = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        if not pairs:
             return labels
-        if pairs <= max(PAIRS, PAIRS_EACH * n) or turn == ROUNDS - 1:
+        before, left = left, stored(left.join(_side(mixed.select("token", "major")), "token"), files)
+        discard(before, mixed)
+        # A round that brings few together shows that the rest is not near: more rounds would not either.
+        if pairs <= max(PAIRS, PAIRS_EACH * left.count()) or turn == ROUNDS - 1 or turn and 4 * pairs > 3 * most:
             break
+        most = pairs
         start = left.groupBy("token").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("h"))
         tried = left.join(start, "token").where(F.col("root") != F.col("h.root")).select("id", F.col("h.id").alias("head"))
-        labels = grown(labels, verified(fitting(fullest(tried), reps, percent), reps, docs, k, percent))
+        labels = grown(labels, verified(fitting(fullest(tried), reps, percent), reps, docs, k, percent), files)
+        before, left = left, stored(_rooted(left.select("token", "id", "pos", "root"), labels, "root"), files)
+        discard(before)
 
     return last_links(early_pairs(left, reps, percent), labels, reps, docs, k, percent)
 
@@ -383,6 +417,6 @@ def near_kept(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: i
     small_batches(docs.sparkSession)
     rows = stored(named_rows(docs, k))
     labels = labelled(docs, rows, k, percent, bits)
-    placed = stored(rows.select("doc_id", "key", "id").join(labels.withColumnRenamed("fp", "id"), "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("root")))
+    placed = stored(rows.select("doc_id", "key", "id").join(_side(labels.withColumnRenamed("fp", "id")), "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("root")), rows.files)
     best = placed.groupBy("root").agg(F.min(first_row()).alias("best")).select("best.doc_id", "best.key")
-    return rows_without(docs, placed, others(placed, best))
+    return rows_without(docs, placed, stored(others(placed, best), rows.files))

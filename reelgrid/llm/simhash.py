@@ -284,22 +284,26 @@ def components(edges: DataFrame) -> DataFrame:
     are plain joins, whose hot keys Spark splits, and minima with partial sums. Each round is
     written to the shared folder, and the one before it removed; it ends when no label has changed.
     Few labels are broadcast: a shuffle of little data leaves small files for each pair of its tasks.
+    Edges from stored() are read from there, and removed in the end.
     """
-    both = stored(edges.select("fp", "to").union(edges.select(F.col("to").alias("fp"), F.col("fp").alias("to"))).where("fp <> to").distinct())
-    labels = stored(both.groupBy("fp").agg(F.least(F.min("to"), F.col("fp")).alias("root")))
-    few = labels.count() <= LABELS
+    edges = edges if hasattr(edges, "stored_in") else stored(edges)
+    few = 2 * edges.count() <= LABELS
+    both = edges.select("fp", "to").union(edges.select(F.col("to").alias("fp"), F.col("fp").alias("to"))).where("fp <> to")
+    both = both if few else stored(both.distinct())
+    labels = stored(both.groupBy("fp").agg(F.least(F.min("to"), F.col("fp")).alias("root")), LABEL_FILES if few else None)
+    few = few or labels.count() <= LABELS
     side = F.broadcast if few else (lambda rows: rows)
     while True:
         heard = both.join(side(labels.withColumnRenamed("fp", "to")), "to").select("fp", "root")
         lower = labels.union(heard).groupBy("fp").agg(F.min("root").alias("root"))
         up = labels.select(F.col("fp").alias("root"), F.col("root").alias("over"))
         short = lower.join(side(up), "root", "left").select("fp", F.least("root", F.coalesce("over", "root")).alias("root"))
-        new = stored(short.coalesce(LABEL_FILES) if few else short)
+        new = stored(short, LABEL_FILES if few else None)
         changed = new.join(side(labels.withColumnRenamed("root", "was")), "fp").where("root <> was").limit(1).count()
         discard(labels)
         labels = new
         if not changed:
-            discard(both)
+            discard(both, edges)
             return labels
 
 

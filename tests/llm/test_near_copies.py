@@ -139,3 +139,16 @@ def test_a_dense_group_is_linked_by_few_comparisons(spark, monkeypatch):
     rows += [(60 + i, " ".join(f"w{j}" for j in range(60)) + " " + " ".join(f"o{i}x{j}" for j in range(40))) for i in range(5)]
     assert kept(spark, rows) == brute_kept(rows)
     assert sum(found) <= 4 * len(rows)
+
+
+def test_rounds_end_when_they_bring_nothing_together(spark, monkeypatch):
+    """Sets of the same few passages share early tokens but are not near: one round shows that, others would only repeat it."""
+    calls, verified = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda *a: calls.append(1) or verified(*a))
+    monkeypatch.setattr(near_copies, "PAIRS", 0)
+    monkeypatch.setattr(near_copies, "PAIRS_EACH", 0)
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"p{b}w{j}" for b in rng.choice(12, 5, replace=False) for j in range(20))) for i in range(40)]
+    rows += [(40, edited(100)), (41, edited(100, 50)), (42, edited(100, 50, 60))]
+    assert kept(spark, rows) == brute_kept(rows)
+    assert len(calls) <= 3
