@@ -388,7 +388,7 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
     shared = stored(shared_tokens(docs, spark.sparkContext.broadcast(counts), k, percent, _hot(counts)), files)
     pairs = equal.unionAll(close).unionAll(fullest(shared.select("id", "head"))).distinct()
     labels = components(verified(fitting(pairs, reps, percent), reps, docs, k, percent))
-    left, most = apart(shared, labels, reps), 0.0
+    left = apart(shared, labels, reps)
     discard(shared)
     for turn in range(ROUNDS):
         by_root = left.groupBy("token", "root").agg(F.count("*").cast("double").alias("own"))
@@ -399,13 +399,14 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
             return labels
         before, left = left, stored(left.join(_side(mixed.select("token", "major")), "token"), files)
         discard(before, mixed)
-        # A round that brings few together shows that the rest is not near: more rounds would not either.
-        if pairs <= max(PAIRS, PAIRS_EACH * left.count()) or turn == ROUNDS - 1 or turn and 4 * pairs > 3 * most:
+        if pairs <= max(PAIRS, PAIRS_EACH * left.count()) or turn == ROUNDS - 1:
             break
-        most = pairs
         start = left.groupBy("token").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("h"))
         tried = left.join(start, "token").where(F.col("root") != F.col("h.root")).select("id", F.col("h.id").alias("head"))
-        labels = grown(labels, verified(fitting(fullest(tried), reps, percent), reps, docs, k, percent), files)
+        found = verified(fitting(fullest(tried), reps, percent), reps, docs, k, percent)
+        if found.isEmpty():
+            break
+        labels = grown(labels, found, files)
         before, left = left, stored(_rooted(left.select("token", "id", "pos", "root"), labels, "root"), files)
         discard(before)
 
