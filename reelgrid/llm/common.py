@@ -92,7 +92,7 @@ def parts_of_hot(docs: DataFrame, least: int = 16) -> int:
 
 
 #: Bytes of an Arrow batch of operators that move whole texts.
-TEXT_BATCH = 8 << 20
+TEXT_BATCH = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -176,7 +176,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, len(LENGTHS) + 1)), idf)
 
     # A hash below this share of all hashes leaves about twice the sample, of which the smallest are taken.
-    share = docs.sparkSession.createDataFrame([(x, min(1.0, (2 * sample + 50) / n)) for x, n in sizes.items()], "lang string, share double")
+    share = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(sizes, pa.string()), "share": pa.array([min(1.0, (2 * sample + 50) / n) for n in sizes.values()], pa.float64())}))
     drawn = known.withColumn("_h", F.xxhash64("doc_id", F.lit("sample"))).join(F.broadcast(share), "lang").where(F.col("_h") / (2.0**64) + 0.5 <= F.col("share"))
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     drawn = drawn.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("lang", "_k", "text")

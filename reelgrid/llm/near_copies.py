@@ -10,7 +10,7 @@ each component one row stays. Links are found in three steps, each link computed
 2. With all hashes in one order (rare ones first, by counts of hashed places) two near sets share
    one of the first n - ceil(s n) + 1 hashes of each. The sets that share such a token form a group.
    Each set is compared with one other of its groups, that with which it shares most tokens, if their
-   sizes allow it; this is done again, from another set of each group, while dense groups have many sets
+   sizes allow it; this is done again for dense groups, from another set of each, while they have many sets
    in different components.
 3. A group's sets that are still in different components are candidates, if their sizes are alike and
    the token stands so early in both that near sets of their sizes may share it first. Groups are
@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, discard, others, parts_for, releasing, rows_without, small_batches, stored, text_key
+from .common import KEYS, discard, others, parts_for, released, releasing, rows_without, small_batches, stored, text_key
 from .simhash import LABELS, components, first_row, shingle_spans, trie_forest, voted, won
 from .textscan import mix, slices, words, xxh64
 
@@ -56,8 +56,10 @@ MEMBERS = 2048
 AT_ONCE = 64
 #: Hashes of a set up to which it has a sketch (of two to four bits a hash); larger sets are compared without.
 SKETCHED = 1 << 12
-#: Pairs left for the last step: at least so many, or this many for each shared token; rounds of step 2 at most.
+#: Pairs of dense groups left for the last step: at least so many, or this many for each shared token; rounds of step 2 at most.
 PAIRS, PAIRS_EACH, ROUNDS = 1 << 22, 8, 6
+#: A token's group is dense if more than this many times PAIRS_EACH of its sets are outside its largest component; others add fewer pairs to a row.
+DENSE = 16
 #: Files that intermediate rows take at least, sets for each further one, and texts for each task that compares them.
 FILES, SETS_EACH, TEXTS_EACH = 16, 1 << 12, 1 << 10
 #: Candidates of step 3 that are compared at once; of more, each set's closest come first, so many times.
@@ -208,6 +210,7 @@ def shared_tokens(docs: DataFrame, counts: Broadcast, k: int, percent: int, hot:
         size = np.diff(np.append(first, len(token)))
         head, size = np.repeat(name[first], size), np.repeat(size, size)
         on = (size > 1) | (salts(token) > 1)
+        released()
         return pa.table([*(pa.array(v[on].view(np.int64)) for v in (token, name, head)), pa.array(pos[on])], ["token", "id", "head", "pos"])
 
     return docs.select("text").mapInArrow(releasing(scan), "bucket int, tokens binary, ids binary, places binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "token long, id long, head long, pos int")
@@ -331,6 +334,13 @@ def early_pairs(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("id").alias("fp"), "to", "root", "over", F.coalesce(bits / (F.col("n") + F.col("m")), F.lit(0.0)).alias("gap")).distinct()
 
 
+def grouped(left: DataFrame, turn: int = 0) -> DataFrame:
+    """For each token all its sets, those of its largest component (own, major) and one set (head: id, root), another each turn."""
+    some = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "root")).alias("some")
+    by_root = left.groupBy("token", "root").agg(F.count("*").cast("double").alias("own"), some)
+    return by_root.groupBy("token").agg(F.sum("own").alias("all"), F.max("own").alias("own"), F.max_by("root", "own").alias("major"), F.min("some").alias("some")).select("token", "all", "own", "major", F.struct("some.id", "some.root").alias("head"))
+
+
 def _side(rows: DataFrame) -> DataFrame:
     """rows as the side of a join that is broadcast, if they are few."""
     return F.broadcast(rows) if rows.count() <= LABELS else rows
@@ -390,26 +400,31 @@ def labelled(docs: DataFrame, rows: DataFrame, k: int, percent: int, bits: int)
     labels = components(verified(fitting(pairs, reps, percent), reps, docs, k, percent))
     left = apart(shared, labels, reps)
     discard(shared)
-    for turn in range(ROUNDS):
-        by_root = left.groupBy("token", "root").agg(F.count("*").cast("double").alias("own"))
-        of = by_root.groupBy("token").agg(F.sum("own").alias("all"), F.max("own").alias("own"), F.max_by("root", "own").alias("major"))
-        mixed = stored(of.where("all > own").select("token", "major", (F.col("all") * (F.col("all") - F.col("own"))).alias("pairs")), files)
-        pairs = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if not pairs:
-            return labels
-        before, left = left, stored(left.join(_side(mixed.select("token", "major")), "token"), files)
-        discard(before, mixed)
-        if pairs <= max(PAIRS, PAIRS_EACH * left.count()) or turn == ROUNDS - 1:
+    dense, rows = left, left.count()
+    for turn in range(ROUNDS - 1):
+        groups = stored(grouped(dense, turn).where(F.col("all") - F.col("own") > DENSE * PAIRS_EACH), files)
+        pairs = groups.agg(F.coalesce(F.sum(F.col("all") * (F.col("all") - F.col("own"))), F.lit(0.0))).first()[0]
+        if pairs <= max(PAIRS, PAIRS_EACH * rows):
+            discard(groups)
             break
-        start = left.groupBy("token").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("h"))
-        tried = left.join(start, "token").where(F.col("root") != F.col("h.root")).select("id", F.col("h.id").alias("head"))
+        met = stored(dense.join(_side(groups.select("token", "head")), "token"), files)
+        tried = met.where(F.col("root") != F.col("head.root")).select("id", F.col("head.id").alias("head"))
         found = verified(fitting(fullest(tried), reps, percent), reps, docs, k, percent)
         if found.isEmpty():
+            discard(groups, met)
             break
         labels = grown(labels, found, files)
-        before, left = left, stored(_rooted(left.select("token", "id", "pos", "root"), labels, "root"), files)
-        discard(before)
-
+        before, dense = dense, stored(_rooted(met.select("token", "id", "pos", "root"), labels, "root"), files)
+        discard(groups, met, *([] if before is left else [before]))
+
+    if dense is not left:  # what rounds have linked is linked for all tokens
+        before, left = left, stored(_rooted(left, labels, "root").select("token", "id", "pos", "root"), files)
+        discard(before, dense)
+    mixed = stored(grouped(left).where("all > own").select("token", "major"), files)
+    if mixed.isEmpty():
+        return labels
+    before, left = left, stored(left.join(_side(mixed), "token"), files)
+    discard(before, mixed)
     return last_links(early_pairs(left, reps, percent), labels, reps, docs, k, percent)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, releasing, small_batches
+from .common import checkpointed, released, releasing, small_batches
 from .textscan import slices
 from .vocab import word_pieces
 
@@ -37,6 +37,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, with_ids: bool =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = word_pieces(vocabulary), np.array([END], "<u4")
+        released()  # what reading the vocabulary took
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):

@@ -236,7 +236,7 @@ def _spread(fps: DataFrame, most: int) -> list[tuple[int, int]]:
         heavy = [p for (p, d), n in counts.items() if d == depth - 8 and n > most]
         if not heavy:
             break
-        upper = fps.sparkSession.createDataFrame([(p,) for p in heavy], "u long")
+        upper = fps.sparkSession.createDataFrame(pa.table({"u": pa.array(heavy, pa.int64())}))
         rows = fps.withColumn("u", F.shiftrightunsigned("fp", 72 - depth)).join(F.broadcast(upper), "u", "left_semi")
         finer = rows.groupBy(F.shiftrightunsigned("fp", 64 - depth).alias("p")).count().collect()
         for p in heavy:
@@ -253,11 +253,12 @@ def trie_forest(fps: DataFrame, budget: int) -> DataFrame:
     pairs = cell_pairs(cells, budget)
     if not pairs:
         return spark.createDataFrame([], "fp long, to long")
-    places = spark.createDataFrame([(i, d, _signed(p, d)) for i, (p, d) in enumerate(cells)], "cell int, depth int, low long")
+    # Arrow tables: rows of Python objects would start workers of another kind, which stay.
+    places = spark.createDataFrame(pa.table({"cell": pa.array(range(len(cells)), pa.int32()), "depth": pa.array([d for _, d in cells], pa.int32()), "low": pa.array([_signed(p, d) for p, d in cells], pa.int64())}))
     prefixes = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("fp").bitwiseAND(F.lit(_signed((1 << d) - 1, d))).alias("low")) for d in sorted({d for _, d in cells})])
     placed = fps.select("fp", F.explode(prefixes).alias("k")).select("fp", "k.depth", "k.low").join(F.broadcast(places), ["depth", "low"])
     held = checkpointed(placed.groupBy("cell").agg(F.collect_list("fp").alias("fps")))
-    tasks = spark.createDataFrame(pairs, "a int, b int")
+    tasks = spark.createDataFrame(pa.table({c: pa.array(x, pa.int32()) for c, x in zip("ab", zip(*pairs))}))
     sides = tasks.select("a", "b", F.col("a").alias("cell")).union(tasks.where("a <> b").select("a", "b", F.col("b").alias("cell")))
 
     def run(task: pa.Table) -> pa.Table:

@@ -152,3 +152,30 @@ def test_rounds_end_when_they_bring_nothing_together(spark, monkeypatch):
     rows += [(40, edited(100)), (41, edited(100, 50)), (42, edited(100, 50, 60))]
     assert kept(spark, rows) == brute_kept(rows)
     assert len(calls) <= 3
+
+
+def test_rounds_leave_sparse_groups_out(spark, monkeypatch):
+    """Rounds move the rows of dense groups only; all rows meet the largest component of their tokens once, for the last step."""
+    joined, stored = [], near_copies.stored
+
+    def counted(df, *a):
+        out = stored(df, *a)
+        if {"token", "id", "root"} <= set(df.columns) and {"head", "major"} & set(df.columns):
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    monkeypatch.setattr(near_copies, "PAIRS", 0)
+    monkeypatch.setattr(near_copies, "PAIRS_EACH", 1)
+    monkeypatch.setattr(near_copies, "fullest", lambda rows: rows.where("id <> head").groupBy("id").agg(F.min("head").alias("to")).select(F.col("id").alias("fp"), "to"))
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(40):  # one dense group: members share tokens, few are near each other
+        words = [f"w{j}" for j in range(150)]
+        for p in rng.choice(150, 5, replace=False):
+            words[p] = f"n{i}x{p}"
+        rows.append((i, " ".join(words)))
+    for g in range(150):  # many groups of two that share some early words and are not near
+        rows += [(1000 + 2 * g + i, " ".join(f"g{g}w{j}" for j in range(40)) + " " + " ".join(f"o{g}x{i}x{j}" for j in range(20))) for i in range(2)]
+    assert kept(spark, rows) == brute_kept(rows)
+    assert len(joined) > 1 and max(joined[:-1]) < joined[-1]
